@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from chatframe.llm import mixing, url_rules
+from chatframe.llm import cover_tree, mixing, url_rules
 from chatframe.llm.common import table
 
 
+def op5_cover_tree(spark, sf_dir):
+    return cover_tree.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,5 +59,5 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {"op7_mixing": op7_mixing, "op10_url_filters": op10_url_filters}
+QUERIES = {"op5_cover_tree": op5_cover_tree, "op7_mixing": op7_mixing, "op10_url_filters": op10_url_filters}
 ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
