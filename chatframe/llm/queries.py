@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from chatframe.llm import cover_tree, mixing, url_rules
-from chatframe.llm.common import table
+import uuid
+
+import public_tokenizers
+
+from chatframe.llm import cover_tree, mixing, packing, token_counts, url_rules
+from chatframe.llm.common import shared_dir, table
+
+
+def op2_best_fit_packing(spark, sf_dir):
+    files = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), *files, capacity=2048, end_id=0)
 
 
 def op5_cover_tree(spark, sf_dir):
@@ -14,6 +23,12 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_counts(spark, sf_dir):
+    """The cache starts empty here, so that every run encodes all distinct texts."""
+    cache = f"{shared_dir(spark)}/chatframe-token-cache-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), cache, drops_space=True)
+
+
 def op10_url_filters(spark, sf_dir):
     rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -59,5 +74,5 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {"op5_cover_tree": op5_cover_tree, "op7_mixing": op7_mixing, "op10_url_filters": op10_url_filters}
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op5_cover_tree, op7_mixing, op8_token_counts, op10_url_filters)}
 ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
