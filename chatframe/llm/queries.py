@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from chatframe.llm import cover_tree, mixing, packing, token_counts, url_rules
+from chatframe.llm import audio, cover_tree, mixing, packing, token_counts, url_rules
 from chatframe.llm.common import shared_dir, table
 
 
@@ -15,6 +15,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), *files, capacity=2048, end_id=0)
 
 
+def op3_telephony_audio(spark, sf_dir):
+    return audio.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_cover_tree(spark, sf_dir):
     return cover_tree.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
 
@@ -74,5 +78,5 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op5_cover_tree, op7_mixing, op8_token_counts, op10_url_filters)}
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_telephony_audio, op5_cover_tree, op7_mixing, op8_token_counts, op10_url_filters)}
 ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
