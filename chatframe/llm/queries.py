@@ -6,10 +6,14 @@ import uuid
 
 import public_tokenizers
 
-from chatframe.llm import audio, cover_tree, mixing, packing, token_counts, url_rules
+from chatframe.llm import audio, cover_tree, language_id, mixing, packing, token_counts, toxicity, url_rules
 from chatframe.llm.common import shared_dir, table
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     files = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), *files, capacity=2048, end_id=0)
@@ -23,6 +27,11 @@ def op5_cover_tree(spark, sf_dir):
     return cover_tree.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
 
 
+def op6_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -78,5 +87,5 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_telephony_audio, op5_cover_tree, op7_mixing, op8_token_counts, op10_url_filters)}
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op10_url_filters)}
 ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
