@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from chatframe.llm import audio, cover_tree, language_id, mixing, packing, token_counts, toxicity, url_rules
+from chatframe.llm import audio, cover_tree, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_rules
 from chatframe.llm.common import shared_dir, table
 
 
@@ -23,6 +23,10 @@ def op3_telephony_audio(spark, sf_dir):
     return audio.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.join_ngrams(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_cover_tree(spark, sf_dir):
     return cover_tree.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
 
@@ -87,5 +91,5 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op10_url_filters)}
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op4_ngram_jaccard_join, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op10_url_filters)}
 ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
