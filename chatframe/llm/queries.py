@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from chatframe.llm import audio, cover_tree, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_rules
+from chatframe.llm import audio, cover_tree, html_text, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_rules
 from chatframe.llm.common import shared_dir, table
 
 
@@ -46,6 +46,10 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), cache, drops_space=True)
 
 
+def op9_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op10_url_filters(spark, sf_dir):
     rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -91,5 +95,5 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op4_ngram_jaccard_join, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op10_url_filters)}
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op4_ngram_jaccard_join, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op9_html_extraction, op10_url_filters)}
 ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
