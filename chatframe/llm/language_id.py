@@ -141,40 +141,38 @@ def infer(words: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
     return pi
 
 
-def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """``docs`` with its ``text`` replaced by lang_pred, score, languages and proportions."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in docs.schema if f.name != "text"]
+RESULT = "struct<lang_pred:string,score:double,languages:array<string>,proportions:array<double>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found: list[tuple] = [(UNKNOWN, 0.0, [], [])] * len(texts)
-            held, pending, total = [], [], 0
-
-            def settle():
-                for i, p in zip(pending, infer(held), strict=True) if held else []:
-                    top = np.argsort(-p, kind="stable")
-                    top = [int(j) for j in top if p[j] > 0]
-                    found[i] = (langs[top[0]], float(min(1.0, p[top[0]])), [langs[j] for j in top], [float(p[j]) for j in top])
-                held.clear(), pending.clear()
-
-            for i, text in enumerate(texts):
+
+def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text", out: str = "found") -> DataFrame:
+    """``docs`` with a struct column: lang_pred, score, languages and proportions."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64()))])
+
+    def settle(found: list[dict], held: list[tuple[int, np.ndarray]]) -> None:
+        for (i, _), p in zip(held, infer([w for _, w in held]), strict=True) if held else ():
+            top = [int(j) for j in np.argsort(-p, kind="stable") if p[j] > 0]
+            found[i] = {"lang_pred": langs[top[0]], "score": float(min(1.0, p[top[0]])), "languages": [langs[j] for j in top], "proportions": [float(p[j]) for j in top]}
+        held.clear()
+
+    @F.arrow_udf(RESULT)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [{"lang_pred": UNKNOWN, "score": 0.0, "languages": [], "proportions": []}] * len(texts)
+            held: list[tuple[int, np.ndarray]] = []
+            total = 0
+            for i, text in enumerate(texts.to_pylist()):
                 words = word_likelihoods(text, shared.value) if text and langs else ()
                 if len(words):
-                    held.append(words), pending.append(i)
+                    held.append((i, words))
                     total += len(words)
                     if total > 200_000:
-                        settle()
+                        settle(found, held)
                         total = 0
-            settle()
-            out = batch.drop_columns(["text"])
-            kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
-            for name, kind, values in zip(("lang_pred", "score", "languages", "proportions"), kinds, zip(*found, strict=True) if found else [()] * 4, strict=True):
-                out = out.append_column(name, pa.array(list(values), kind))
-            yield out
+            settle(found, held)
+            yield pa.array(found, kind)
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "lang_pred string, score double, languages array<string>, proportions array<double>"]))
+    return docs.withColumn(out, of(F.col(text).cast("string")))
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -188,4 +186,4 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     langs, model = train(docs, id_col, text_col, lang_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = F.coalesce(doc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return identify(base, langs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "languages", "proportions")
+    return identify(base, langs, model).select("doc_id", held.alias("held_out"), "found.*")

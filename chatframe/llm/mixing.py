@@ -82,15 +82,35 @@ def thresholds(sizes: DataFrame, targets: DataFrame, n_sources: int) -> DataFram
     return targets.join(bounded_broadcast(ends, n_sources), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "repeats", F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """Sizes of all rows, (source, source_size, target, repeats, threshold), and how many sources."""
+    sizes = store(sized(docs, id_col, text_col, source_col), "sizes")
+    targets = store(source_targets(sizes), "targets")
+    n_sources = targets.count()
+    return sizes, store(thresholds(sizes, targets, n_sources), "thresholds"), n_sources
+
+
+def _with_copies(rows: DataFrame, ends: DataFrame, n_sources: int, source: Column, h: Column) -> DataFrame:
+    """``rows`` with their source's row ``e`` and how often the mix takes them."""
+    ends = bounded_broadcast(ends.select(F.struct("*").alias("e")), n_sources)
+    rows = rows.join(ends, source.eqNullSafe(F.col("e.source")))
+    return rows.withColumn("copies", F.col("e.repeats") + (h < F.col("e.threshold")).cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): one row for each input row.
 
     A null or wordless text has size 0 and is taken with 0 words. Rows that repeat an id share its
     hash, so they are taken alike. Other columns are not carried. An empty table gives no rows.
     """
-    sizes = store(sized(docs, id_col, text_col, source_col), "sizes")
-    targets = store(source_targets(sizes), "targets")
-    n_sources = targets.count()
-    ends = store(thresholds(sizes, targets, n_sources), "thresholds")
-    taken = F.col("size") * (F.col("repeats") + (F.col("h") < F.col("threshold")).cast("long"))
-    return sizes.join(bounded_broadcast(ends.withColumnRenamed("source", "s"), n_sources), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("repeats") + (F.col("h") < F.col("threshold")).cast("long")).alias("copies"))
+    sizes, ends, n_sources = _plan(docs, id_col, text_col, source_col)
+    rows = _with_copies(sizes, ends, n_sources, F.col("source"), F.col("h"))
+    return rows.select("doc_id", "source", "size", "e.source_size", "e.target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as it is taken."""
+    _, ends, n_sources = _plan(docs, id_col, text_col, source_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _with_copies(rows, ends, n_sources, F.col(f"row.{source_col}"), doc_hash(F.col(f"row.{id_col}")))
+    return rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

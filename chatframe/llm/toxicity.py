@@ -119,18 +119,17 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     return {r["term"]: r["odds"] for r in kept.collect()}  # terms of a bounded sample
 
 
-def featurise(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``docs`` with its ``text`` replaced by ``features`` (array<double>)."""
+def featurise(docs: DataFrame, lexicon: dict[str, float], text: str = "text", out: str = "features") -> DataFrame:
+    """``docs`` with a column of features (array<double>) of the whole text; null counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    others = [f for f in docs.schema if f.name != "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<double>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = Weights(shared.value)
-        for batch in batches:
-            values = [features(t or "", weights) for t in batch.column("text").to_pylist()]
-            yield batch.drop_columns(["text"]).append_column("features", pa.array(values, pa.list_(pa.float64())))
+        for texts in batches:
+            yield pa.array([features(t or "", weights) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "features array<double>"]))
+    return docs.withColumn(out, of(F.col(text).cast("string")))
 
 
 class ToxicityModel:
@@ -139,15 +138,16 @@ class ToxicityModel:
     def __init__(self, lexicon, trees, steps):
         self.lexicon, self.trees, self.steps = lexicon, trees, steps
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with its ``text`` replaced by ``score`` (0 to 1)."""
+    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(row, score): each row as a struct of all its columns, so that no name can clash, and
+        its score (0 to 1)."""
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         if self.trees is None:
-            return docs.drop("text").withColumn("score", F.lit(0.0))
-        rows = featurise(docs, self.lexicon).withColumn("_features", array_to_vector("features")).drop("features")
+            return rows.withColumn("score", F.lit(0.0))
+        rows = featurise(rows, self.lexicon, f"row.{text_col}", "_fx").select("row", array_to_vector("_fx").alias("_features"))
         rows = self.trees.transform(rows).withColumn("_p", vector_to_array("probability")[1])
-        rows = self.steps.transform(rows)
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - BLEND) * F.col("_step") + BLEND * F.col("_p")))
-        return rows.withColumn("score", score).drop("_features", "rawPrediction", "probability", "_class", "_p", "_step")
+        return self.steps.transform(rows).select("row", score.alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(marks, "_id")
     rows = store(rows.withColumn("fold", doc_bucket(F.col("_id"), FOLDS)), "labelled")
     lexicon = learn_lexicon(rows.where(F.col("fold") != CALIBRATION))
-    found = store(featurise(rows, lexicon), "features").withColumn("_features", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
+    found = store(featurise(rows, lexicon).drop("text"), "features").withColumn("_features", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
     learn, check = found.where(F.col("fold") != CALIBRATION), found.where(F.col("fold") == CALIBRATION)
     if learn.select("label").distinct().count() < 2:
         return ToxicityModel(lexicon, None, None)
@@ -180,4 +180,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit(docs, labels, id_col, text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = F.coalesce(doc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return model.score(base).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return model.score(base).select("row.doc_id", "score").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
