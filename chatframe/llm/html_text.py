@@ -231,7 +231,7 @@ def render(markup: str) -> str:
     for kind, name, rest in events(markup):
         flow = flows[-1]
         if kind == "text":
-            if not unseen:
+            if not unseen and not (details and not details[-1][0] and details[-1][1] == len(opened)):
                 flow.text(rest.lstrip("\n") if pre and not flow.line and name == "raw" else rest, pre > 0)
             continue
         if kind == "open":
