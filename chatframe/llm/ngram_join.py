@@ -33,8 +33,9 @@ from chatframe.llm.components import components
 from chatframe.llm.cover_tree import forest
 
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
-#: Bucket size from which a bucket is split further, and rows of a block at the last level.
-BUCKET, BLOCK = 128, 1024
+#: Bucket size from which a bucket is split further, and rows of a block at the last level. Some
+#: million sketch comparisons take a task less time than another level takes the cluster.
+BUCKET, BLOCK = 2048, 2048
 #: Documents and shingles of a block of a candidate group that is decided in one task.
 GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
 #: Bins of a sketch (16 bits each), and how far below the threshold its estimate may be.
