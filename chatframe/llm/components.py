@@ -11,6 +11,7 @@ from chatframe.llm.common import store
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v"), F.col("u")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = store(least, "least")  # so that the join reads exchanges, whose skewed partitions AQE splits
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -27,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round moves edges towards the least neighbour and stores the result in the shared folder;
     only a count and a checksum come to the driver. Rounds grow with the logarithm of a component's
-    size. Aggregates are partial, and a hub's join partition is one that AQE can split. Null ends
+    size. Aggregates are partial, and a hub's join partition is one that AQE splits. Null ends
     and self loops are left out; an empty table gives an empty one.
     """
     u, v = edges.columns[:2]
