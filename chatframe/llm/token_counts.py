@@ -19,6 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatframe.llm.common import store
+
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Chunks a worker remembers; beyond, it starts anew. Bounds memory, not results.
 MEMO = 1_000_000
@@ -115,5 +117,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # runs at the same time may append a digest twice
+    stored = store(stored, "counts")  # so that the join reads exchanges, whose skewed partitions AQE splits
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     return rows.join(stored, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
