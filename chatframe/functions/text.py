@@ -14,6 +14,15 @@ from pyspark.sql import types as T
 SPACES = r"(?U)[\s\x{FEFF}]"
 
 
+#: A word boundary as ECMAScript has it, of ASCII words.
+B = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_words(pattern: str) -> str:
+    """A pattern whose word boundaries are those of ASCII words."""
+    return pattern.replace(r"\b", B)
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of a value that is computed once, however often ``f`` names it."""
     return F.get(F.transform(F.array(value), f), 0)
@@ -126,7 +135,7 @@ def any_match(c: Column, patterns: list[str]) -> Column:
     """One of the patterns is found."""
     found = F.lit(False)
     for p in patterns:
-        found = found | c.rlike(p)
+        found = found | c.rlike(ascii_words(p))
     return F.coalesce(found, F.lit(False))
 
 
