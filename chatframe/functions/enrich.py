@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from chatframe.functions.emoji import literal_map, replace_emoji
 from chatframe.functions.names import undouble
-from chatframe.functions.text import lines_of, map_tokens, nfc, sanitise, trim_u, unlines
+from chatframe.functions.text import let, lines_of, map_tokens, nfc_of, sanitise, trim_u, unlines
 from chatframe.settings import Settings
 
 #: What escaping leaves as it is: fences, mentions, links and entities.
@@ -33,12 +34,21 @@ ATTACHMENT_META = (r"(?i)^(?:\d+\s+files?|Download|Open in browser|Preview not a
 UPLOADS = [("🖼️", "png|jpg|jpeg|gif|webp|svg"), ("📄", "pdf|doc|docx|xls|xlsx|ppt|pptx"), ("💻", "js|ts|py|java|c|cpp|go|rs|rb|php")]
 
 
+def fences_before(lines: Column) -> Column:
+    """For each line how many fences stand before it."""
+    step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x.startswith("```").cast("int")))
+    return F.aggregate(lines, F.array(F.lit(0)), step)
+
+
 def format_fences(c: Column) -> Column:
     """An opening fence keeps its trimmed language, a closing one is bare."""
-    lines = lines_of(c)
-    opens = lambda i: F.size(F.filter(F.slice(lines, 1, i), lambda x: x.startswith("```"))) % 2 == 0
-    fence = lambda x, i: F.when(opens(i), F.concat(F.lit("```"), trim_u(F.substring(x, 4, 1 << 30)))).otherwise("```")
-    return F.when(c.contains("```"), unlines(F.transform(lines, lambda x, i: F.when(x.startswith("```"), fence(x, i)).otherwise(x)))).otherwise(c)
+    def fence(x: Column, before: Column) -> Column:
+        return F.when(before % 2 == 0, F.concat(F.lit("```"), trim_u(F.substring(x, 4, 1 << 30)))).otherwise("```")
+
+    def formatted(ls: Column) -> Column:
+        return let(fences_before(ls), lambda n: unlines(F.transform(ls, lambda x, i: F.when(x.startswith("```"), fence(x, F.get(n, i))).otherwise(x))))
+
+    return let(c, lambda v: F.when(v.contains("```"), let(lines_of(v), formatted)).otherwise(v))
 
 
 def escape_brackets(c: Column) -> Column:
@@ -102,6 +112,10 @@ def convert_mentions(c: Column, users: Mapping[str, str] | None = None) -> Colum
 
 def undouble_in_text(c: Column) -> Column:
     """A text with a doubled capitalised name, or that is just a name, is undoubled as a whole."""
+    return let(c, _undouble_named)
+
+
+def _undouble_named(c: Column) -> Column:
     named = c.rlike(DOUBLED_NAME) | (trim_u(c).rlike(JUST_A_NAME) & (F.length(trim_u(c)) < 50))
     return F.when(named, undouble(c)).otherwise(c)
 
@@ -126,6 +140,10 @@ def mark_uploads(c: Column) -> Column:
 
 def mark_images(c: Column) -> Column:
     """A text that is one image, or names an image's source, as a whole."""
+    return let(c, _mark_image)
+
+
+def _mark_image(c: Column) -> Column:
     image = r"^!\[([^\]]*)\]\(([^)]+)\)\z"
     alt, url = trim_u(F.regexp_extract(c, image, 1)), F.regexp_extract(c, image, 2)
     shown = F.concat(F.lit("!["), F.when(alt == "", "Image").otherwise(alt), F.lit("]("), url, F.lit(")"))
@@ -140,15 +158,17 @@ def mark_services(c: Column) -> Column:
 
 def mark_avatars(c: Column) -> Column:
     """An avatar on a line of its own goes, or becomes a comment before a header or real text."""
-    lines = lines_of(c)
+    return let(c, lambda v: F.when(v.contains("![](https://ca.slack-edge.com/"), let(lines_of(v), _mark_avatar_lines)).otherwise(v))
+
 
+def _mark_avatar_lines(lines: Column) -> Column:
     def kept(i: Column) -> Column:
         after = F.transform(F.slice(lines, i + 2, 4), trim_u)
         header = F.coalesce(F.try_element_at(after, F.lit(1)).rlike(r"(?i)^[A-Za-z0-9\s\-_.'\x{00C0}-\x{017F}]+.*\[[^\]]+\]\(https?://[^)]+\)$"), F.lit(False))
         return header | F.exists(after, lambda x: (F.length(x) > 20) & ~x.rlike(ATTACHMENT_META))
 
     shown = F.transform(lines, lambda x, i: F.when(~trim_u(x).rlike(AVATAR), x).when(kept(i), F.concat(F.lit("<!-- Avatar: "), trim_u(x), F.lit(" -->"))))
-    return F.when(c.contains("![](https://ca.slack-edge.com/"), unlines(F.filter(shown, lambda x: x.isNotNull()))).otherwise(c)
+    return unlines(F.filter(shown, lambda x: x.isNotNull()))
 
 
 #: A preview's title: a service, a repository, a doubled word; and what ends it (fixed values).
@@ -219,14 +239,20 @@ def step_report(settings: Settings) -> dict[str, bool]:
     return {name: switch is None or getattr(settings, switch) for name, switch in STEPS}
 
 
-def step(name: str, settings: Settings) -> list[Callable[[Column], Column]]:
-    """The functions of a step, each to be a projection of its own: a Python function's result can't
-    be named inside a lambda."""
+@dataclass(frozen=True)
+class InPython:
+    """A step that runs in Python, text by text."""
+
+    function: Callable[[str], str]
+
+
+def step(name: str, settings: Settings) -> list[Callable[[Column], Column] | InPython]:
+    """The functions of a step, each to be a projection of its own."""
     steps = {
-        "sanitise": [nfc, lambda x: sanitise(x, normal_form=False)],
+        "sanitise": [InPython(nfc_of), lambda x: sanitise(x, normal_form=False)],
         "code_fences": [format_fences],
         "escape_brackets": [escape_brackets],
-        "attachments": [mark_uploads, mark_images, fold_previews, mark_avatars, mark_services],
+        "attachments": [mark_uploads, mark_images, InPython(fold_previews_of), mark_avatars, mark_services],
         "links": [convert_links],
         "mentions": [undouble_in_text, lambda x: convert_mentions(x, settings.user_map)],
         "emoji": [lambda x: replace_emoji(x, settings.emoji_map)],

@@ -47,6 +47,10 @@ def _without_repeats(line: Column) -> Column:
 
 def _thread_form(c: Column) -> Column:
     """A doubled name before an emoji link, and what follows it."""
+    return let(c, _thread_once)
+
+
+def _thread_once(c: Column) -> Column:
     doubled = rf"^(.+?)\1{EMOJI_LINK}(.*)$"
     plain = trim_u(F.regexp_replace(c, EMOJI_LINK, ""))
     with_link = trim_u(F.concat_ws(" ", trim_u(F.regexp_extract(c, doubled, 1)), F.nullif(trim_u(F.regexp_extract(c, doubled, 2)), F.lit(""))))
@@ -54,12 +58,16 @@ def _thread_form(c: Column) -> Column:
 
 
 def _dm_form(c: Column) -> Column:
-    return F.coalesce(trim_u(group(c, r"^(.+?)\1$")), trim_u(group(c, r"^(.+?)\s+\1$")), c)
+    return let(c, lambda v: F.coalesce(trim_u(group(v, r"^(.+?)\1$")), trim_u(group(v, r"^(.+?)\s+\1$")), v))
 
 
 def undouble(c: Column, form: str | None = None) -> Column:
     """``AnnAnn``, ``Ann Ann`` and doubled parts once; emoji go and white space collapses by line.
     ``form``: thread or dm, whose layouts double names in their own ways."""
+    return let(c, lambda v: _undouble(v, form))
+
+
+def _undouble(c: Column, form: str | None) -> Column:
     half = F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
     long_double = (F.length(c) > 500) & (F.concat(half, half) == c)
     x = _thread_form(c) if form == "thread" else _dm_form(c) if form == "dm" else c

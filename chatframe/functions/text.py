@@ -51,9 +51,12 @@ def unlines(lines: Column) -> Column:
 def map_tokens(c: Column, pattern: str, f: Callable[[Column], Column], gaps: Callable[[Column], Column] = lambda g: g) -> Column:
     """Replace the matches of a pattern by ``f`` of each, and what is between them by ``gaps``:
     left to right, without overlap, and without a Python function."""
-    between = F.split(c, pattern, -1)
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(between, F.transform(found, f), lambda g, t: F.concat(gaps(g), F.coalesce(t, F.lit("")))), "")
+
+    def replaced(v: Column) -> Column:
+        found = F.regexp_extract_all(v, F.lit(pattern), F.lit(0))
+        return F.array_join(F.zip_with(F.split(v, pattern, -1), F.transform(found, f), lambda g, t: F.concat(gaps(g), F.coalesce(t, F.lit("")))), "")
+
+    return let(c, replaced)
 
 
 def strip_nul(c: Column) -> Column:
@@ -75,8 +78,8 @@ def squeeze_newlines(c: Column) -> Column:
 
 def first_lines(c: Column, n: int) -> Column:
     """The first ``n`` lines, right-trimmed if any were cut."""
-    lines = lines_of(c)
-    return F.when(F.size(lines) > n, rtrim_u(unlines(F.slice(lines, 1, n)))).otherwise(c)
+    cut = lambda ls: F.when(F.size(ls) > n, rtrim_u(unlines(F.slice(ls, 1, n)))).otherwise(unlines(ls))
+    return let(lines_of(c), cut)
 
 
 def preprocess(c: Column) -> Column:
@@ -88,10 +91,14 @@ def postprocess(c: Column) -> Column:
     return trim_u(F.coalesce(c, F.lit("")))
 
 
+def nfc_of(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
+
+
 @F.arrow_udf(T.StringType())
 def nfc(texts: pa.Array) -> pa.Array:
     """Unicode normal form C, which Spark has no function for; ASCII passes as it is."""
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+    return pa.array([t if t is None else nfc_of(t) for t in texts.to_pylist()], pa.string())
 
 
 def straighten(c: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.functions.emoji import format_reactions, replace_emoji
-from chatframe.functions.enrich import convert_links, link_threads, step
+from chatframe.functions.enrich import convert_links, fences_before, link_threads, step
 from chatframe.functions.names import display_name
-from chatframe.functions.text import group, is_blank, lines_of, postprocess, trim_u, unlines
+from chatframe.functions.text import group, is_blank, let, lines_of, postprocess, trim_u, unlines
 from chatframe.functions.times import display_time
 from chatframe.schema import UNKNOWN_USER
 from chatframe.settings import Settings
@@ -21,6 +21,10 @@ SHORT_TEXT, SHOWN_LINES, UNPARSED_LINES = 50, 100, 50
 
 def thread_lines(info: Column) -> Column:
     """array<string>: reply and what it answers, count and last reply, link, broadcast."""
+    return let(info, _thread_lines)
+
+
+def _thread_lines(info: Column) -> Column:
     reply = group(info, r"(?i)(\d+)\s+repl(?:y|ies)")
     last = F.coalesce(group(info, r"(?i)Last reply\s+(.+?)(?:View thread|$)"), group(info, r"(?i)(\d+\s+(?:days?|months?|hours?|minutes?)\s+ago)View thread"))
     view = info.rlike("(?i)View thread")
@@ -41,9 +45,6 @@ def thread_lines(info: Column) -> Column:
 def body_lines(text: Column, settings: Settings, compat: bool = True) -> Column:
     """The text's lines behind ``>``. Outside fences, links and emoji are converted once more,
     whatever the switches (``compat``: as ever; else only with them on)."""
-    lines = lines_of(text)
-    fences = F.transform(lines, lambda x: x.startswith("```").cast("int"))
-
     def shown(x: Column) -> Column:
         if compat or settings.convert_links:
             x = convert_links(x)
@@ -51,15 +52,22 @@ def body_lines(text: Column, settings: Settings, compat: bool = True) -> Column:
             x = replace_emoji(x, settings.emoji_map)
         return link_threads(x) if settings.highlight_threads else x
 
-    def line(x: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(fences, 1, i), F.lit(0), lambda a, b: a + b)
-        inside = before % 2 == 1
+    def quoted(x: Column) -> Column:
+        return F.when(trim_u(x) == "", ">").otherwise(F.concat(F.lit("> "), x))
+
+    def fence(x: Column, inside: Column) -> Column:
+        language = F.substring(x, 4, 1 << 30)
         mark = F.when(inside | (x == "```"), "> ").otherwise("")
-        fence = F.concat(mark, F.lit("```"), trim_u(F.substring(x, 4, 1 << 30)) if settings.detect_code_blocks else F.substring(x, 4, 1 << 30))
-        kept = F.when(inside, x).otherwise(shown(x))
-        return F.when(x.startswith("```"), fence).when(trim_u(kept) == "", ">").otherwise(F.concat(F.lit("> "), kept))
+        return F.concat(mark, F.lit("```"), F.when(inside, F.lit("")).otherwise(trim_u(language)) if settings.detect_code_blocks else language)
+
+    def line(x: Column, inside: Column) -> Column:
+        return F.when(x.startswith("```"), fence(x, inside)).when(inside, quoted(x)).otherwise(let(shown(x), quoted))
+
+    def fenced(ls: Column) -> Column:
+        return let(fences_before(ls), lambda n: F.transform(ls, lambda x, i: line(x, F.get(n, i) % 2 == 1)))
 
-    return F.transform(lines, line)
+    plain = lambda ls: F.transform(ls, lambda x: let(shown(x), quoted))
+    return let(text, lambda t: F.when(t.contains("```"), let(lines_of(t), fenced)).otherwise(let(lines_of(t), plain)))
 
 
 def _header(kind: str, name: Column, time: Column, reply: Column) -> list[Column]:

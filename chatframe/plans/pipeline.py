@@ -18,6 +18,7 @@ from chatframe.operators.render import failure_note, notes, preview_line, render
 from chatframe.operators.segment import header_segments, primary_intervals, primary_lines
 from chatframe.operators.stats import conversation_stats, with_defaults
 from chatframe.settings import Settings
+from chatframe.storage import store
 
 REF = "2024-06-15 12:00:00"
 MESSAGE = ["conv_id", "msg_idx", "username", "ts_text", "text", "thread_info", "reactions", "start_line", "end_line"]
@@ -42,8 +43,9 @@ def parse_primary(conversations: DataFrame, settings: Settings | None = None) ->
 
 
 def parse(conversations: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Primary messages, and plain-header ones of the conversations that fail the quality gate."""
-    primary = parse_primary(conversations, settings)
+    """Primary messages, and plain-header ones of the conversations that fail the quality gate. The
+    parse is stored once: gate and result both read it."""
+    primary = store(parse_primary(conversations, settings), "primary")
     gate = quality(conversations, primary).where("use_fallback").select("conv_id")
     other = parse_headers(conversations.join(gate, "conv_id", "left_semi"))
     return primary.join(gate, "conv_id", "left_anti").unionByName(other)
@@ -58,16 +60,16 @@ class Result:
 
 
 def run(conversations: DataFrame, settings: Settings | None = None, ref: Column | None = None, fast: bool = False) -> Result:
-    """All stages. ``fast`` takes the plain-header segmenter for all. Conversations refused on
+    """All stages; what several of them read is stored in the shared folder. ``fast`` takes the plain-header segmenter for all. Conversations refused on
     admission render as their error."""
     settings = settings or Settings()
     ref = ref if ref is not None else F.lit(REF).cast("timestamp")
     checked = conversations.select("conv_id", F.coalesce("raw", F.lit("")).alias("raw")).withColumn("error", admission_error(F.col("raw")))
-    accepted = normalise(checked.where("error is null"), settings)
+    accepted = store(normalise(checked.where("error is null"), settings), "normal")
     formats = classify(accepted)
     found = parse_headers(accepted) if fast else parse(accepted, settings)
-    found = drop_similar_messages(fold_continuations(drop_equal_messages(found), settings.compat))
-    found = enrich_messages(found, settings)
+    found = store(fold_continuations(drop_equal_messages(found), settings.compat), "folded")
+    found = store(enrich_messages(drop_similar_messages(found), settings), "messages")
     rendered = render_conversations(found, formats, ref, settings)
     refused = checked.where("error is not null").select("conv_id", F.col("error").alias("markdown"))
     return Result(found, formats, rendered.unionByName(refused), with_defaults(conversations, conversation_stats(found, formats)))

@@ -180,7 +180,7 @@ def lf_names(spark, sf_dir):
     return rows.select("conv_id", "turn", (lines.looks_like_name(c("made")) & (c("turn") % 3 != 1)).alias("is_name"), lines.is_doubled_name(c("made")).alias("is_doubled"))
 
 
-@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 ELSE 0.0 END AS name_time, CASE turn % 4 WHEN 2 THEN 0.95 ELSE 0.0 END AS day, CASE turn % 4 WHEN 3 THEN 0.9 ELSE 0.0 END AS metadata FROM t")
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS name_time, CASE turn % 4 WHEN 2 THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS day, CASE turn % 4 WHEN 3 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS metadata FROM t")
 def fb_line_scores(spark, sf_dir):
     made = F.when(c("turn") % 4 == 0, "Ada Lovell  3:04 PM").when(c("turn") % 4 == 1, cat("and so, ", c("text"))).when(c("turn") % 4 == 2, "--- June 8th ---").otherwise(cat(c("turn"), " replies"))
     rows = turns(spark, sf_dir).select("conv_id", "turn", fallback.line_scores(made).alias("s"))
@@ -280,8 +280,8 @@ def dup_exact(spark, sf_dir):
 
 
 @query(r""", p AS (SELECT conv_id, turn, text AS a, left(text, greatest(length(text) - 5, 0)) || 'qzqzq' AS b FROM t),
- s AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(a), '[ \t\r\n]', '', 'g'), ''), x -> x <> '')) AS ca, list_distinct(list_filter(string_split(regexp_replace(lower(b), '[ \t\r\n]', '', 'g'), ''), x -> x <> '')) AS cb,
-   list_distinct(list_filter(string_split_regex(lower(a), '\s+'), w -> length(w) > 1 OR regexp_matches(w, '^[a-z0-9]$'))) AS wa, list_distinct(list_filter(string_split_regex(lower(b), '\s+'), w -> length(w) > 1 OR regexp_matches(w, '^[a-z0-9]$'))) AS wb FROM p)
+ s AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(a), '[ \t\r\n]', '', 'g'), ''), lambda x: x <> '')) AS ca, list_distinct(list_filter(string_split(regexp_replace(lower(b), '[ \t\r\n]', '', 'g'), ''), lambda x: x <> '')) AS cb,
+   list_distinct(list_filter(string_split_regex(lower(a), '\s+'), lambda w: length(w) > 1 OR regexp_matches(w, '^[a-z0-9]$'))) AS wa, list_distinct(list_filter(string_split_regex(lower(b), '\s+'), lambda w: length(w) > 1 OR regexp_matches(w, '^[a-z0-9]$'))) AS wb FROM p)
  SELECT conv_id, turn, len(list_intersect(ca, cb))::DOUBLE / len(list_distinct(list_concat(ca, cb))) AS chars, len(list_intersect(wa, wb))::DOUBLE / len(list_distinct(list_concat(wa, wb))) AS words FROM s""")
 def dup_jaccard(spark, sf_dir):
     a, b = c("text"), cat(F.left("text", F.greatest(F.length("text") - 5, F.lit(0))), "qzqzq")
@@ -300,14 +300,15 @@ def dup_edit(spark, sf_dir):
 def dup_fuzzy(spark, sf_dir):
     """Every third message said again by somebody else, word for word or with one letter changed."""
     found = messages_of(turns(spark, sf_dir)).withColumn("text", cat("so, ", F.md5("text"), " and ", F.md5(cat(c("text"), "x"))))
-    again = found.where("msg_idx % 3 = 0").withColumns({"msg_idx": c("msg_idx") * 2 + 1, "username": F.lit("Eve Other"), "text": F.when(c("conv_id") % 2 == 0, c("text")).otherwise(cat(c("text"), "."))})
+    again = found.where("msg_idx % 3 = 0").withColumns({"msg_idx": c("msg_idx") * 2 + 1, "username": F.lit("Eve Other"), "text": F.when(c("conv_id") % 2 == 0, c("text")).otherwise(F.concat(F.lit("S"), F.substring("text", 2, 1 << 20)))})
     both = found.withColumn("msg_idx", c("msg_idx") * 2).unionByName(again)
     return dedup.drop_similar_messages(both).select("conv_id", "msg_idx", "username", "text")
 
 
 @query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'link_preview' WHEN 1 THEN 'file_attachment' WHEN 2 THEN 'reactions' ELSE '' END AS kinds,
-  CASE turn % 4 WHEN 3 THEN 'so; ' || md5(text) ELSE 'so; ' || md5(text) || {NL} || 'but: and so on it goes, and on and on, and on [x]' END AS cleaned FROM t""")
+  CASE turn % 4 WHEN 3 THEN 'so; ' || md5(text) WHEN 1 THEN 'but: and so on it goes, and on and on, and on [x]' ELSE 'so; ' || md5(text) || {NL} || 'but: and so on it goes, and on and on, and on [x]' END AS cleaned FROM t""")
 def emb_blocks(spark, sf_dir):
+    """A file block takes in the lines before its first file line."""
     end = "\nbut: and so on it goes, and on and on, and on [x]"
     made = cat("so; ", F.md5("text"), F.when(c("turn") % 4 == 0, "\nhttps://ex.org/a\nA title" + end).when(c("turn") % 4 == 1, "\n[file](https://ex.org/f)\nPDF" + end).when(c("turn") % 4 == 2, "\n:tada: 3\n:smile: 2" + end).otherwise(""))
     rows = turns(spark, sf_dir).select("conv_id", "turn", made.alias("made")).withColumn("e", embed.embedded(c("made")))
