@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -138,10 +139,21 @@ def matches(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike(pattern), F.lit(False)) & F.coalesce(F.length(c) > 0, F.lit(False))
 
 
+def either(patterns: list[str]) -> list[str]:
+    """As few patterns as possible that find what any of these does: those without references to
+    their own groups become one, each keeping its flags."""
+    parts, apart = [], []
+    for p in patterns:
+        flags = re.match(r"\(\?([a-z]+)\)", p)
+        body = p[flags.end() :] if flags else p
+        (apart if re.search(r"\\[1-9]", body) else parts).append(f"(?{flags[1]}:{body})" if flags else f"(?:{body})")
+    return ["|".join(parts)] * bool(parts) + apart
+
+
 def any_match(c: Column, patterns: list[str]) -> Column:
     """One of the patterns is found."""
     found = F.lit(False)
-    for p in patterns:
+    for p in either(patterns):
         found = found | c.rlike(ascii_words(p))
     return F.coalesce(found, F.lit(False))
 
