@@ -42,6 +42,8 @@ GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
 BINS, MARGIN = 128, 0.16
 #: Rows that a streaming task works on together.
 FLUSH = 20_000
+#: Words whose hashes a worker remembers; bounds memory, not results.
+MEMO = 150_000
 
 WORD = re.compile(r"[^\W_]+")
 U = np.uint64
@@ -49,8 +51,10 @@ C1, C2, C3, C4 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB13311
 
 
 class _Hashes(dict):
+    """Word -> hash, for at most MEMO words at a time: a worker keeps it between tasks."""
+
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > MEMO:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

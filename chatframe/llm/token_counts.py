@@ -23,7 +23,7 @@ from chatframe.llm.common import store
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Chunks a worker remembers; beyond, it starts anew. Bounds memory, not results.
-MEMO = 1_000_000
+MEMO = 500_000
 #: Characters of chunks that one call of the library gets.
 CALL_CHARS = 1_000_000
 

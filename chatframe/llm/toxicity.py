@@ -37,6 +37,8 @@ BEGINNINGS = (4, 5, 6)
 #: Share of the trees' probability in the score, so that rows on one isotonic step keep an order.
 BLEND = 0.01
 NEAR = 5
+#: Words whose weights a task remembers; bounds memory, not results.
+MEMO = 150_000
 
 #: English insults (fixed values).
 INSULTS = frozenset("idiot moron stupid scum trash loser clown pathetic worthless disgusting dumb imbecile bastard bitch asshole whore slut retard pig vermin".split())
@@ -58,14 +60,14 @@ def terms(text: str) -> set[str]:
 
 
 class Weights(dict):
-    """Word -> lexicon weight: its own or its heaviest beginning's. Remembers up to a million."""
+    """Word -> lexicon weight: its own or its heaviest beginning's. Remembers at most MEMO words."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > MEMO:
             self.clear()
         self[word] = found = max([self.lexicon.get(word, 0.0), *(self.lexicon.get(f"^{word[:k]}", 0.0) for k in BEGINNINGS if len(word) > k)])
         return found
