@@ -122,9 +122,15 @@ def standard_type(form: Column) -> Column:
     return F.when(form == "dm", "COMPACT").when(form == "thread", "DETAILED").otherwise("CONVERSATION")
 
 
+#: Signs of the plain vote (fixed values).
+VOTES = {
+    "dm": [r"(?m)^\[\d{1,2}:\d{2}\]\(https://.*/archives/D[A-Z0-9]+/p\d+\)$", r"/archives/D[A-Z0-9]+/"],
+    "thread": [r"thread_ts=", r"(?m)^!\[\]\(https://ca\.slack-edge\.com/", r"\d+\s+replies", r"Last reply.*ago.*View thread"],
+    "channel": [r"/archives/C[A-Z0-9]+/", r"(?m)^---\s*[A-Za-z]"],
+}
+
+
 def vote_format(c: Column) -> Column:
-    """The layout by a plain count of signs over the whole text: dm, thread, channel or standard."""
-    dm = sum((F.regexp_count(c, F.lit(p)) for p in (r"/archives/D[A-Z0-9]+/", AVATARS)), F.lit(0))
-    thread = sum((F.regexp_count(c, F.lit(p)) for p in (r"thread_ts=", r"\d+\s+replies", r"(?m)^---$")), F.lit(0))
-    channel = sum((F.regexp_count(c, F.lit(p)) for p in (r"/archives/C[A-Z0-9]+/", r"joined the channel", r"set the channel")), F.lit(0))
-    return F.when((dm > thread) & (dm > channel), "dm").when((thread > dm) & (thread > channel), "thread").when((channel > dm) & (channel > thread), "channel").otherwise("standard")
+    """The layout by how many signs of it the whole text shows: dm, thread, channel or standard."""
+    dm, thread, channel = (sum((c.rlike(p).cast("int") for p in VOTES[k]), F.lit(0)) for k in ("dm", "thread", "channel"))
+    return F.when((dm > thread) & (dm > channel), "dm").when((thread > dm) & (thread >= channel), "thread").when(channel > 0, "channel").otherwise("standard")

@@ -13,7 +13,7 @@ from chatframe.operators.dedup import drop_equal_messages, drop_repeated_blocks,
 from chatframe.operators.detect import admission_error, classify, is_likely_chat
 from chatframe.operators.enrich import enrich_messages
 from chatframe.operators.extract import extract_messages
-from chatframe.operators.fallback import quality
+from chatframe.operators.fallback import fallback_messages, quality
 from chatframe.operators.render import failure_note, notes, preview_line, render_conversations
 from chatframe.operators.segment import header_segments, primary_intervals, primary_lines
 from chatframe.operators.stats import conversation_stats, with_defaults
@@ -42,12 +42,17 @@ def parse_primary(conversations: DataFrame, settings: Settings | None = None) ->
     return extract_messages(lines, primary_intervals(lines)).select(*MESSAGE)
 
 
-def parse(conversations: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Primary messages, and plain-header ones of the conversations that fail the quality gate. The
-    parse is stored once: gate and result both read it."""
+def parse_fallback(conversations: DataFrame, ref: Column | None = None) -> DataFrame:
+    """Messages by the fallback parser."""
+    return fallback_messages(conversations, ref if ref is not None else F.lit(REF).cast("timestamp")).select(*MESSAGE)
+
+
+def parse(conversations: DataFrame, settings: Settings | None = None, ref: Column | None = None) -> DataFrame:
+    """Primary messages, and the fallback parser's of the conversations that fail the quality gate.
+    The parse is stored once: gate and result both read it."""
     primary = store(parse_primary(conversations, settings), "primary")
     gate = quality(conversations, primary).where("use_fallback").select("conv_id")
-    other = parse_headers(conversations.join(gate, "conv_id", "left_semi"))
+    other = parse_fallback(conversations.join(gate, "conv_id", "left_semi"), ref)
     return primary.join(gate, "conv_id", "left_anti").unionByName(other)
 
 
@@ -67,7 +72,7 @@ def run(conversations: DataFrame, settings: Settings | None = None, ref: Column
     checked = conversations.select("conv_id", F.coalesce("raw", F.lit("")).alias("raw")).withColumn("error", admission_error(F.col("raw")))
     accepted = store(normalise(checked.where("error is null"), settings), "normal")
     formats = classify(accepted)
-    found = parse_headers(accepted) if fast else parse(accepted, settings)
+    found = parse_headers(accepted) if fast else parse(accepted, settings, ref)
     found = store(fold_continuations(drop_equal_messages(found), settings.compat), "folded")
     found = store(enrich_messages(drop_similar_messages(found), settings), "messages")
     rendered = render_conversations(found, formats, ref, settings)

@@ -187,6 +187,24 @@ def fb_line_scores(spark, sf_dir):
     return rows.select("conv_id", "turn", c("s.name_time").alias("name_time"), c("s.date").alias("day"), c("s.metadata").alias("metadata"))
 
 
+@query("SELECT conv_id, n AS msg_idx, username, ts AS ts_text, 'so it is, said ' || md5(text) || '; good?' AS text FROM h")
+def fb_parse(spark, sf_dir):
+    """The fallback parser on transcripts."""
+    rows = turns(spark, sf_dir).withColumn("text", cat("so it is, said ", F.md5("text"), "; good?"))
+    return pipeline.parse_fallback(transcripts(rows)).select("conv_id", "msg_idx", "username", "ts_text", "text")
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'a text, said ' || md5(text) || chr(10) || chr(10) || '📎 2 files - Added by X' ELSE 'a text, said ' || md5(text) END AS text, CASE turn % 3 WHEN 1 THEN 1 ELSE 0 END AS n_reactions, CASE turn % 3 WHEN 2 THEN '3 replies View thread' END AS thread_info FROM t")
+def fb_fields(spark, sf_dir):
+    """Attachments, reaction pairs and thread information below a text, one conversation each. A
+    reaction on one line is metadata that the block machine leaves out."""
+    k = c("turn") % 3
+    more = F.when(k == 0, "\n2 files\nAdded by X").when(k == 1, "\n:tada:\n3\n:smile: 2").otherwise("\n3 replies\nView thread")
+    rows = turns(spark, sf_dir).select((c("conv_id") * 100000 + c("turn")).alias("conv_id"), cat("Ada Lovell  [3:04 PM](https://chat.example/archives/C1/p1)\na text, said ", F.md5("text"), more).alias("raw"))
+    rows = fallback.fallback_messages(rows, now())
+    return rows.select(F.floor(c("conv_id") / 100000).alias("conv_id"), (c("conv_id") % 100000).cast("int").alias("turn"), "text", F.size("reactions").alias("n_reactions"), "thread_info")
+
+
 @query("SELECT conv_id, (conv_id % 3 = 0) OR (count(*) > 0 AND conv_id % 3 = 1) AS use_fallback FROM t GROUP BY conv_id")
 def fb_quality(spark, sf_dir):
     found = messages_of(turns(spark, sf_dir)).where("conv_id % 3 <> 0").withColumn("text", F.when(c("conv_id") % 3 == 1, "brief").otherwise(cat("a longer text: ", c("text"))))
@@ -206,7 +224,7 @@ def det_format(spark, sf_dir):
 
 @query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'dm' WHEN 1 THEN 'thread' WHEN 2 THEN 'channel' ELSE 'standard' END AS vote FROM t")
 def det_vote(spark, sf_dir):
-    made = F.when(c("conv_id") % 4 == 0, cat(c("text"), " /archives/D1A/")).when(c("conv_id") % 4 == 1, cat(c("text"), " 3 replies")).when(c("conv_id") % 4 == 2, cat(c("text"), " joined the channel")).otherwise(c("text"))
+    made = F.when(c("conv_id") % 4 == 0, cat(c("text"), " /archives/D1A/")).when(c("conv_id") % 4 == 1, cat(c("text"), " 3 replies")).when(c("conv_id") % 4 == 2, cat(c("text"), " /archives/C1A/")).otherwise(c("text"))
     return turns(spark, sf_dir).select("conv_id", "turn", detect.vote_format(made).alias("vote"))
 
 

@@ -186,3 +186,11 @@ def test_queries_have_sql():
     from chatframe.plans import queries
 
     assert set(queries.QUERIES) - set(queries.ORACLES) == {"run_prose"}
+
+
+def test_fallback(spark):
+    raw = "--- June 8th ---\nAnn Lee\n  3:04 PM\nhello there, all\n10:31 AM\nmore of it, so\n\n\nnobody said this, really\nBo Day  [3:05 PM](https://x.example/archives/C1/p2)\n![](https://ca.slack-edge.com/a)\nyes, so it is\n:tada:\n4\n2 replies"
+    got = pipeline.fallback_messages(spark.createDataFrame([(1, raw), (2, ""), (3, None)], "conv_id long, raw string"), now()).orderBy("msg_idx").collect()
+    assert [(r.username, r.ts_text, r.text) for r in got] == [("Ann Lee", "3:04 PM", "hello there, all\n10:31 AM\nmore of it, so"), ("Unknown User", None, "nobody said this, really"), ("Bo Day", "3:05 PM", "yes, so it is")]
+    assert got[2].thread_info == "2 replies" and [(x.name, x["count"]) for x in got[2].reactions] == [("tada", 4)]
+    assert str(got[0].msg_date) == "2024-06-08 00:00:00"
