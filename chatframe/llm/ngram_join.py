@@ -42,6 +42,8 @@ GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
 BINS, MARGIN = 128, 0.16
 #: Rows that a streaming task works on together.
 FLUSH = 20_000
+#: Candidate members up to which they are broadcast to the texts.
+MEMBERS = 200_000
 #: Words whose hashes a worker remembers; bounds memory, not results.
 MEMO = 150_000
 
@@ -315,6 +317,7 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         members = groups.join(classes.select(F.col("cls").alias("c"), "n"), F.col("cls") == F.col("c"))
         parts = members.groupBy("cand").agg(F.ceil(F.greatest(F.count("*") / GROUP_DOCS, F.sum("n") / GROUP_SHINGLES)).alias("parts"))
         members = groups.join(parts, "cand").join(sums, "cls").select("cls", "cand", "parts", "copies", "digest")
+        members = bounded_broadcast(members, groups.count(), MEMBERS)  # some 60 bytes a row; beyond, texts shuffle once
         texts = base.where("doc_id is not null").join(members, F.col("doc_id") == F.col("cls")).select("cls", "cand", "parts", "copies", "text", "digest")
         sets = texts.mapInArrow(_sets(words), "cls long, cand long, parts long, copies long, shingles binary")
         blocks = _blocks(sets, "cand", "parts").select("g", "side", "cls", "copies", "shingles")
