@@ -1,13 +1,14 @@
-"""Shared helpers: reading tables, and cutting lineage through the cluster's shared folder."""
+"""Shared helpers of the llm operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatframe.storage import shared_dir, store
+
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "doc_bucket", "shared_dir", "store", "table"]
+
 #: Rows up to which a derived per-source or per-model table may carry a broadcast hint.
 BROADCAST_ROWS = 50_000
 
@@ -16,31 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
-
-    Where it is unset, a local session (tests) gets a temporary folder, and a cluster gets a
-    folder in its warehouse, which is shared as well.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] == "local":
-        path = tempfile.mkdtemp(prefix="spark-chatframe-")
-    else:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_chatframe"
-    return path
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, so a
-    lost executor costs a re-read, not a recomputation, and ids made while writing are fixed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chatframe-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only where the row count, already known, is within ``limit``; beyond it
     Catalyst picks a shuffled join, whose skewed partitions AQE splits."""
