@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: The rest of a tag: quoted values are stepped over whole, and a quote opens one only after "=".
+TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+>""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 CONCEALED = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
 
@@ -46,7 +48,7 @@ CELL_GAP = "  "
 
 def tokens(text: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): kind is text, open or close; rest is the text, or an open tag's inside."""
-    at, n = 0, len(text)
+    at, n, quoted = 0, len(text), True
     while at < n:
         m = MARKUP.search(text, at)
         if m is None:
@@ -62,11 +64,13 @@ def tokens(text: str) -> Iterator[tuple[str, str, str]]:
         end = text.find(">", start)
         if end < 0:  # an unfinished tag is dropped
             return
+        if quoted and text[start + 1] not in "!?":
+            whole = TAG_END.match(text, start)
+            if whole:
+                end = whole.end() - 1
+            else:  # quotes that never pair up hide no text: from here on a tag ends at its first ">"
+                quoted = False
         inside = text[start + 1 : end]
-        for quote in "\"'":
-            if "=" in inside and inside.count(quote) % 2 and (close := text.find(quote, end)) >= 0 and (further := text.find(">", close)) >= 0:
-                end, inside = further, text[start + 1 : further]
-                break
         at = end + 1
         if inside[0] in "!?":
             continue

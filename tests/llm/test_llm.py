@@ -268,6 +268,12 @@ def test_html():
     assert html_text.render("<table><tr><td>a<table><tr><td>b<td>c</table><td>d</table>").split() == ["a", "d", "b", "c"]
 
 
+def test_html_tag_ends():
+    assert html_text.render("""<p title="Bob's">Hello it's me</p>tail""") == "Hello it's me\n\ntail"
+    assert html_text.render("""<p title='say "a>b' alt="it's > c">one's "two"</p><a href=x?q="r>s</a>""") == 'one\'s "two"\n\ns'
+    assert html_text.render("""<p title="x>kept "too""") == 'kept "too'
+
+
 def test_html_frame(spark, sf_dir):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>x", "u"), (3, "<p>x", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars, r.n_lines) for r in html_text.extract(pages).collect() if r.text is not None) == [(2, "", 0, 0), (3, "x", 1, 1), (3, "x", 1, 1)]
