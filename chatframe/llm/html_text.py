@@ -5,7 +5,8 @@ end tags that HTML implies (a paragraph ends where a block starts, an item where
 cells end with their row). A renderer then lays out what a reader sees: hidden elements are left
 out, white space collapses as in a browser, blocks stand on lines of their own, paragraphs and
 headings are set off by a blank line, list items carry markers and indentation, and the cells of a
-table are aligned in columns. All visible text is kept.
+table are aligned in columns. All visible text is kept, also that of formulas, drawings and image
+maps. The fallback of an object shows where no ``data`` takes its place.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ CONCEALED = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?
 #: Element classes (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes object canvas audio video svg math datalist map".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes canvas audio video datalist".split())
+#: Formulas and drawings; their children that no browser shows, and those that words don't run through.
+FOREIGN = frozenset("svg math".split())
+UNDRAWN = frozenset("desc metadata annotation annotation-xml".split())
+APART = frozenset("text mtr mtd".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split())
 SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure ul ol dl table hr xmp".split())
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption li option optgroup legend summary".split()) | {"li"}
@@ -48,7 +53,7 @@ CELL_GAP = "  "
 
 def tokens(text: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): kind is text, open or close; rest is the text, or an open tag's inside."""
-    at, n, quoted = 0, len(text), True
+    at, n, quoted, foreign = 0, len(text), True, 0
     while at < n:
         m = MARKUP.search(text, at)
         if m is None:
@@ -61,6 +66,11 @@ def tokens(text: str) -> Iterator[tuple[str, str, str]]:
             end = text.find("-->", start + 4)
             at = n if end < 0 else end + 3
             continue
+        if foreign and text.startswith("<![CDATA[", start):
+            end = text.find("]]>", start)
+            yield "text", "", text[start + 9 : end if end >= 0 else n]
+            at = n if end < 0 else end + 3
+            continue
         end = text.find(">", start)
         if end < 0:  # an unfinished tag is dropped
             return
@@ -76,10 +86,13 @@ def tokens(text: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = NAME.match(inside)[1].lower()
         if inside[0] == "/":
+            foreign = max(0, foreign - (name in FOREIGN))
             yield "close", name, ""
             continue
         yield "open", name, inside[len(name) :]
-        if name in RAW:
+        empty = inside.endswith("/")
+        foreign += name in FOREIGN and not empty
+        if name in RAW and not (foreign and empty):
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(text, at)
             end = close.start() if close else n
             body = text[at:end]
@@ -230,7 +243,7 @@ def _number(value: str | None, default: int) -> int:
 def render(markup: str) -> str:
     """The visible text of a page, laid out; an empty string for markup without any."""
     flows, tables, lists = [Flow()], [], []
-    unseen, pre, details = 0, 0, []
+    unseen, pre, foreign, details = 0, 0, 0, []
     opened: list[tuple[str, bool, bool]] = []
     for kind, name, rest in events(markup):
         flow = flows[-1]
@@ -240,7 +253,10 @@ def render(markup: str) -> str:
             continue
         if kind == "open":
             a = _attributes(rest) if rest and not rest.isspace() else {}
-            hide = name in UNSEEN or "hidden" in a or ("style" in a and bool(CONCEALED.search(a["style"]))) or (name == "dialog" and "open" not in a)
+            hide = name in UNSEEN or "hidden" in a or ("style" in a and bool(CONCEALED.search(a["style"]))) or (name == "dialog" and "open" not in a) or (name == "object" and "data" in a)
+            foreign += name in FOREIGN
+            if foreign:
+                hide = hide or name in UNDRAWN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")
             inside = details and details[-1][1] == len(opened) and name != "summary"
             hide = hide or bool(inside and not details[-1][0])
             opened.append((name, hide, False))
@@ -250,6 +266,8 @@ def render(markup: str) -> str:
                 unseen += 1
             if unseen:
                 continue
+            if foreign and name in APART:
+                flow.gap = True
             if name == "br":
                 flow.end_line(keep=True)
             elif name in ("pre", "textarea", "xmp"):
@@ -287,11 +305,14 @@ def render(markup: str) -> str:
         if not opened:
             continue
         _, hide, own = opened.pop()
+        foreign -= name in FOREIGN
         if name == "details" and details:
             details.pop()
         if unseen:
             unseen -= hide
             continue
+        if foreign and name in APART:
+            flow.gap = True
         if own and name in ("td", "th"):
             lines = flows.pop().finish()
             tables[-1][-1][-1] = (lines, tables[-1][-1][-1][1])

@@ -274,6 +274,16 @@ def test_html_tag_ends():
     assert html_text.render("""<p title="x>kept "too""") == 'kept "too'
 
 
+def test_html_foreign():
+    render = html_text.render
+    assert render('a <svg><title>t</title><desc>d</desc><metadata>m</metadata><style>s{}</style><text x="1">Jan</text><text><![CDATA[a<b]]></text><path d="M0"/></svg> z') == "a Jan a<b z"
+    assert render("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation><annotation-xml>xml</annotation-xml></math>.") == "so x=2."
+    assert render("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math>") == "1 2"
+    assert render('<map name=m><p>go <a href=x>north</a></p><area alt=no></map>') == "go north"
+    assert render("<object>flat</object><object data=x.png>no</object>") == "flat"
+    assert render('<svg display="none"><text>no</text></svg><svg><title/><text>b</text></svg> <desc>kept</desc>') == "b kept"
+
+
 def test_html_frame(spark, sf_dir):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>x", "u"), (3, "<p>x", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars, r.n_lines) for r in html_text.extract(pages).collect() if r.text is not None) == [(2, "", 0, 0), (3, "x", 1, 1), (3, "x", 1, 1)]
