@@ -214,12 +214,14 @@ def fb_quality(spark, sf_dir):
 # --- classification ------------------------------------------------------------------------------
 @query("SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'dm' WHEN 1 THEN 'thread' WHEN 2 THEN 'bracket' WHEN 3 THEN 'channel' ELSE 'standard' END AS format, CASE conv_id % 5 WHEN 0 THEN 'COMPACT' WHEN 1 THEN 'DETAILED' ELSE 'CONVERSATION' END AS standard_type FROM t GROUP BY conv_id")
 def det_format(spark, sf_dir):
+    """All turns of a conversation, whole, each behind the decoration."""
     kinds = ["[3:04](https://x.example/archives/D1AB/p17)\nso, ", "[Monday](https://x.example/p1?thread_ts=1)\n3 replies\nthread_ts=\nso, ", "[Message from Ada]\n[Time: 3:04 PM]\nso, ", "#general-talk\nAda joined the channel\nBen set the channel\nso, ", "so, "]
     made = F.lit(kinds[4])
     for i, k in enumerate(kinds[:4]):
         made = F.when(c("conv_id") % 5 == i, k).otherwise(made)
-    rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).select("conv_id", cat(made, F.left("text", F.lit(60))).alias("raw"))
-    return detect.classify(rows).select("conv_id", "format", detect.standard_type(c("format")).alias("standard_type"))
+    said = turns(spark, sf_dir).select("conv_id", "turn", cat(made, c("text")).alias("said"))
+    rows = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("s"))
+    return detect.classify(rows.select("conv_id", F.array_join(F.transform("s", lambda x: x["said"]), "\n").alias("raw"))).select("conv_id", "format", detect.standard_type(c("format")).alias("standard_type"))
 
 
 @query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'dm' WHEN 1 THEN 'thread' WHEN 2 THEN 'channel' ELSE 'standard' END AS vote FROM t")

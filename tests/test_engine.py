@@ -194,3 +194,20 @@ def test_fallback(spark):
     assert [(r.username, r.ts_text, r.text) for r in got] == [("Ann Lee", "3:04 PM", "hello there, all\n10:31 AM\nmore of it, so"), ("Unknown User", None, "nobody said this, really"), ("Bo Day", "3:05 PM", "yes, so it is")]
     assert got[2].thread_info == "2 replies" and [(x.name, x["count"]) for x in got[2].reactions] == [("tada", 4)]
     assert str(got[0].msg_date) == "2024-06-08 00:00:00"
+
+
+def seen_by(monkeypatch, module, name):
+    """Frames that reach an operator."""
+    frames, f = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda df, *a, **b: frames.append(df) or f(df, *a, **b))
+    return frames
+
+
+def test_format_sees_all_turns(spark, sf_dir, monkeypatch):
+    from chatframe.plans import queries
+
+    frames = seen_by(monkeypatch, detect, "classify")
+    kinds = ["dm", "thread", "bracket", "channel", "standard"]
+    assert all(r.format == kinds[r.conv_id % 5] for r in queries.det_format(spark, sf_dir).collect())
+    raw = {r.conv_id: r.raw for r in frames[0].collect()}
+    assert all(r.text in raw[r.conv_id] for r in turns(spark, sf_dir).collect())
