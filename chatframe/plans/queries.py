@@ -69,6 +69,13 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
+def digest(x: Column, before: str, after: str = "") -> Column:
+    """An operator's result with what is between its decoration as md5. The operator sees and gives
+    the whole text; a result whose decoration isn't intact stays as it is."""
+    inner = F.substr(x, F.lit(len(before) + 1), F.length(x) - len(before) - len(after))
+    return F.when(x.startswith(before) & x.endswith(after), cat(before, F.md5(inner), after)).otherwise(x)
+
+
 # --- sources, sinks, admission -------------------------------------------------------------------
 @query(f"SELECT conv_id, string_agg(head || {NL} || text, {NL} ORDER BY turn) AS raw FROM h GROUP BY conv_id")
 def src_transcripts(spark, sf_dir):
@@ -319,20 +326,24 @@ def dup_edit(spark, sf_dir):
 @query("SELECT conv_id, turn * 2 AS msg_idx, username, 'so, ' || md5(text) || ' and ' || md5(text || 'x') AS text FROM t")
 def dup_fuzzy(spark, sf_dir):
     """Every third message said again by somebody else, word for word or with one letter changed."""
-    found = messages_of(turns(spark, sf_dir)).withColumn("text", cat("so, ", F.md5("text"), " and ", F.md5(cat(c("text"), "x"))))
+    found = messages_of(turns(spark, sf_dir)).withColumn("text", cat("so, ", c("text"), " and ", c("text"), "x"))
     again = found.where("msg_idx % 3 = 0").withColumns({"msg_idx": c("msg_idx") * 2 + 1, "username": F.lit("Eve Other"), "text": F.when(c("conv_id") % 2 == 0, c("text")).otherwise(F.concat(F.lit("S"), F.substring("text", 2, 1 << 20)))})
     both = found.withColumn("msg_idx", c("msg_idx") * 2).unionByName(again)
-    return dedup.drop_similar_messages(both).select("conv_id", "msg_idx", "username", "text")
+    n = F.floor((F.length("text") - 10) / 2).cast("int")
+    part = lambda at, size: F.substr(c("text"), at, size)
+    said = cat(part(F.lit(1), F.lit(4)), F.md5(part(F.lit(5), n)), part(n + 5, F.lit(5)), F.md5(part(n + 10, F.length("text"))))
+    return dedup.drop_similar_messages(both).select("conv_id", "msg_idx", "username", said.alias("text"))
 
 
 @query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'link_preview' WHEN 1 THEN 'file_attachment' WHEN 2 THEN 'reactions' ELSE '' END AS kinds,
   CASE turn % 4 WHEN 3 THEN 'so; ' || md5(text) WHEN 1 THEN 'but: and so on it goes, and on and on, and on [x]' ELSE 'so; ' || md5(text) || {NL} || 'but: and so on it goes, and on and on, and on [x]' END AS cleaned FROM t""")
 def emb_blocks(spark, sf_dir):
-    """A file block takes in the lines before its first file line."""
+    """Whole texts; a file block takes in the lines before its first file line, so there the text is
+    one line, its md5."""
     end = "\nbut: and so on it goes, and on and on, and on [x]"
-    made = cat("so; ", F.md5("text"), F.when(c("turn") % 4 == 0, "\nhttps://ex.org/a\nA title" + end).when(c("turn") % 4 == 1, "\n[file](https://ex.org/f)\nPDF" + end).when(c("turn") % 4 == 2, "\n:tada: 3\n:smile: 2" + end).otherwise(""))
+    made = cat("so; ", F.when(c("turn") % 4 == 1, F.md5("text")).otherwise(c("text")), F.when(c("turn") % 4 == 0, "\nhttps://ex.org/a\nA title" + end).when(c("turn") % 4 == 1, "\n[file](https://ex.org/f)\nPDF" + end).when(c("turn") % 4 == 2, "\n:tada: 3\n:smile: 2" + end).otherwise(""))
     rows = turns(spark, sf_dir).select("conv_id", "turn", made.alias("made")).withColumn("e", embed.embedded(c("made")))
-    return rows.select("conv_id", "turn", F.array_join(F.transform("e.blocks", lambda b: b["type"]), ",").alias("kinds"), c("e.cleaned").alias("cleaned"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("e.blocks", lambda b: b["type"]), ",").alias("kinds"), F.when(c("turn") % 4 == 1, c("e.cleaned")).when(c("turn") % 4 == 3, digest(c("e.cleaned"), "so; ")).otherwise(digest(c("e.cleaned"), "so; ", end)).alias("cleaned"))
 
 
 @query(f"""SELECT conv_id, min(turn) AS msg_idx, string_agg(x, {NL} || {NL} ORDER BY turn) AS text, count(*) AS pieces FROM (
@@ -369,8 +380,9 @@ on_text("enr_avatars", lambda: cat("![](https://ca.slack-edge.com/a", c("turn"),
 
 @query("SELECT conv_id, turn AS msg_idx, 'so, ' || md5(text) || ' &lt;b&gt; [d](https://ex.org) [[User-U1]] 😄 \"q\"' AS text FROM t")
 def enr_pipeline(spark, sf_dir):
-    found = messages_of(turns(spark, sf_dir)).withColumn("text", cat("so, ", F.md5("text"), " <b> <https://ex.org|d> <@U1> :smile: “q”"))
-    return enrich_messages(found, Settings()).select("conv_id", "msg_idx", "text")
+    found = messages_of(turns(spark, sf_dir)).withColumn("text", cat("so, ", c("text"), " <b> <https://ex.org|d> <@U1> :smile: “q”"))
+    shown = digest(c("text"), "so, ", ' &lt;b&gt; [d](https://ex.org) [[User-U1]] 😄 "q"')
+    return enrich_messages(found, Settings()).select("conv_id", "msg_idx", shown.alias("text"))
 
 
 # --- names, emoji, times -------------------------------------------------------------------------
@@ -493,7 +505,7 @@ def val_report(spark, sf_dir):
 
 @query("SELECT conv_id, turn, turn % 4 <> 0 AS is_valid, CASE turn % 4 WHEN 0 THEN 0 WHEN 1 THEN 95 ELSE 100 END AS score FROM t")
 def val_content(spark, sf_dir):
-    made = F.when(c("turn") % 4 == 0, cat("so <script>", F.md5("text"))).when(c("turn") % 4 == 1, F.repeat(F.md5("text"), F.lit(400))).otherwise(F.md5("text"))
+    made = F.when(c("turn") % 4 == 0, cat("so <script>", c("text"))).when(c("turn") % 4 == 1, cat(c("text"), F.repeat(F.lit("so, "), F.lit(3200)))).otherwise(c("text"))
     return turns(spark, sf_dir).select("conv_id", "turn", validate.content_check(made).alias("x")).select("conv_id", "turn", "x.*")
 
 
@@ -523,9 +535,10 @@ def ext_rollup(spark, sf_dir):
 # --- the whole way -------------------------------------------------------------------------------
 @query(f"SELECT conv_id, string_agg('> [!slack]+ Message from ' || username || {NL} || '> **Time:** ' || ts || {NL} || '>' || {NL} || '> so it is, said ' || md5(text) || '; 😄 [d](https://ex.org)', {NL} || {NL} ORDER BY turn) AS markdown FROM t GROUP BY conv_id")
 def run_fast(spark, sf_dir):
-    """All stages over plain-header segments."""
-    rows = turns(spark, sf_dir).withColumn("text", cat("so it is, said ", F.md5("text"), "; :smile: <https://ex.org|d>"))
-    return pipeline.run(transcripts(rows), fast=True).rendered
+    """All stages over plain-header segments; whole texts go in and come out, and are digested last."""
+    rows = turns(spark, sf_dir).withColumn("text", cat("so it is, said ", c("text"), "; :smile: <https://ex.org|d>"))
+    said = text.map_tokens(c("markdown"), r"(?s)(?<=> so it is, said ).*?(?=; 😄 \[d\]\(https://ex\.org\))", lambda t: F.md5(F.replace(t, F.lit("\n> "), F.lit("\n"))))
+    return pipeline.run(transcripts(rows), fast=True).rendered.select("conv_id", said.alias("markdown"))
 
 
 @query(f"SELECT conv_id, string_agg('> [!slack]+ Message from ' || username || {NL} || '> **Time:** ' || ts || {NL} || '>' || {NL} || '> so it is, said ' || md5(text) || '; 😄 [d](https://ex.org)', {NL} || {NL} ORDER BY turn) AS markdown FROM t GROUP BY conv_id")

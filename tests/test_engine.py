@@ -211,3 +211,14 @@ def test_format_sees_all_turns(spark, sf_dir, monkeypatch):
     assert all(r.format == kinds[r.conv_id % 5] for r in queries.det_format(spark, sf_dir).collect())
     raw = {r.conv_id: r.raw for r in frames[0].collect()}
     assert all(r.text in raw[r.conv_id] for r in turns(spark, sf_dir).collect())
+
+
+def test_queries_see_whole_texts(spark, sf_dir, monkeypatch):
+    from chatframe.plans import queries
+
+    whole = [r.text for r in turns(spark, sf_dir).collect()]
+    for name, module, operator, col in (("dup_fuzzy", dedup, "drop_similar_messages", "text"), ("enr_pipeline", queries, "enrich_messages", "text"), ("run_fast", pipeline, "run", "raw")):
+        frames = seen_by(monkeypatch, module, operator)
+        queries.QUERIES[name](spark, sf_dir)
+        seen = [r[0] for r in frames[0].select(col).collect()]
+        assert all(any(x in y for y in seen) for x in whole), name
