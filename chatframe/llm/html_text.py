@@ -5,14 +5,17 @@ end tags that HTML implies (a paragraph ends where a block starts, an item where
 cells end with their row). A renderer then lays out what a reader sees: hidden elements are left
 out, white space collapses as in a browser, blocks stand on lines of their own, paragraphs and
 headings are set off by a blank line, list items carry markers and indentation, and the cells of a
-table are aligned in columns. All visible text is kept, also that of formulas, drawings and image
-maps. The fallback of an object shows where no ``data`` takes its place.
+table are aligned in columns, row spans included. All visible text is kept, also that of formulas,
+drawings and image maps. The fallback of an object shows where no ``data`` takes its place.
+
+Time and output are in proportion to the markup, however deep or uneven it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +28,8 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 #: The rest of a tag: quoted values are stepped over whole, and a quote opens one only after "=".
 TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+>""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-CONCEALED = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+CONCEALED = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none\b")
+VISIBILITY = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*(\w+)")
 
 #: Element classes (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +53,9 @@ IMPLIED = {
 }
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 CELL_GAP = "  "
+#: Layout that deep or uneven markup can't multiply: indents in a line, columns' widest, tables within
+#: tables that are aligned, and cells of a grid beyond twice those that are there.
+INDENTS, COLUMN, NESTED, GRID = 20, 60, 8, 4096
 
 
 def tokens(text: str) -> Iterator[tuple[str, str, str]]:
@@ -101,46 +108,72 @@ def tokens(text: str) -> Iterator[tuple[str, str, str]]:
             at = n if close is None or text.find(">", end) < 0 else text.find(">", end) + 1
 
 
+class Open:
+    """The open elements, and where each name stands among them, so that no step looks through all
+    of them."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append(name)
+
+    def pop_to(self, n: int) -> Iterator[tuple[str, str, str]]:
+        """Close the elements from place ``n`` on, innermost first."""
+        while len(self.stack) > n:
+            name = self.stack.pop()
+            self.at[name].pop()
+            yield "close", name, ""
+
+    def last(self, *names: str) -> int:
+        """The innermost place of any of the names, or -1."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+    def first_after(self, wall: int, *names: str) -> int:
+        """The outermost place of any of the names beyond ``wall``, or -1."""
+        found = -1
+        for x in names:
+            places = self.at.get(x, ())
+            k = bisect_right(places, wall)
+            if k < len(places) and (found < 0 or places[k] < found):
+                found = places[k]
+        return found
+
+
 def events(text: str) -> Iterator[tuple[str, str, str]]:
     """Balanced events, with implied end tags."""
-    stack: list[str] = []
+    o = Open()
     for kind, name, rest in tokens(text):
+        head = o.stack and o.stack[-1] == "head"
         if kind == "text":
-            if stack and stack[-1] == "head" and rest.strip():
-                yield "close", stack.pop(), ""
+            if head and rest.strip():
+                yield from o.pop_to(len(o.stack) - 1)
             yield kind, name, rest
         elif kind == "open":
-            if stack and stack[-1] == "head" and name not in HEAD_ONLY:
-                yield "close", stack.pop(), ""
-            ends, barriers = IMPLIED.get(name, ((), ()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] in barriers:
-                    break
-                if stack[i] in ends:
-                    while len(stack) > i:
-                        yield "close", stack.pop(), ""
+            if head and name not in HEAD_ONLY:
+                yield from o.pop_to(len(o.stack) - 1)
+            if name in IMPLIED:
+                ends, barriers = IMPLIED[name]
+                place = o.first_after(o.last(*barriers), *ends)
+                if place >= 0:
+                    yield from o.pop_to(place)
             if name in ENDS_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i] in ("td", "th", "table", "li", "object", "button", "caption"):
-                        break
-                    if stack[i] == "p":
-                        while len(stack) > i:
-                            yield "close", stack.pop(), ""
-                        break
+                place = o.last("p")
+                if place > o.last("td", "th", "table", "li", "object", "button", "caption"):
+                    yield from o.pop_to(place)
             yield kind, name, rest
             if name in VOID or rest.endswith("/") and name not in BLOCK:
                 yield "close", name, ""
             else:
-                stack.append(name)
-        elif name in stack:
-            at = len(stack) - 1 - stack[::-1].index(name)
-            walls = ("table",) if name not in ("table", "body", "html") else ()
-            if any(s in walls for s in stack[at + 1 :]) and name not in ("td", "th", "tr"):
-                continue  # a stray end tag inside a table doesn't close what is around it
-            while len(stack) > at:
-                yield "close", stack.pop(), ""
-    while stack:
-        yield "close", stack.pop(), ""
+                o.push(name)
+        else:
+            place = o.last(name)
+            # a stray end tag inside a table doesn't close what is around it
+            if place >= 0 and (name in ("td", "th", "tr", "table", "body", "html") or o.last("table") < place):
+                yield from o.pop_to(place)
+    yield from o.pop_to(0)
 
 
 class Flow:
@@ -193,7 +226,7 @@ class Flow:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        pad = "".join(self.indent)
+        pad = "".join(self.indent[:INDENTS])
         if self.marker:
             pad = pad[: -len(self.marker)] + self.marker
             self.marker = ""
@@ -209,27 +242,62 @@ class Flow:
         return self.lines
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table whose cells are (lines, columns spanned), in columns as wide as their
-    widest cell of one column."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], max(map(len, lines), default=0))
-            at += span
-    out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            at, cells = 0, []
-            for lines, span in row:
-                width = sum(widths[at : at + span]) + len(CELL_GAP) * (span - 1)
-                cells.append((lines[k] if k < len(lines) else "").ljust(width))
+class Table:
+    """Rows of cells, each (lines, columns spanned, rows spanned)."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+
+    def grid(self) -> list[list[tuple[int, int, list[str]]]] | None:
+        """(column, columns spanned, lines) of each row's cells, below what spans from above; None if
+        the spans make a grid that is mostly empty."""
+        most, cells = 0, sum(map(len, self.rows))
+        out, busy = [], {}
+        for row in self.rows:
+            at, placed = 0, []
+            for lines, span, down in row:
+                while at in busy:
+                    at += 1
+                placed.append((at, span, lines))
+                if down != 1:
+                    busy |= dict.fromkeys(range(at, at + span), down or len(self.rows))
                 at += span
-            out.append(CELL_GAP.join(cells).rstrip())
-    return out
+            most = max(most, at, len(busy))
+            if most * len(self.rows) > 2 * cells + GRID:
+                return None
+            out.append(placed)
+            busy = {c: n - 1 for c, n in busy.items() if n > 1}
+        return out
+
+    def lines(self) -> list[str]:
+        """The table's lines, in columns as wide as their widest cell of one column. Cells wider than
+        COLUMN don't widen theirs. Where aligning would mostly add blanks, cells follow each other,
+        so that what comes out is in proportion to what went in."""
+        grid = self.grid()
+        if grid is None:
+            return [line for row in self.rows for line in _beside([(lines, 0) for lines, _, _ in row])]
+        widths: dict[int, int] = {}
+        for row in grid:
+            for at, span, lines in row:
+                if span == 1:
+                    widths[at] = max(widths.get(at, 0), min(COLUMN, max(map(len, lines), default=0)))
+        out = []
+        for row in grid:
+            cells, at = [], 0
+            for column, span, lines in row:
+                cells += [([], widths.get(c, 0)) for c in range(at, column)]
+                cells.append((lines, sum(widths.get(c, 0) for c in range(column, column + span)) + len(CELL_GAP) * (span - 1)))
+                at = column + span
+            out += _beside(cells)
+        return out
+
+
+def _beside(cells: list[tuple[list[str], int]]) -> list[str]:
+    """Cells (lines, width) side by side, or one below the other where few of them have a line."""
+    tall, every = max((len(lines) for lines, _ in cells), default=0), sum(len(lines) for lines, _ in cells)
+    if tall * len(cells) > 8 * every + 64:
+        return [x for lines, _ in cells for x in lines]
+    return [CELL_GAP.join((lines[k] if k < len(lines) else "").ljust(width) for lines, width in cells).rstrip() for k in range(tall)]
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -240,15 +308,22 @@ def _number(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"-?[0-9]{1,6}", value) else default
 
 
+def _sight(a: dict[str, str]) -> bool | None:
+    """What an element says of its own visibility: inherited, unless an inner element says other."""
+    found = VISIBILITY.findall(a["style"]) if "style" in a else []
+    said = (found[-1] if found else a.get("visibility", "")).lower()
+    return True if said == "visible" else False if said in ("hidden", "collapse") else None
+
+
 def render(markup: str) -> str:
     """The visible text of a page, laid out; an empty string for markup without any."""
     flows, tables, lists = [Flow()], [], []
-    unseen, pre, foreign, details = 0, 0, 0, []
-    opened: list[tuple[str, bool, bool]] = []
+    unseen, pre, foreign, flat, visible, details = 0, 0, 0, 0, True, []
+    opened: list[tuple[str, bool, bool, bool]] = []  # name, hidden with all inside, laid out as a table's part, what was visible before
     for kind, name, rest in events(markup):
         flow = flows[-1]
         if kind == "text":
-            if not unseen and not (details and not details[-1][0] and details[-1][1] == len(opened)):
+            if visible and not unseen and not (details and not details[-1][0] and details[-1][1] == len(opened)):
                 flow.text(rest.lstrip("\n") if pre and not flow.line and name == "raw" else rest, pre > 0)
             continue
         if kind == "open":
@@ -256,39 +331,48 @@ def render(markup: str) -> str:
             hide = name in UNSEEN or "hidden" in a or ("style" in a and bool(CONCEALED.search(a["style"]))) or (name == "dialog" and "open" not in a) or (name == "object" and "data" in a)
             foreign += name in FOREIGN
             if foreign:
-                hide = hide or name in UNDRAWN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")
+                hide = hide or name in UNDRAWN or a.get("display") == "none"
             inside = details and details[-1][1] == len(opened) and name != "summary"
             hide = hide or bool(inside and not details[-1][0])
-            opened.append((name, hide, False))
+            opened.append((name, hide, False, visible))
+            if "style" in a or foreign:
+                said = _sight(a)
+                visible = visible if said is None else said
             if name == "details":
                 details.append(("open" in a, len(opened)))
             if hide:
                 unseen += 1
             if unseen:
                 continue
+            in_table = tables and not flat
             if foreign and name in APART:
                 flow.gap = True
             if name == "br":
-                flow.end_line(keep=True)
+                if visible:
+                    flow.end_line(keep=True)
             elif name in ("pre", "textarea", "xmp"):
                 pre += 1
                 flow.block(name != "textarea")
             elif name in ("td", "th"):
-                if not tables:
+                if not in_table:
                     flow.block(False)
                 else:
-                    if not tables[-1]:
-                        tables[-1].append([])
-                    tables[-1][-1].append(([], max(1, min(1000, _number(a.get("colspan"), 1)))))
+                    rows = tables[-1].rows
+                    if not rows:
+                        rows.append([])
+                    rows[-1].append(([], max(1, min(1000, _number(a.get("colspan"), 1))), max(0, min(65534, _number(a.get("rowspan"), 1)))))
                     flows.append(Flow())
-                    opened[-1] = (name, hide, True)
-            elif name == "tr" and tables:
-                tables[-1].append([])
+                    opened[-1] = (name, hide, True, opened[-1][3])
+            elif name == "tr" and in_table:
+                tables[-1].rows.append([])
             elif name == "table":
                 flow.block(True)
-                tables.append([])
-                opened[-1] = (name, hide, True)
-            elif name in BLOCK and not (name in ("thead", "tbody", "tfoot") and tables):
+                if flat or len(tables) >= NESTED:
+                    flat += 1
+                else:
+                    tables.append(Table())
+                opened[-1] = (name, hide, True, opened[-1][3])
+            elif name in BLOCK and not (name in ("thead", "tbody", "tfoot") and in_table):
                 flow.block(name in SET_OFF and not (lists and name in ("ul", "ol")))
                 if name in ("ul", "ol", "menu", "dir"):
                     lists.append([name, _number(a.get("start"), 1)])
@@ -304,26 +388,30 @@ def render(markup: str) -> str:
             continue
         if not opened:
             continue
-        _, hide, own = opened.pop()
+        _, hide, own, visible = opened.pop()
         foreign -= name in FOREIGN
         if name == "details" and details:
             details.pop()
         if unseen:
             unseen -= hide
             continue
+        in_table = tables and not flat
         if foreign and name in APART:
             flow.gap = True
         if own and name in ("td", "th"):
-            lines = flows.pop().finish()
-            tables[-1][-1][-1] = (lines, tables[-1][-1][-1][1])
+            rows = tables[-1].rows
+            rows[-1][-1] = (flows.pop().finish(), *rows[-1][-1][1:])
         elif own and name == "table":
-            for line in aligned(tables.pop()):
-                flow.put(line)
+            if flat:
+                flat -= 1
+            else:
+                for line in tables.pop().lines():
+                    flow.put(line)
             flow.block(True)
         elif name in ("pre", "textarea", "xmp"):
             flow.block(name != "textarea")
             pre -= 1
-        elif name in BLOCK and not (name in ("thead", "tbody", "tfoot", "tr") and tables):
+        elif name in BLOCK and not (name in ("thead", "tbody", "tfoot", "tr") and in_table):
             flow.block(name in SET_OFF and not (len(lists) > 1 and name in ("ul", "ol")))
             if name in ("ul", "ol", "menu", "dir") and lists:
                 lists.pop()
