@@ -1,12 +1,18 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
 Unit vectors with cosine >= t lie within d = sqrt(2 - 2t). Vectors are dealt to cells around
-pivots (a farthest-first net, whose prefixes are the upper cover-tree levels); a cell over the
-block size is split into blocks of at most about ``BLOCK`` vectors. Each block gets a cover tree:
-nested nets with halving radii. Two blocks meet in one task only if their balls are close enough;
-there the trees are traversed together from the coarsest level, and a pair of nodes whose centres
-are further apart than d plus both covering radii is dropped. Pairs of vectors that are left are
-decided in double precision, so the pairs are exact.
+pivots (a farthest-first net, whose prefixes are the upper cover-tree levels); neighbouring cells
+make blocks, and a cell over the block size is split. Each block gets a cover tree: nested nets
+whose radii halve from the root, which covers the sphere, down.
+
+Pruning comes before copying: cells' centres and covering radii go to all tasks, and a vector
+travels to another block only if it is within d and the covering radius of one of its cells. Of two
+blocks that still meet, the trees are traversed together from the root, and a pair of nodes whose
+centres are further apart than d plus both covering radii is dropped. Pairs of vectors that are left
+are decided in double precision, so the pairs are exact.
+
+Where nothing can be pruned (vectors that are all about equally far apart), blocks are as few as
+keep all cores busy, and as large as memory allows: a vector travels to that many places.
 
 Vectors that are equal number for number are one class. A task returns a count of links for each
 class and the edges of a spanning forest, so a group of n copies never becomes n^2 rows.
@@ -20,22 +26,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.llm.common import store
 from chatframe.llm.components import components
 
-#: Vectors of a block: bounds a task's memory (two blocks and slices of their products).
-BLOCK = 4096
-#: Vectors from which pivots are chosen, and pivots at most; every vector is dealt all the same.
-PIVOT_SAMPLE, MAX_PIVOTS = 4096, 1024
-#: Radii of the nested levels, finest first.
-RADII = (0.125, 0.25, 0.5)
+#: Bytes of a block's vectors in double precision: bounds a task's memory (two blocks, slices of
+#: their products), whatever their length.
+BLOCK_BYTES = 8 << 20
+#: Vectors for each cell on average, vectors from which pivots are chosen, and pivots at most; every
+#: vector is dealt all the same.
+CELL, PIVOT_SAMPLE, MAX_PIVOTS = 256, 4096, 1024
+#: Radii of the nested levels, finest first; the last one covers the sphere.
+RADII = (0.125, 0.25, 0.5, 1.0, 2.0)
+#: Centres of which one in PROBE_SHARE must have a neighbour for a level to be built over a net.
+PROBE, PROBE_SHARE = 256, 4
 #: Slack of single-precision products; what it lets through is decided in double precision.
 SLACK = 1e-3
-#: Pairs looked at together.
-SLICE = 250_000
+#: Pairs looked at together, and pairs of children from which one product decides for two nodes.
+SLICE, PRODUCT = 250_000, 4096
 
 
 def _unit(flat: np.ndarray, n: int) -> np.ndarray:
@@ -46,13 +57,18 @@ def _unit(flat: np.ndarray, n: int) -> np.ndarray:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, digest, dim); digest is null where the vector can't link."""
     for batch in batches:
-        out, dims = [], []
-        for row in batch.column("embedding").to_pylist():
-            x = np.array([np.nan if c is None else c for c in row], np.float64) if row else np.zeros(0)
-            fine = x.size and np.isfinite(x).all() and x.any()
-            out.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if fine else None)
-            dims.append(int(x.size))
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "digest", "dim"])
+        digests, dims = _digest(batch.column("embedding"))
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), digests, dims], ["vec_id", "digest", "dim"])
+
+
+def _digest(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    flat = column.flatten().to_numpy(zero_copy_only=False)  # null components are NaN
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int32)
+    out = []
+    for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+        x = flat[end - n : end]
+        out.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() if n and np.isfinite(x).all() and x.any() else None)
+    return pa.array(out, pa.binary()), pa.array(sizes)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -74,18 +90,22 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
 
 def nested_nets(x: np.ndarray, radii: tuple[float, ...] = RADII) -> np.ndarray:
     """(levels, n): for each point the index of its node's centre, finest level first. A level's
-    centres are a net of the level below, so levels nest."""
+    centres are a net of the level below, so levels nest. Where a probe finds hardly any neighbours,
+    a level is the one below: radii are measured, so this costs pruning only."""
     levels, centres, of = [], np.arange(len(x)), np.arange(len(x))
     for r in radii:
         c = x[centres].astype(np.float32)
+        cos = 1 - r * r / 2 - 1e-6
+        probe = np.arange(0, len(c), max(1, len(c) // PROBE))
+        if r < radii[-1] and len(c) > PROBE and ((c[probe] @ c.T >= cos).sum(1) > 1).sum() * PROBE_SHARE < len(probe):
+            levels.append(of)
+            continue
         parent = np.full(len(centres), -1)
-        cos = 1 - r * r / 2
-        busy = [i for s in range(0, len(c), 1024) for i in s + np.flatnonzero((c[s : s + 1024] @ c.T >= cos).sum(1) > 1)]
-        for i in busy:
+        for i in range(len(c)):
             if parent[i] < 0:
-                near = np.flatnonzero((c @ c[i] >= cos) & (parent < 0))
+                left = np.flatnonzero(parent < 0)
+                near = left[c[left] @ c[i] >= cos]
                 parent[near], parent[i] = i, i
-        parent = np.where(parent < 0, np.arange(len(centres)), parent)
         lookup = np.full(len(x), -1)
         lookup[centres] = centres[parent]
         of = lookup[of]
@@ -98,7 +118,10 @@ class Tree:
     """Nodes of each level, coarsest first, then the points; covering radii are measured."""
 
     def __init__(self, x: np.ndarray, levels: np.ndarray):
-        self.x, self.centres, self.radius, self.children = x, [], [], []
+        """``levels`` names the nodes of each point; a node's first point here stands at its centre,
+        since the vectors that met may be some of the block's only."""
+        levels = [at[index] for _, at, index in (np.unique(of, return_index=True, return_inverse=True) for of in levels)]
+        self.x, self.small, self.centres, self.radius, self.children = x, x.astype(np.float32), [], [], []
         chain = [*levels[::-1], np.arange(len(x))]
         for i, of in enumerate(chain):
             centres, index = np.unique(of, return_inverse=True)
@@ -125,10 +148,15 @@ def _children(a: np.ndarray, b: np.ndarray, ta: Tree, tb: Tree, level: int) -> I
 
 
 def _descend(a: np.ndarray, b: np.ndarray, ta: Tree, tb: Tree, level: int, reach: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What the node pairs (a, b) of the level above ``level`` hold. Children of two large nodes meet
+    in one product; those of small nodes in pairs from many nodes together."""
     if not len(a):
         return
     last = level == len(ta.centres) - 1
-    for ca, cb in _children(a, b, ta, tb, level - 1):
+    (oa, sa), (ob, sb) = ta.children[level - 1], tb.children[level - 1]
+    large = (sa[a + 1] - sa[a]) * (sb[b + 1] - sb[b]) >= PRODUCT
+
+    def onward(ca: np.ndarray, cb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, j = ta.centres[level][ca], tb.centres[level][cb]
         cos = np.einsum("ij,ij->i", ta.x[i], tb.x[j])
         if last:
@@ -139,15 +167,26 @@ def _descend(a: np.ndarray, b: np.ndarray, ta: Tree, tb: Tree, level: int, reach
             near = 2 - 2 * cos <= limit * limit
             yield from _descend(ca[near], cb[near], ta, tb, level + 1, reach, cosine, same)
 
+    for na, nb in zip(a[large].tolist(), b[large].tolist(), strict=True):
+        ca, cb = oa[sa[na] : sa[na + 1]], ob[sb[nb] : sb[nb + 1]]
+        xb, rb = tb.small[tb.centres[level][cb]].T, (tb.radius[level][cb] + reach + SLACK).astype(np.float32)
+        step = max(1, 16 * SLICE // len(cb))
+        for s in range(0, len(ca), step):
+            part = ca[s : s + step]
+            limit = ta.radius[level][part].astype(np.float32)[:, None] + rb
+            i, j = np.nonzero(2 - 2 * (ta.small[ta.centres[level][part]] @ xb) <= limit * limit)
+            for k in range(0, len(i), SLICE):
+                yield from onward(part[i[k : k + SLICE]], cb[j[k : k + SLICE]])
+    if not large.all():
+        for ca, cb in _children(a[~large], b[~large], ta, tb, level - 1):
+            yield from onward(ca, cb)
+
 
 def traverse(ta: Tree, tb: Tree, reach: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with cosine >= ``cosine``, in slices; ``same``: of one tree with itself, i < j."""
-    ca, cb = ta.x[ta.centres[0]].astype(np.float32), tb.x[tb.centres[0]].astype(np.float32)
-    for s in range(0, len(ca), 1024):
-        d2 = 2 - 2 * (ca[s : s + 1024] @ cb.T)
-        limit = ta.radius[0][s : s + 1024, None].astype(np.float32) + (tb.radius[0] + reach + SLACK).astype(np.float32)
-        a, b = np.nonzero(d2 <= limit * limit)
-        yield from _descend(a + s, b, ta, tb, 1, reach, cosine, same)
+    """Index pairs with cosine >= ``cosine``, in slices; ``same``: of one tree with itself, i < j.
+    The top nodes are few: the coarsest net covers the sphere."""
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(len(ta.centres[0])), np.arange(len(tb.centres[0])), indexing="ij"))
+    yield from _descend(a, b, ta, tb, 1, reach, cosine, same)
 
 
 def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -167,33 +206,35 @@ def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         root = new
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block: int = BLOCK, pairs: bool = False) -> DataFrame:
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block: int | None = None, pairs: bool = False) -> DataFrame:
     """One row for each input row: (vec_id, n_links, component_id, kept), or with ``pairs`` the
     exact pairs (a, b, cosine) between classes of equal vectors, named by their least ids.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing:
     0 links, their own component. Vectors of different length never link. A null id counts as a
     vector, but has a null component unless linked to a vector with an id. Repeated rows are
-    vectors of their own; other columns are not carried. An empty table gives no rows.
+    vectors of their own; other columns are not carried. An empty table gives no rows. ``block``:
+    vectors of a block at most, by default what BLOCK_BYTES holds.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    marked = store(base.select("vec_id", "embedding").mapInArrow(_digests, "vec_id long, digest binary, dim int"), "digests")
+    marked = store(base.mapInArrow(_digests, "vec_id long, digest binary, dim int"), "digests")
     raw = base.mapInArrow(_with_digest, "digest binary, dim int, embedding array<double>")
     classes = marked.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"))
     units = raw.groupBy("digest", "dim").agg(F.first("embedding").alias("embedding"))
     reps = store(units.join(classes, "digest").where("cls is not null"), "classes")
-    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    met = [_link_dim(reps.where(F.col("dim") == dim), n, cosine, block, pairs) for dim, n in sorted(sizes.items())]
+    most = F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))) if block is None else F.lit(block)
+    sizes = reps.groupBy("dim").agg(F.count("*").alias("n")).withColumn("most", F.greatest(F.lit(16), most))
+    # lengths with a block or more of vectors are few (a block of each is there); all others take a task each
+    large = {r["dim"]: (r["n"], r["most"]) for r in sizes.where("n > most").collect()}
+    kind = "a long, b long, cosine double" if pairs else "cls long, links long, low long"
+    work = _Pairs(math.sqrt(max(0.0, 2 - 2 * cosine)), cosine, pairs)
+    met = reps.where(~F.col("dim").isin(list(large))).select("dim", "cls", "copies", "embedding").groupBy("dim").applyInArrow(lambda group: work.within(group), kind)
+    for dim, (n, m) in sorted(large.items()):
+        met = met.union(_link_dim(reps.where(F.col("dim") == dim), n, m, work, kind))
     if pairs:
-        empty = spark.createDataFrame([], "a long, b long, cosine double")
-        for m in met:
-            empty = empty.union(m)
-        return empty
-    links = spark.createDataFrame([], "cls long, links long, low long")
-    for m in met:
-        links = links.union(m)
-    links = store(links, "links")
+        return met
+    links = store(met, "links")
     found = components(links.where("low < cls").select("cls", "low"))
     total = links.groupBy("cls").agg(F.sum("links").alias("links"))
     whole = classes.join(total, "cls", "left").join(found, F.col("cls") == F.col("node"), "left")
@@ -205,17 +246,74 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests = next(_digests(iter([batch])))
-        fine = digests.column("digest").is_valid()
-        yield pa.RecordBatch.from_arrays([digests.column("digest"), digests.column("dim"), batch.column("embedding")], ["digest", "dim", "embedding"]).filter(fine)
+        digests, dims = _digest(batch.column("embedding"))
+        yield pa.RecordBatch.from_arrays([digests, dims, batch.column("embedding")], ["digest", "dim", "embedding"]).filter(digests.is_valid())
 
 
-def _link_dim(reps: DataFrame, n: int, cosine: float, block: int, pairs: bool) -> DataFrame:
-    """Links among classes of one dimension: (cls, links, low), or the pairs."""
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+class _Pairs:
+    """Links among the vectors of a task, by dual traversal."""
+
+    def __init__(self, reach: float, cosine: float, pairs: bool):
+        self.reach, self.cosine, self.pairs = reach, cosine, pairs
+
+    def result(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        if self.pairs:
+            a, b = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+            return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "cosine": np.einsum("ij,ij->i", x[a], x[b])})
+        links = np.zeros(len(ids), np.int64)
+        for a, b in found:
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        low = ids[order][forest(len(ids), [(rank[a], rank[b]) for a, b in found])][rank]
+        hit = links > 0
+        return pa.table({"cls": ids[hit], "links": links[hit], "low": low[hit]})
+
+    def within(self, group: pa.Table) -> pa.Table:
+        """All vectors of one length that fit a block."""
+        x = _matrix(group["embedding"])
+        tree = Tree(x, nested_nets(x))
+        found = [p for p in traverse(tree, tree, self.reach, self.cosine, True) if len(p[0])]
+        return self.result(np.asarray(group["cls"]), np.asarray(group["copies"]), x, found)
+
+    def between(self, group: pa.Table) -> pa.Table:
+        """Rows of one block with itself, or of two blocks."""
+        group = group.sort_by([("block", "ascending"), ("place", "ascending")])
+        block, x = np.asarray(group["block"]), _matrix(group["embedding"])
+        levels = np.array(group["nodes"].to_pylist(), np.int64).reshape(len(x), -1).T
+        sides = [np.flatnonzero(block == b) for b in np.unique(block)]
+        same = group["i"][0].as_py() == group["j"][0].as_py()
+        found = []
+        if same or len(sides) == 2:
+            ta, tb = (Tree(x[s], levels[:, s]) for s in (sides[0], sides[-1]))
+            found = [(sides[0][a], sides[-1][b]) for a, b in traverse(ta, ta if same else tb, self.reach, self.cosine, same) if len(a)]
+        return self.result(np.asarray(group["cls"]), np.asarray(group["copies"]), x, found)
+
+
+def _blocks_of(near: np.ndarray, sizes: np.ndarray, most: int) -> list[list[tuple[int, int, int]]]:
+    """(cell, part, parts) of each block: cells in an order that keeps neighbours together, until a
+    block is full; a cell above ``most`` is split into blocks of its own."""
+    blocks, held, total = [], [], 0
+    for c in near.tolist():
+        n = int(sizes[c])
+        if n > most:
+            blocks += [[(c, k, -(-n // most))] for k in range(-(-n // most))]
+            continue
+        if total + n > most:
+            blocks.append(held)
+            held, total = [], 0
+        held.append((c, 0, 1))
+        total += n
+    return [b for b in [*blocks, held] if b]
+
+
+def _link_dim(reps: DataFrame, n: int, most: int, work: _Pairs, kind: str) -> DataFrame:
+    """Links among more classes of one dimension than a block holds: (cls, links, low), or the pairs."""
     sample = reps.orderBy(F.xxhash64("digest"), "digest").limit(PIVOT_SAMPLE).select("embedding").toPandas()
     points = _unit(np.concatenate(sample["embedding"].to_list()), len(sample))
-    pivots = points[farthest_first(points, max(1, min(MAX_PIVOTS, math.ceil(n / block))))]
+    pivots = points[farthest_first(points, max(1, min(MAX_PIVOTS, math.ceil(n / CELL))))]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,62 +325,47 @@ def _link_dim(reps: DataFrame, n: int, cosine: float, block: int, pairs: bool) -
             yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("copies"), batch.column("embedding"), pa.array(cell, pa.int32()), pa.array(gap)], ["cls", "copies", "embedding", "cell", "gap"])
 
     dealt = store(reps.select("cls", "copies", "embedding").mapInArrow(deal, "cls long, copies long, embedding array<double>, cell int, gap double"), "cells")
-    cells = {r["cell"]: (r["n"], r["gap"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()}  # at most MAX_PIVOTS rows
-    parts = {c: math.ceil(m / block) for c, (m, _) in cells.items()}
-    start, at = {}, 0
-    for c in sorted(cells):
-        start[c], at = at, at + parts[c]
-    split = F.create_map(*[F.lit(x) for c in sorted(cells) for x in (c, parts[c])])
-    first = F.create_map(*[F.lit(x) for c in sorted(cells) for x in (c, start[c])])
-    blocks = dealt.withColumn("block", (first[F.col("cell")] + F.pmod(F.xxhash64("cls"), split[F.col("cell")])).cast("int"))
+    sizes, gaps = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect():  # at most MAX_PIVOTS rows
+        sizes[r["cell"]], gaps[r["cell"]] = r["n"], r["gap"]
+    # few enough pivots of the net's beginning to lead a block each: cells follow their leader
+    cores = dealt.sparkSession.sparkContext.defaultParallelism
+    wanted = max(2, math.ceil(n / most), math.ceil(math.sqrt(2 * cores)))
+    leader = (pivots @ pivots[:wanted].T).argmax(1)
+    filled = np.flatnonzero(sizes)
+    blocks = _blocks_of(filled[np.argsort(leader[filled], kind="stable")], sizes, min(most, math.ceil(n / wanted)))
+    first, parts = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
+    holds = np.zeros((len(pivots), len(blocks)), bool)
+    for b, cells in enumerate(blocks):
+        for c, k, m in cells:
+            holds[c, b] = True
+            first[c], parts[c] = b - k, m
+    place = lambda v: F.get(F.array(*[F.lit(int(x)) for x in v]), F.col("cell"))
+    rows = dealt.withColumn("block", (place(first) + F.pmod(F.xxhash64("cls"), place(parts))).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
         levels = nested_nets(_matrix(group["embedding"]))
         return group.append_column("nodes", pa.array(list(levels.T.astype(np.int32)), pa.list_(pa.int32()))).append_column("place", pa.array(np.arange(group.num_rows), pa.int32()))
 
-    schema = "cls long, copies long, embedding array<double>, cell int, block int, nodes array<int>, place int"
-    trees = store(blocks.select("cls", "copies", "embedding", "cell", "block").groupBy("block").applyInArrow(build, schema), "trees")
-    gaps = np.array([cells[c][1] for c in sorted(cells)])
-    order = sorted(cells)
-    heads = pivots[order]
-    close = 2 - 2 * (heads @ heads.T) <= (reach + gaps[:, None] + gaps[None, :] + SLACK) ** 2
-    row_of = {c: i for i, c in enumerate(order)}
+    schema = "cls long, copies long, embedding array<double>, block int, nodes array<int>, place int"
+    trees = store(rows.select("cls", "copies", "embedding", "block").groupBy("block").applyInArrow(build, schema), "trees")
+    reach = work.reach
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of each block for each block pair (i <= j) that can hold close vectors."""
+        """Each vector for the pair of its block with itself, and with every block in its reach."""
         for batch in batches:
-            blocks, cell = np.asarray(batch.column("block")), np.asarray(batch.column("cell"))
-            for b, c in sorted(set(zip(blocks.tolist(), cell.tolist(), strict=True))):
-                rows = batch.filter(pa.array(blocks == b)).drop_columns(["cell"])
-                for other in (start[o] + k for o in np.array(order)[close[row_of[c]]].tolist() for k in range(parts[o])):
-                    i, j = min(b, other), max(b, other)
-                    yield rows.append_column("i", pa.array(np.full(rows.num_rows, i, np.int32))).append_column("j", pa.array(np.full(rows.num_rows, j, np.int32)))
-
-    def decide(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("block", "ascending"), ("place", "ascending")])
-        block = np.asarray(group["block"])
-        ids, copies, x = np.asarray(group["cls"]), np.asarray(group["copies"]), _matrix(group["embedding"])
-        levels = np.array(group["nodes"].to_pylist(), np.int64).reshape(len(ids), -1).T
-        sides = [np.flatnonzero(block == b) for b in np.unique(block)]
-        same = group["i"][0].as_py() == group["j"][0].as_py()
-        found = []
-        if same or len(sides) == 2:
-            ta, tb = (Tree(x[s], levels[:, s]) for s in (sides[0], sides[-1]))
-            found = [(sides[0][a], sides[-1][b]) for a, b in traverse(ta, tb, reach, cosine, same) if len(a)]
-        if pairs:
-            a, b = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-            cos = np.einsum("ij,ij->i", x[a], x[b])
-            return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "cosine": cos})
-        links = np.zeros(len(ids), np.int64)
-        for a, b in found:
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        low = ids[order][forest(len(ids), [(rank[a], rank[b]) for a, b in found])][rank]
-        hit = links > 0
-        return pa.table({"cls": ids[hit], "links": links[hit], "low": low[hit]})
-
-    rows = trees.mapInArrow(meet, "cls long, copies long, embedding array<double>, block int, nodes array<int>, place int, i int, j int")
-    return rows.groupBy("i", "j").applyInArrow(decide, "a long, b long, cosine double" if pairs else "cls long, links long, low long")
+            x = _matrix(batch.column("embedding"))
+            for low in range(0, len(x), 4096):
+                own = np.asarray(batch.column("block"))[low : low + 4096]
+                limit = reach + np.maximum(gaps, -1) + SLACK
+                near = (2 - 2 * (x[low : low + 4096] @ pivots.T) <= limit * limit) & (sizes > 0)
+                meets = near.astype(np.float32) @ holds.astype(np.float32) > 0
+                meets[np.arange(len(own)), own] = True
+                row, other = np.nonzero(meets)
+                for k in range(0, len(row), 8192):
+                    r, o = row[k : k + 8192], other[k : k + 8192]
+                    i, j = np.minimum(own[r], o).astype(np.int32), np.maximum(own[r], o).astype(np.int32)
+                    yield batch.take(pa.array(low + r)).append_column("i", pa.array(i)).append_column("j", pa.array(j))
+
+    copied = trees.mapInArrow(meet, "cls long, copies long, embedding array<double>, block int, nodes array<int>, place int, i int, j int")
+    return copied.groupBy("i", "j").applyInArrow(lambda group: work.between(group), kind)
