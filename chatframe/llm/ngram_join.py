@@ -33,17 +33,15 @@ from chatframe.llm.components import components
 from chatframe.llm.cover_tree import forest
 
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
-#: Bucket size from which a bucket is split further, and rows of a block at the last level. Some
-#: million sketch comparisons take a task less time than another level takes the cluster.
-BUCKET, BLOCK = 2048, 2048
-#: Documents and shingles of a block of a candidate group that is decided in one task.
-GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
+#: Bucket size from which a bucket is split further, and rows of a block at the last level: two
+#: blocks meet in a task.
+BUCKET, BLOCK = 512, 256
+#: Documents and shingles of a block of a candidate group; two blocks meet in a task.
+GROUP_DOCS, GROUP_SHINGLES = 256, 1_000_000
 #: Bins of a sketch (16 bits each), and how far below the threshold its estimate may be.
 BINS, MARGIN = 128, 0.16
 #: Rows that a streaming task works on together.
 FLUSH = 20_000
-#: Candidate members up to which they are broadcast to the texts.
-MEMBERS = 200_000
 #: Words whose hashes a worker remembers; bounds memory, not results.
 MEMO = 150_000
 
@@ -126,16 +124,21 @@ def paths(s: np.ndarray, runs: int, depth: int, threshold: float) -> Iterator[tu
 def _mark(runs: int, depth: int, threshold: float, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, sketches, nodes = [], [], [], []
+            digests, sizes, sketches, levels, parents, keys, ends = [], [], [], [np.zeros(0, np.int32)], [np.zeros(0, U)], [np.zeros(0, U)], [0]
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sketches.append(sketch(s).tobytes())
-                levels = list(paths(s, runs, depth, threshold)) if len(s) else []
-                nodes.append([{"level": k + 1, "parent": p, "key": c} for k, (ps, cs) in enumerate(levels) for p, c in zip(ps.view(np.int64).tolist(), cs.view(np.int64).tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("level", pa.int32()), ("parent", pa.int64()), ("key", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(nodes, kind)], ["doc_id", "digest", "n", "sketch", "nodes"])
+                ends.append(ends[-1])
+                for k, (above, below) in enumerate(paths(s, runs, depth, threshold) if len(s) else ()):
+                    levels.append(np.full(len(below), k + 1, np.int32))
+                    parents.append(above)
+                    keys.append(below)
+                    ends[-1] += len(below)
+            fields = [np.concatenate(levels), np.concatenate(parents).view(np.int64), np.concatenate(keys).view(np.int64)]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], ["level", "parent", "key"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), nodes], ["doc_id", "text_hash", "digest", "n", "sketch", "nodes"])
 
     return run
 
@@ -200,7 +203,7 @@ def _blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
     return rows.withColumn("g", pair).withColumn("side", side).drop("_b", "_o")
 
 
-def candidates(marks: DataFrame, classes: DataFrame, threshold: float, depth: int) -> DataFrame:
+def candidates(classes: DataFrame, threshold: float, depth: int) -> DataFrame | None:
     """Edges (u, v) between classes whose sketches may reach the threshold, from all buckets."""
     reps = classes.select("cls", "n", "nodes")
     looks = classes.select(F.col("cls").alias("c"), "sketch")
@@ -266,7 +269,7 @@ def _decide(threshold: float):
         ends = np.r_[np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
         links, pairs, start = np.zeros(len(ids), np.int64), [], 0
         for end in ends:
-            order = start + np.unique(ids[start:end], return_index=True)[1]  # repeated rows of a class count once
+            order = start + np.unique(ids[start:end], return_index=True)[1]  # rows that repeat an id and its text count once
             own = np.zeros(len(order), np.int64)
             i, j = group(ids[order], copies[order], side[order], [sets[k] for k in order], own)
             links[order] += own
@@ -293,45 +296,50 @@ def _sets(words: int):
 
 
 def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, class_id, n_links, component_id, kept): one row for each input row.
+    """(doc_id, class_id, n_links, component_id, kept, text_hash): one row for each input row.
 
     class_id: the least id with the same shingle set. n_links: other rows linked, those of the same
-    class included. component_id: the least id reachable by links. kept: it is the row's own id.
-    Texts that are null or have no word link with nothing. Ids are integers; rows that repeat an id
-    are one document with several texts, whose links are united; rows with a null id are returned
-    without links. Other columns are not carried; an empty table gives no rows. Links are exact;
-    a pair of classes at the threshold is found with probability ``recall`` or more.
+    class included. component_id: the least id reachable by links. kept: the row is of the class
+    that stands for its component and has its id. text_hash tells texts of one id apart. Texts that
+    are null or have no word link with nothing. Ids are integers; rows that repeat an id with another
+    text are rows of their own, of which one class at most is kept in a component; rows that repeat
+    id and text are copies. Rows with a null id are returned without links. Other columns are not
+    carried; an empty table gives no rows. Links are exact; a pair of classes at the threshold is
+    found with probability ``recall`` or more.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = runs_for(recall, depth)
-    schema = "doc_id long, digest binary, n long, sketch binary, nodes array<struct<level:int,parent:long,key:long>>"
-    marks = store(base.mapInArrow(_mark(runs, depth, threshold, words), schema), "marks")
+    schema = "doc_id long, text_hash long, digest binary, n long, sketch binary, nodes array<struct<level:int,parent:long,key:long>>"
+    marks = store(base.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_mark(runs, depth, threshold, words), schema), "marks")
     named = marks.where("digest is not null and doc_id is not null")
-    sums = store(named.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies")), "classes")
-    first = named.select("doc_id", "digest", "n", "sketch", "nodes").join(sums.select("cls", F.col("digest").alias("d")), (F.col("doc_id") == F.col("cls")) & (F.col("digest") == F.col("d")))
-    classes = store(first.select("cls", "n", "sketch", "nodes"), "reps")
-    edges = candidates(marks, classes, threshold, depth)
-    links = None
+    # a class is a shingle set; its number ``cls`` is made while writing, since an id can have several texts
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+    classes = store(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    sums = classes.select("digest", "id", "copies", "cls")
+    edges = candidates(classes, threshold, depth)
+    found = None
     if edges is not None:
         groups = store(components(edges).select(F.col("node").alias("cls"), F.col("component").alias("cand")), "groups")
-        members = groups.join(classes.select(F.col("cls").alias("c"), "n"), F.col("cls") == F.col("c"))
+        members = groups.join(classes.select(F.col("cls").alias("c"), "id", "copies", "digest", "n"), F.col("cls") == F.col("c"))
         parts = members.groupBy("cand").agg(F.ceil(F.greatest(F.count("*") / GROUP_DOCS, F.sum("n") / GROUP_SHINGLES)).alias("parts"))
-        members = groups.join(parts, "cand").join(sums, "cls").select("cls", "cand", "parts", "copies", "digest")
-        members = bounded_broadcast(members, groups.count(), MEMBERS)  # some 60 bytes a row; beyond, texts shuffle once
-        texts = base.where("doc_id is not null").join(members, F.col("doc_id") == F.col("cls")).select("cls", "cand", "parts", "copies", "text", "digest")
+        members = members.join(parts, "cand").select("cls", "cand", "parts", "id", "copies", "digest")
+        # ids of a group of copies differ, so no key of this join is hot; the same plan at every size
+        texts = base.join(members.hint("merge"), F.col("doc_id") == F.col("id")).select("cls", "cand", "parts", "copies", "text", "digest")
         sets = texts.mapInArrow(_sets(words), "cls long, cand long, parts long, copies long, shingles binary")
         blocks = _blocks(sets, "cand", "parts").select("g", "side", "cls", "copies", "shingles")
         decided = blocks.repartition("g").sortWithinPartitions("g", "cls").mapInArrow(_decide(threshold), "cls long, links long, low long")
         links = store(decided, "links")
-    out = marks.select("doc_id", "digest").join(sums.select(F.col("digest").alias("d"), "cls", "copies"), F.col("digest") == F.col("d"), "left")
-    if links is not None:
-        total = links.groupBy(F.col("cls").alias("c")).agg(F.sum("links").alias("links"))
-        roots = components(links.where("low <> cls").select("cls", "low"))
-        found = store(total.join(roots, F.col("c") == F.col("node"), "left").select("c", "links", "component"), "found")
+        total = links.groupBy("cls").agg(F.sum("links").alias("links"))
+        roots = components(links.where("low <> cls").select("cls", "low")).join(sums, F.col("node") == F.col("cls")).select("cls", "id", "component")
+        least = roots.groupBy("component").agg(F.min(F.struct("id", "cls")).alias("least"))
+        found = store(total.join(roots.join(least, "component"), "cls").select(F.col("cls").alias("c"), "links", "least"), "found")
+    out = marks.select("doc_id", "text_hash", "digest").join(sums.select(F.col("digest").alias("d"), "id", "copies", "cls"), F.col("digest") == F.col("d"), "left")
+    if found is not None:
         out = out.join(found, F.col("cls") == F.col("c"), "left")
     else:
-        out = out.withColumns({"links": F.lit(0), "component": F.lit(None).cast("long")})
-    cls = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("cls", "doc_id"))
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", cls))
+        out = out.withColumns({"links": F.lit(0), "least": F.lit(None).cast("struct<id:bigint,cls:bigint>")})
+    cls = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("id", "doc_id"))
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("least.id", cls))
     n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
-    return out.select("doc_id", cls.alias("class_id"), n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce((F.col("doc_id") == component) & (F.col("least").isNull() | (F.col("least.cls") == F.col("cls"))), F.lit(False))
+    return out.select("doc_id", cls.alias("class_id"), n_links.cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"), "text_hash")
