@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatframe.llm import language_id, mixing, ngram_join, packing, toxicity
-from chatframe.llm.common import bounded_broadcast, store, table
+from chatframe.llm.common import store, table
 
 #: A document stays if one language leads with this share of its words.
 LEADING_SHARE = 0.5
-#: Duplicates up to which their ids are broadcast to the documents.
-GONE = 1_000_000
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +33,19 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: one document of each group stays, the one with the least id. Rows that
-    repeat an id count as its copies; rows without an id all stay."""
+    """N-gram Jaccard join: one document of each group stays, the one with the least id. Of rows that
+    repeat id and text the one stays whose other columns come first; rows without an id all stay.
+    One plan at every size: texts shuffle once."""
     found = store(ngram_join.join_ngrams(docs.select("doc_id", "text")), "joined")
-    gone = store(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    gone = bounded_broadcast(gone, gone.count(), GONE)  # one long a row; beyond, texts shuffle once
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
+    twice = found.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count")
     if not twice.head(1):
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)
+    again = kept.join(twice, same, "left_semi")
+    first = again.groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(twice, same, "left_anti").union(first.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
