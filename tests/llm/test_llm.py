@@ -87,7 +87,11 @@ def test_packing_is_whole_and_tight(odd, empty):
 
 def test_fast_ids_equal_the_library(sf_dir, spark):
     exact, encode = Tokenizer.from_file(BYTE), packing.encoder(BYTE, RANKS)
-    texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = random.Random(8)
+    signs = [chr(c) for c in (*range(9, 14), *range(32, 592), *range(0x370, 0x530), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), 0x3042, 0x4E2D, 0x1F600)]
+    runs = [" ", "  ", "\n", "\n\n", "'s", "'LL", "<|", "|>", "endoftext", "2024", "don't"]
+    texts += ["".join(rng.choice(runs if rng.random() < 0.3 else signs if rng.random() < 0.5 else "aeiou nrst") for _ in range(rng.randrange(1, 60))) for _ in range(8000)]
     assert all(encode(t or "") == exact.encode(t or "", add_special_tokens=False).ids for t in texts)
 
 
@@ -97,10 +101,55 @@ def test_genetic_steps_keep_packings_valid():
     a, b = (packing.best_fit(sizes, rng.permutation(400), np.zeros(400, np.int64), [], 100) for _ in range(2))
     for child in (packing.crossover(a, b, sizes, rng, 100), packing.mutate(a, sizes, rng, 100)):
         assert np.bincount(child, weights=sizes).max() <= 100 and len(child) == 400
-    best = packing.evolve(sizes, [a, b], (1,), 100)
+    best, _ = packing.evolve(sizes, [a, b], (1,), 100)
     assert packing.fitness(best[0], sizes) <= min(packing.fitness(x, sizes) for x in (a, b))
 
 
+def test_genetic_search_gains_bins():
+    """Where best-fit decreasing is above the least possible number, generations are bred and gain bins."""
+    gained = 0
+    for seed in range(6):
+        sizes = np.random.default_rng(seed).integers(20, 101, 250)
+        least = -(-int(sizes.sum()) // 150)
+        greedy = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), np.zeros(250, np.int64), [], 150)
+        best, ran = packing.evolve(sizes, [], (seed,), 150, generations=60)
+        n, before = packing.fitness(best[0], sizes)[0], packing.fitness(greedy, sizes)[0]
+        assert np.bincount(best[0], weights=sizes).max() <= 150 and least <= n <= before and (ran > 0) == (before > least)
+        gained += before - n
+    assert gained >= 5
+    sizes = np.random.default_rng(9).integers(300, 1400, 1000)
+    greedy = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), np.zeros(1000, np.int64), [], 2048)
+    assert packing.fitness(packing.evolve(sizes, [], (9,), 2048)[0][0], sizes)[0] < packing.fitness(greedy, sizes)[0]
+
+
+def test_small_packings_are_least():
+    """Against every packing there is, for a few pieces."""
+
+    def least(sizes, room):
+        if not sizes:
+            return len(room)
+        tried = {}
+        for k, r in enumerate(room):
+            if r >= sizes[0] and r not in tried:
+                tried[r] = least(sizes[1:], [*room[:k], r - sizes[0], *room[k + 1 :]])
+        return min([*tried.values(), least(sizes[1:], [*room, 20 - sizes[0]])])
+
+    for seed in range(12):
+        sizes = np.random.default_rng(seed).integers(3, 14, 8)
+        best, _ = packing.evolve(sizes, [], (seed,), 20, generations=40)
+        assert packing.fitness(best[0], sizes)[0] == least(sorted(sizes.tolist(), reverse=True), [])
+
+
+def test_closing_rounds(spark):
+    """Groups' open bins are pooled, over two rounds here, so that few sequences stay open."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab cd efg hi".split()) for _ in range(rng.randrange(3, 40))) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs, BYTE, RANKS, capacity=64, group=10, fan=4).collect()
+    n, least = check_packing(rows, texts, 64)
+    assert n <= least + 2 and len({r.sequence_id >> (packing.BIN_BITS + packing.GROUP_BITS) for r in rows if r.length < 64}) == 3
+
+
 def test_audio_round_trip(odd, empty, spark):
     got = {r.doc_id: r for r in audio.media_digests(odd).collect()}
     for i, text in enumerate(ODD):
