@@ -55,12 +55,13 @@ def op10_url_filters(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP7_SQL = r"""
+def _op7_sql() -> str:
+    """One search for a threshold after the other, each over the documents no larger than what is left."""
+    sql = r"""
 WITH t AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h
-  FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+d AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 8))::BIGINT AS h FROM t),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST)) AS n FROM s),
 c AS (SELECT *, ((n - 1) % 3 + 1)::BIGINT AS weight, (3 * source_size) / ((n - 1) % 3 + 1)::DOUBLE AS cap FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY cap, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -68,16 +69,23 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
 f AS (SELECT lvl FROM l WHERE lvl <= cap ORDER BY cap, n LIMIT 1),
 g AS (SELECT l.*, least((3 * source_size)::DOUBLE, f.lvl * weight) AS target FROM l, f),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM g),
-b AS (SELECT *, target - repeats * source_size AS budget FROM r),
-k AS (SELECT source, h, sum(size)::BIGINT AS words FROM t GROUP BY source, h),
-u AS (SELECT k.*, b.budget, (sum(words) OVER (PARTITION BY k.source ORDER BY h))::BIGINT AS upto FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source),
-e AS (SELECT source, min(h) AS h FROM u WHERE upto >= budget AND budget > 0 GROUP BY source),
-d AS (SELECT u.source, CASE WHEN upto - budget <= budget - (upto - words) THEN u.h + 1 ELSE u.h END AS threshold
-      FROM u JOIN e ON u.h = e.h AND u.source IS NOT DISTINCT FROM e.source)
-SELECT t.doc_id, t.size, b.source_size, b.target,
-       (t.size * (b.repeats + CASE WHEN t.h < coalesce(d.threshold, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM t JOIN b ON t.source IS NOT DISTINCT FROM b.source LEFT JOIN d ON t.source IS NOT DISTINCT FROM d.source
-"""
+p0 AS (SELECT source, 0::BIGINT AS start, target - repeats * source_size AS rest, 9223372036854775807 AS most FROM r)"""
+    for k in range(1, mixing.PASSES + 1):
+        nearer = " + CASE WHEN upto - rest < rest - (upto - words) THEN 1 ELSE 0 END" if k == mixing.PASSES else ""
+        sql += f""",
+k{k} AS (SELECT d.source, h, sum(size)::BIGINT AS words FROM d JOIN p{k - 1} p ON d.source IS NOT DISTINCT FROM p.source WHERE rest > 0 AND h >= start AND size <= most GROUP BY d.source, h),
+u{k} AS (SELECT *, (sum(words) OVER (PARTITION BY source ORDER BY h))::BIGINT AS upto FROM k{k}),
+c{k} AS (SELECT u.source, min(h) AS h, min(upto) AS upto, arg_min(words, h) AS words FROM u{k} u JOIN p{k - 1} p ON u.source IS NOT DISTINCT FROM p.source WHERE upto > rest GROUP BY u.source),
+p{k} AS (SELECT p.source, CASE WHEN rest > 0 THEN coalesce(h{nearer}, 4294967296) ELSE start END AS start, rest - coalesce(upto - words, 0) AS rest, floor(rest - coalesce(upto - words, 0))::BIGINT AS most
+         FROM p{k - 1} p LEFT JOIN c{k} c ON p.source IS NOT DISTINCT FROM c.source)"""
+    taken = " OR ".join(f"d.h >= p{k - 1}.start AND d.h < p{k}.start AND d.size <= p{k - 1}.most" for k in range(1, mixing.PASSES + 1))
+    joins = " ".join(f"JOIN p{k} ON d.source IS NOT DISTINCT FROM p{k}.source" for k in range(mixing.PASSES + 1))
+    return sql + f"""
+SELECT d.doc_id, d.size, r.source_size, r.target, (d.size * (r.repeats + CASE WHEN {taken} THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source {joins}"""
+
+
+OP7_SQL = _op7_sql()
 
 _WORDS = "free-bets|bets|casino|poker|slots|cheap-pills|pills|viagra|pharma-deals|adult-x|adult|xxx|porn|spam-farm|link-farm|warez|torrents|payday-loans"
 OP10_SQL = rf"""
