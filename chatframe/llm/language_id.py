@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from chatframe.llm.common import doc_bucket
 
 BUCKET_BITS = 16
-#: Labelled documents of a language that its model is fitted on, about and at most.
-SAMPLE = 5_000
+#: Labelled documents of a language that its model is fitted on, about and at most; and languages that
+#: are learned, those with most documents: bounds the model (256 KB a language).
+SAMPLE, LANGUAGES = 5_000, 512
 #: Documents with id crc32 modulo FOLDS = HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 3, 1
 ROUNDS = 8
@@ -35,8 +36,8 @@ _letters: list[np.ndarray] = []
 
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x30000)]))
-    return _letters[0][np.minimum(codes, 0x2FFFF)]
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _letters[0][codes]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -56,11 +57,12 @@ def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), np.flatnonzero(codes[at - 1] == 0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by trigram bucket and language) from documents with a language
-    outside the held-out fold, drawn by a hash of the id."""
+    outside the held-out fold, drawn by a hash of the id. Of more than ``languages`` those with most
+    documents are learned, ties by name."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(doc_bucket(F.col(id_col), FOLDS) != HELD_OUT, F.lit(False)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1 << BUCKET_BITS, 0), np.float32)
