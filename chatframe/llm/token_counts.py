@@ -16,14 +16,15 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatframe.llm.common import store
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
-#: Chunks a worker remembers; beyond, it starts anew. Bounds memory, not results.
-MEMO = 500_000
+#: Chunks a worker remembers, and characters of those it does; beyond, it starts anew. Bounds memory,
+#: not results.
+MEMO, MEMO_CHARS = 500_000, 64
 #: Characters of chunks that one call of the library gets.
 CALL_CHARS = 1_000_000
 
@@ -64,6 +65,7 @@ def count_spaced(path: str, texts: list[str]) -> list[int]:
     memo = _memo.setdefault(path, {})
     split = [t.replace("\n", " ").split(" ") for t in texts]
     fresh = list({c for chunks in split for c in chunks if c not in memo})
+    large = [c for c in fresh if len(c) > MEMO_CHARS]
     at = 0
     while at < len(fresh):
         end, chars = at, 0
@@ -74,6 +76,8 @@ def count_spaced(path: str, texts: list[str]) -> list[int]:
         memo.update(zip(fresh[at:end], np.bincount(np.array(words, np.int64), minlength=end - at).tolist(), strict=True))
         at = end
     counts = [sum(map(memo.__getitem__, chunks)) for chunks in split]
+    for c in large:
+        del memo[c]
     if len(memo) > MEMO:
         memo.clear()
     return counts
@@ -84,6 +88,17 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(text, "[ \n]+", " ")
 
 
+def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """The cache's rows for a tokenizer; None where there is no cache yet. A cache that can't be read
+    is an error, not an empty one."""
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each input row.
 
@@ -106,16 +121,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
             counts = count(tokenizer, batch.column("normal").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    texts = docs.select(digest.alias("digest"), normal.alias("normal"))
-    try:
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
-        texts = texts.join(known.select("digest"), "digest", "left_anti")
-    except AnalysisException:  # no cache yet
-        pass
-    misses = texts.groupBy("digest").agg(F.first("normal").alias("normal"))
+    # copies leave a task as one row; the join to what is stored goes by the same digest, without another exchange
+    misses = docs.select(digest.alias("digest"), normal.alias("normal")).groupBy("digest").agg(F.first("normal").alias("normal"))
+    known = stored_counts(spark, cache, version)
+    if known is not None:
+        misses = misses.join(known.select("digest"), "digest", "left_anti")
     fresh = misses.mapInArrow(encode, "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+    stored = stored_counts(spark, cache, version)
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # runs at the same time may append a digest twice
     stored = store(stored, "counts")  # so that the join reads exchanges, whose skewed partitions AQE splits
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))

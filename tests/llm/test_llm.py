@@ -349,7 +349,7 @@ def test_url_rules(spark, sf_dir):
     assert got[3][2:] == ("net/de/", "block") and got[4][2:] == ("example.net/de/8", "block") and got[5][2:] == ("org/es/", "block") and got[6][2:] == (None, "allow")
     assert got[7] == ("", "", None, "allow") == got[8] and got[9][2:] == (None, "block") and got[10] == ("", "", None, "allow") and got[11][2:] == ("com/en/", "block")
     counts = {"free": 1000, "bets": 2}
-    assert "bets" in url_rules.build_index([url_rules.word_rule("free-bets")], counts)
+    assert "bets" in url_rules.build_index([url_rules.pattern_rule("||free-bets.")], counts)
     assert url_rules.judge_urls(df, []).count() == len(urls) and url_rules.judge_urls(df.limit(0), url_rules.PATTERN_RULES).count() == 0
     # the index finds what running every rule on every URL finds
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -358,6 +358,26 @@ def test_url_rules(spark, sf_dir):
     target = F.concat(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")))
     every = pages.select("page_id", sum((F.regexp(target, F.lit(r.regex)).cast("int") for r in rules), F.lit(0)).alias("n")).collect()
     assert {r.page_id: r.n for r in every} == n
+    # the index as a table gives the same
+    for some in (df, pages.select("page_id", "url")):
+        a, b = (sorted(map(str, url_rules.judge_urls(some, rules, inline=k).collect())) for k in (300, 0))
+        assert a == b
+    ties = [url_rules.host_rule("a.b", "/x", "allow"), url_rules.host_rule("a.b", "/x", "block")]
+    assert {r.verdict for r in url_rules.judge_urls(spark.createDataFrame([(1, "h://a.b/xy")], "page_id long, url string"), ties).collect()} == {"block"}
+
+
+def test_url_patterns(spark):
+    cases = {
+        "||bets.": (["bets.example.com", "m.bets.com/x"], ["mybets.com", "x.com/bets.html"], ["bets"]), "^poker^": (["poker.com", "x.com/a/POKER", "x.com/poker-1"], ["pokers.com", "x.com/apoker"], ["poker"]),
+        "/cgi-bin/*.exe|": (["x.com/cgi-bin/a/b.exe"], ["x.com/cgi-bin/b.exe/", "x.com/cgi-bin2/b.exe"], ["cgi", "bin", "exe"]), "||cheap-*pills.": (["cheap-pills.com", "a.cheap-red-pills.com"], ["xcheap-pills.com"], ["cheap"]),
+        "|localhost/": (["localhost/x"], ["a.localhost/x"], ["localhost"]), "ad*": (["x.com/bad"], ["x.com/b"], []), "/a+b(c)/": (["x.com/a+b(c)/"], ["x.com/aab(c)/"], ["a", "b", "c"]),
+    }
+    for pattern, (fits, others, tokens) in cases.items():
+        rule = url_rules.pattern_rule(pattern)
+        assert list(rule.tokens) == tokens
+        df = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(fits + others)], "page_id long, url string")
+        got = {r.page_id: r.verdict for r in url_rules.judge_urls(df, [rule]).collect()}
+        assert [got[i] for i in range(len(got))] == ["block"] * len(fits) + ["allow"] * len(others), pattern
 
 
 def test_pipeline(spark, sf_dir):
