@@ -19,7 +19,7 @@ EMOJI = {
     "tv": "📺", "slightly_smiling_face": "🙂", "shrug": "🤷", "facepalm": "🤦", "eyes": "👀", "brain": "🧠", "hugs": "🤗",
     "thinking_face": "🤔",
 }
-#: Names whose images the CDN stores under another emoji's code points, or that have no emoji above (fixed values).
+#: Names that have an image in the CDN (fixed values).
 IMAGE_NAMES = ["no_entry", "pray", "heart", "spiral_calendar_pad", "thumbsup", "thumbsdown", "joy", "smile", "wink", "blush", "heart_eyes",
                "cry", "sob", "thinking", "wave", "ok_hand", "clap", "muscle", "raised_hands", "star", "sparkles", "fire", "white_check_mark",
                "x", "warning", "bulb", "gift", "birthday", "computer", "iphone", "keyboard", "camera", "tv", "slightly_smiling_face",

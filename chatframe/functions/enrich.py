@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatframe.functions.emoji import literal_map, replace_emoji
-from chatframe.functions.names import undouble
+from chatframe.functions.names import NAME_WORDS, undouble
 from chatframe.functions.text import let, lines_of, map_tokens, nfc_of, sanitise, trim_u, unlines
 from chatframe.settings import Settings
 
@@ -24,7 +24,7 @@ PLAIN = rf"{OPEN}(https?://[^>]+){CLOSE}"
 DOMAIN = rf"{OPEN}((?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z]{{2,}}[^>]*){CLOSE}"
 MAIL = rf"{OPEN}mailto:([^>]+){CLOSE}"
 URL_OK = r"^https?://[^\s/?#]+"
-DOUBLED_NAME = r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\1"
+DOUBLED_NAME = rf"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){{0,{NAME_WORDS - 1}}})\1"
 JUST_A_NAME = r"^[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,3}$"
 AVATAR = r"^!\[\]\(https://ca\.slack-edge\.com/[^)]+\)$"
 #: Lines that stand for attachment metadata (fixed values).
@@ -82,9 +82,11 @@ def wiki_name(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(trim_u(c), r"[\[\]|#^<>]", ""), r"\s+", " "), 1, 100)
 
 
-def convert_mentions(c: Column, users: Mapping[str, str] | None = None) -> Column:
+def convert_mentions(c: Column, users: Mapping[str, str] | None = None, compat: bool = False) -> Column:
     """Mentions by id (through the user map), bare, bracketed and linked as wiki links; broadcasts
-    bold."""
+    bold. With ``compat`` a run of spaces counts as part of the word it touches, as where runs are
+    masked by words before this step: a bare mention goes on after it, and none starts behind it."""
+    bare = r"(?<![\[@\w.])(?<! {2})@((?:\w| {2,})++)(?![@\w.])" if compat else r"(?<![\[@\w.])@(\w+)(?![@\w.])"
     names = literal_map(users or {})
 
     def by_id(t: Column) -> Column:
@@ -98,7 +100,7 @@ def convert_mentions(c: Column, users: Mapping[str, str] | None = None) -> Colum
 
     c = map_tokens(c, "<@U[A-Z0-9]+>", by_id)
     for pattern, new in (
-        (r"(?<![\[@\w.])@(\w+)(?![@\w.])", "[[$1]]"),
+        (bare, "[[$1]]"),
         (r"<@(\w+)>", "[[$1]]"),
         (r"\[@(\w+)\]\(https?://[^)]+\)", "[[$1]]"),
         (r"<!(?:channel|here|everyone)\|([^>]+)>", "**$1**"),
@@ -254,7 +256,7 @@ def step(name: str, settings: Settings) -> list[Callable[[Column], Column] | InP
         "escape_brackets": [escape_brackets],
         "attachments": [mark_uploads, mark_images, InPython(fold_previews_of), mark_avatars, mark_services],
         "links": [convert_links],
-        "mentions": [undouble_in_text, lambda x: convert_mentions(x, settings.user_map)],
+        "mentions": [undouble_in_text, lambda x: convert_mentions(x, settings.user_map, settings.compat)],
         "emoji": [lambda x: replace_emoji(x, settings.emoji_map)],
         "thread_links": [link_threads],
     }

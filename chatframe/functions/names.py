@@ -25,6 +25,9 @@ APP_AFTER_URL = rf"^\s*https?://[^\s]+\s+{APP_NAME}"
 APP_SERVICE = r"https?://[^\s/]*slack[^\s/]*/services/[A-Z0-9]+"
 APP_DOUBLED = r"(?i)^([A-Za-z][A-Za-z0-9\s\-_.]+)\1\s*(?:APP\s*)?"
 MAX_LENGTH, MAX_WORDS = 10_000, 1_000
+#: Words of a doubled name at most. A pattern that repeats a group without bound before a reference to
+#: it goes one call deeper for each word, which a long text doesn't survive.
+NAME_WORDS = 8
 
 
 def _strip_marks(c: Column) -> Column:
@@ -35,14 +38,8 @@ def _strip_marks(c: Column) -> Column:
 
 
 def _without_repeats(line: Column) -> Column:
-    """A word that repeats the one before it, whatever its case, goes."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
-
-    def step(acc: Column, word: Column) -> Column:
-        again = F.coalesce((F.lower(word) == F.lower(acc["last"])) & (word != ""), F.lit(False))
-        return F.struct(F.when(again, acc["out"]).otherwise(F.concat(acc["out"], F.array(word))).alias("out"), F.when(again, None).otherwise(word).alias("last"))
-
-    return F.array_join(F.aggregate(F.split(line, r"\s+", -1), start, step)["out"], " ")
+    """A word that repeats the one before it, whatever its case, goes; a third one stays again."""
+    return F.regexp_replace(F.regexp_replace(line, r"\s+", " "), r"(?iu)(?<!\S)(\S++) \1(?!\S)", "$1")
 
 
 def _thread_form(c: Column) -> Column:
@@ -71,7 +68,7 @@ def _undouble(c: Column, form: str | None) -> Column:
     half = F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
     long_double = (F.length(c) > 500) & (F.concat(half, half) == c)
     x = _thread_form(c) if form == "thread" else _dm_form(c) if form == "dm" else c
-    words = rf"\b{NAME}+(?:\s+{NAME}+)*"
+    words = rf"\b{NAME}+(?:\s+{NAME}+){{0,{NAME_WORDS - 1}}}"
     x = F.regexp_replace(x, rf"({words})\1\b", "$1")
     x = F.regexp_replace(x, rf"({words})\s+\1\b", "$1")
     x = F.regexp_replace(x, rf"(\b{NAME}+)\s+\1(\b{NAME}+)\s+\2\b", "$1 $2")

@@ -3,32 +3,33 @@ aggregate to join the pieces in order."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatframe.functions.text import any_match, trim_u
-from chatframe.operators.lines import CONTINUATION_PHRASES
 from chatframe.schema import UNKNOWN_USER
 
 #: How a fragment starts that carries on a message (fixed values).
 CLOCK_LED = [r"(?i)^\[\d{1,2}:\d{2}(?:\s*(?:AM|PM))?\]", r"(?i)^\d{1,2}:\d{2}(?:\s*(?:AM|PM))?", r"(?i)^(?:Today|Yesterday) at \d{1,2}:\d{2}\s*(?:AM|PM)?"]
 
 
-def is_fragment(text: Column, ts_text: Column, compat: bool = True) -> Column:
-    """An unknown author's text that starts with a clock or a carry-on phrase, or is its own time."""
+def is_fragment(text: Column, ts_text: Column, phrases: Sequence[str] = ()) -> Column:
+    """An unknown author's text that starts with a clock or one of ``phrases``, or is its own time."""
     t = trim_u(text)
-    return F.coalesce((text != "") & (any_match(t, CLOCK_LED + (CONTINUATION_PHRASES if compat else [])) | ((ts_text != "") & ((t == "") | (t == ts_text)))), F.lit(False))
+    return F.coalesce((text != "") & (any_match(t, [*CLOCK_LED, *phrases]) | ((ts_text != "") & ((t == "") | (t == ts_text)))), F.lit(False))
 
 
-def fold_continuations(messages: DataFrame, compat: bool = True) -> DataFrame:
+def fold_continuations(messages: DataFrame, phrases: Sequence[str] = ()) -> DataFrame:
     """``messages`` with fragments folded in: texts joined by blank lines, a fragment's own time put
     before it if it differs, reactions concatenated, the last thread information kept. Other columns
     are those of the message that takes the fragments in."""
     earlier = W.partitionBy("conv_id").orderBy("msg_idx").rowsBetween(W.unboundedPreceding, -1)
     known = F.col("username").isNotNull() & (F.col("username") != "") & (F.col("username") != UNKNOWN_USER)
     last = F.last(F.when(known, F.struct("msg_idx", "ts_text")), True).over(earlier)
-    folds = (F.col("username") == UNKNOWN_USER) & F.col("_last").isNotNull() & is_fragment(F.col("text"), F.col("ts_text"), compat)
+    folds = (F.col("username") == UNKNOWN_USER) & F.col("_last").isNotNull() & is_fragment(F.col("text"), F.col("ts_text"), phrases)
     rows = messages.withColumn("_last", last).withColumn("_fold", F.coalesce(folds, F.lit(False)))
     rows = rows.withColumn("_to", F.when(F.col("_fold"), F.col("_last.msg_idx")).otherwise(F.col("msg_idx")))
     clocked = any_match(trim_u(F.split_part("text", F.lit("\n"), F.lit(1))), CLOCK_LED)

@@ -8,6 +8,8 @@ function per conversation, without any pattern of its own, walks over those flag
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,16 +191,16 @@ def primary_intervals(features: DataFrame) -> DataFrame:
     return features.select("conv_id", "line_no", "author", *FLAGS).groupBy("conv_id").applyInArrow(_walk, INTERVAL)
 
 
-def primary_lines(conversations: DataFrame, col: str = "raw", compat: bool = False) -> DataFrame:
-    return with_candidates(with_features(explode_lines(conversations, col), compat))
+def primary_lines(conversations: DataFrame, col: str = "raw", phrases: Sequence[str] = ()) -> DataFrame:
+    return with_candidates(with_features(explode_lines(conversations, col), phrases))
 
 
 def common_usernames(features: DataFrame) -> DataFrame:
-    """(conv_id, username, uses): names that user-like lines give at least twice, most used first;
-    ties in order of first use by ``first_line``."""
+    """(conv_id, username, uses, first_line, rank): names that user-like lines give at least twice; the
+    most used one of a conversation ranks first, ties by first use."""
     named = features.where("could_be_user").select("conv_id", "line_no", clean_name(F.coalesce("author", F.when(F.col("is_name"), F.col("trimmed")))).alias("username"))
     valid = (F.length("username").between(2, 50)) & ~F.col("username").rlike(r"(?i)^(?:\d+|(?:mon|tues|wednes|thurs|fri|satur|sun)day|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)$|^\d{1,2}:\d{2}")
-    return named.where(valid).groupBy("conv_id", "username").agg(F.count("*").alias("uses"), F.min("line_no").alias("first_line")).where("uses >= 2")
+    return named.where(valid).groupBy("conv_id", "username").agg(F.count("*").alias("uses"), F.min("line_no").alias("first_line")).where("uses >= 2").withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("uses"), "first_line")))
 
 
 def timestamp_spellings(features: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def parse_headers(conversations: DataFrame) -> DataFrame:
 
 def parse_primary(conversations: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Messages by the primary parser."""
-    lines = primary_lines(conversations, compat=bool(settings and settings.compat))
+    lines = primary_lines(conversations, phrases=settings.phrases if settings else ())
     return extract_messages(lines, primary_intervals(lines)).select(*MESSAGE)
 
 
@@ -73,7 +73,7 @@ def run(conversations: DataFrame, settings: Settings | None = None, ref: Column
     accepted = store(normalise(checked.where("error is null"), settings), "normal")
     formats = classify(accepted)
     found = parse_headers(accepted) if fast else parse(accepted, settings, ref)
-    found = store(fold_continuations(drop_equal_messages(found), settings.compat), "folded")
+    found = store(fold_continuations(drop_equal_messages(found), settings.phrases), "folded")
     found = store(enrich_messages(drop_similar_messages(found), settings), "messages")
     rendered = render_conversations(found, formats, ref, settings)
     refused = checked.where("error is not null").select("conv_id", F.col("error").alias("markdown"))

@@ -32,6 +32,7 @@ T = """WITH t AS (
 h AS (SELECT *, username || '  [' || ts || link AS head, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS n FROM t)
 """
 NL = "chr(10)"
+LINES = f", l AS (SELECT conv_id, line_no::INTEGER AS line_no, x FROM (SELECT conv_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT conv_id, string_split(string_agg(head || {NL} || text, {NL} ORDER BY turn), {NL}) AS ls FROM h GROUP BY conv_id)))"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -69,6 +70,15 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
+def as_prose(end: str = "; good?") -> Column:
+    """The turn's whole text, each of its lines between words that no name or header has."""
+    return cat("so it is, said ", F.replace(c("text"), F.lit("\n"), F.lit(f"{end}\nso it is, said ")), end)
+
+
+def prose_sql(end: str = "; good?", break_: str = "chr(10)") -> str:
+    return f"'so it is, said ' || replace(text, chr(10), '{end}' || {break_} || 'so it is, said ') || '{end}'"
+
+
 def digest(x: Column, before: str, after: str = "") -> Column:
     """An operator's result with what is between its decoration as md5. The operator sees and gives
     the whole text; a result whose decoration isn't intact stays as it is."""
@@ -116,18 +126,19 @@ def snk_preview(spark, sf_dir):
     return render.preview_line(stats.conversation_stats(messages_of(turns(spark, sf_dir))))
 
 
-@query("SELECT conv_id, n * 2 AS line_no, head AS content, count(*) OVER (PARTITION BY conv_id) AS total FROM h QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 50")
+@query(LINES + """, k AS (SELECT l.* FROM l WHERE trim(x) <> '' AND NOT EXISTS (SELECT 1 FROM t WHERE t.conv_id = l.conv_id AND trim(t.text) = trim(l.x)))
+SELECT conv_id, line_no, x AS content, count(*) OVER (PARTITION BY conv_id) AS total FROM k QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY line_no) <= 50""")
 def snk_unparsed_anti(spark, sf_dir):
-    """Header lines are no message's whole text; the texts here are one line each, by their md5."""
-    rows = turns(spark, sf_dir).withColumn("text", F.md5("text"))
+    """Header lines, and lines of texts of several lines, are no message's whole text."""
+    rows = turns(spark, sf_dir)
     return render.unparsed_lines(lines.explode_lines(transcripts(rows)), messages_of(rows))
 
 
-@query(f"SELECT conv_id, '>[!warning]+ Slack Formatting Error' || {NL} || '> Failed to parse this content as Slack conversation.' || {NL} || '> Error: odd' || {NL} || '>' || {NL} || '> **Original Content:**' || {NL} || '>' || {NL} || '> ```' || {NL} || string_agg('> ' || head || ' <@U1>', {NL} ORDER BY turn) FILTER (n < 100) || CASE WHEN count(*) > 100 THEN {NL} || '> ... and ' || (count(*) - 100) || ' more lines' ELSE '' END || {NL} || '> ```' || {NL} || '>' || {NL} || '> **Detected Elements:**' || {NL} || '> - User mentions: ' || count(*) || {NL} || '> - Timestamps: ' || count(*) AS markdown FROM h GROUP BY conv_id")
+@query(f"SELECT conv_id, '>[!warning]+ Slack Formatting Error' || {NL} || '> Failed to parse this content as Slack conversation.' || {NL} || '> Error: odd' || {NL} || '>' || {NL} || '> **Original Content:**' || {NL} || '>' || {NL} || '> ```' || {NL} || array_to_string(list_transform(ls[1:100], lambda x: '> ' || x), {NL}) || CASE WHEN len(ls) > 100 THEN {NL} || '> ... and ' || (len(ls) - 100) || ' more lines' ELSE '' END || {NL} || '> ```' || {NL} || '>' || {NL} || '> **Detected Elements:**' || {NL} || '> - User mentions: ' || k || {NL} || '> - Timestamps: ' || k AS markdown FROM (SELECT conv_id, count(*) AS k, string_split(string_agg(head || ' <@U1>' || {NL} || text, {NL} ORDER BY turn), {NL}) AS ls FROM h GROUP BY conv_id)")
 def snk_failure(spark, sf_dir):
-    rows = transcripts(turns(spark, sf_dir).withColumn("text", F.lit("")))
-    raw = F.regexp_replace(F.regexp_replace(text.trim_u(c("raw")), r"\)\n\n", ")\n"), r"\)(?=\n|\z)", ") <@U1>")
-    return pipeline.render_failures(rows.select("conv_id", raw.alias("raw"), F.lit("odd").alias("error")))
+    """Whole transcripts with a mention behind each header."""
+    raw = F.regexp_replace("raw", r"(/archives/C1/p\d+\))(?=\n)", "$1 <@U1>")
+    return pipeline.render_failures(transcripts(turns(spark, sf_dir)).select("conv_id", raw.alias("raw"), F.lit("odd").alias("error")))
 
 
 # --- normalisation -------------------------------------------------------------------------------
@@ -152,7 +163,6 @@ def nrm_block_dedup(spark, sf_dir):
 
 
 # --- lines ---------------------------------------------------------------------------------------
-LINES = f", l AS (SELECT conv_id, line_no::INTEGER AS line_no, x FROM (SELECT conv_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT conv_id, string_split(string_agg(head || {NL} || text, {NL} ORDER BY turn), {NL}) AS ls FROM h GROUP BY conv_id)))"
 
 
 @query(LINES + r"""SELECT conv_id, line_no, x AS content, length(x)::INTEGER AS length, length(x) < 25 AS is_short, length(x) > 100 AS is_long, regexp_matches(x, '^[A-Z]') AS has_capital, regexp_matches(x, '\d') AS has_digit,
@@ -179,12 +189,13 @@ def lf_continuation(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", lines.is_continuation_shape(made).alias("is_cont"))
 
 
-@query("SELECT conv_id, turn, turn % 3 = 0 AS is_name, turn % 3 = 1 AS is_doubled FROM t")
+@query("SELECT conv_id, turn, turn % 4 < 2 AS is_name, turn % 4 = 1 AS is_doubled FROM t")
 def lf_names(spark, sf_dir):
-    who = c("username")
-    made = F.when(c("msg_idx") % 3 == 0, who).when(c("msg_idx") % 3 == 1, cat(F.upper(F.substring("username", 1, 3)), "!", "")).otherwise(cat(who, " is at the door"))
-    rows = messages_of(turns(spark, sf_dir)).select("conv_id", c("msg_idx").alias("turn"), F.when(c("msg_idx") % 3 == 1, cat(who, "_x", who, "_x")).otherwise(made).alias("made"))
-    return rows.select("conv_id", "turn", (lines.looks_like_name(c("made")) & (c("turn") % 3 != 1)).alias("is_name"), lines.is_doubled_name(c("made")).alias("is_doubled"))
+    """A name, a doubled name (a name as well), a sentence, and the turn's prose."""
+    who, k = c("username"), c("msg_idx") % 4
+    made = F.when(k == 0, who).when(k == 1, cat(who, "_x", who, "_x")).when(k == 2, cat(who, " is at the door")).otherwise(cat("so, ", c("text"), "; good?"))
+    rows = messages_of(turns(spark, sf_dir)).select("conv_id", c("msg_idx").alias("turn"), made.alias("made"))
+    return rows.select("conv_id", "turn", lines.looks_like_name(c("made")).alias("is_name"), lines.is_doubled_name(c("made")).alias("is_doubled"))
 
 
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS name_time, CASE turn % 4 WHEN 2 THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS day, CASE turn % 4 WHEN 3 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS metadata FROM t")
@@ -194,20 +205,20 @@ def fb_line_scores(spark, sf_dir):
     return rows.select("conv_id", "turn", c("s.name_time").alias("name_time"), c("s.date").alias("day"), c("s.metadata").alias("metadata"))
 
 
-@query("SELECT conv_id, n AS msg_idx, username, ts AS ts_text, 'so it is, said ' || md5(text) || '; good?' AS text FROM h")
+@query(f"SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} AS text FROM h")
 def fb_parse(spark, sf_dir):
     """The fallback parser on transcripts."""
-    rows = turns(spark, sf_dir).withColumn("text", cat("so it is, said ", F.md5("text"), "; good?"))
+    rows = turns(spark, sf_dir).withColumn("text", as_prose())
     return pipeline.parse_fallback(transcripts(rows)).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
-@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'a text, said ' || md5(text) || chr(10) || chr(10) || '📎 2 files - Added by X' ELSE 'a text, said ' || md5(text) END AS text, CASE turn % 3 WHEN 1 THEN 1 ELSE 0 END AS n_reactions, CASE turn % 3 WHEN 2 THEN '3 replies View thread' END AS thread_info FROM t")
+@query(f"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN {prose_sql()} || chr(10) || chr(10) || '📎 2 files - Added by X' ELSE {prose_sql()} END AS text, CASE turn % 3 WHEN 1 THEN 1 ELSE 0 END AS n_reactions, CASE turn % 3 WHEN 2 THEN '3 replies View thread' END AS thread_info FROM t")
 def fb_fields(spark, sf_dir):
     """Attachments, reaction pairs and thread information below a text, one conversation each. A
     reaction on one line is metadata that the block machine leaves out."""
     k = c("turn") % 3
     more = F.when(k == 0, "\n2 files\nAdded by X").when(k == 1, "\n:tada:\n3\n:smile: 2").otherwise("\n3 replies\nView thread")
-    rows = turns(spark, sf_dir).select((c("conv_id") * 100000 + c("turn")).alias("conv_id"), cat("Ada Lovell  [3:04 PM](https://chat.example/archives/C1/p1)\na text, said ", F.md5("text"), more).alias("raw"))
+    rows = turns(spark, sf_dir).select((c("conv_id") * 100000 + c("turn")).alias("conv_id"), cat("Ada Lovell  [3:04 PM](https://chat.example/archives/C1/p1)\n", as_prose(), more).alias("raw"))
     rows = fallback.fallback_messages(rows, now())
     return rows.select(F.floor(c("conv_id") / 100000).alias("conv_id"), (c("conv_id") % 100000).cast("int").alias("turn"), "text", F.size("reactions").alias("n_reactions"), "thread_info")
 
@@ -243,10 +254,10 @@ def seg_roundtrip(spark, sf_dir):
     return segment.header_segments(transcripts(turns(spark, sf_dir))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
-@query("SELECT conv_id, n AS msg_idx, username, ts AS ts_text, 'so it is, said ' || md5(text) || '; good?' AS text FROM h")
+@query(f"SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} AS text FROM h")
 def seg_primary(spark, sf_dir):
-    """The primary parser on transcripts whose texts, digests in a sentence, can't be taken for headers."""
-    rows = turns(spark, sf_dir).withColumn("text", cat("so it is, said ", F.md5("text"), "; good?"))
+    """The primary parser on transcripts whose texts' lines can't be taken for headers."""
+    rows = turns(spark, sf_dir).withColumn("text", as_prose())
     return pipeline.parse_primary(transcripts(rows)).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
@@ -288,12 +299,13 @@ def ext_reactions(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join(F.transform("r", lambda x: cat(x["name"], "=", x["count"])), ",").alias("reactions"))
 
 
-@query(f"SELECT conv_id, turn, text || {NL} || {NL} || 'more, too' AS result, 2 AS n_reactions, '3 replies' AS thread_info FROM t")
+@query(f"SELECT conv_id, turn, text || {NL} || {NL} || 'more, too' AS result, 2 AS n_reactions, CASE turn % 3 WHEN 1 THEN '4 replies so far' WHEN 2 THEN 'Thread' END AS thread_info FROM t")
 def ext_content(spark, sf_dir):
-    made = cat("AnnaAnna\n\n\n", c("text"), "\n\n\n\nView thread\nmore, too\n😄 4\n🎉2\n3 replies")
-    lines_ = F.filter(F.split(made, "\n"), lambda x: ~x.rlike("^View thread$"))
-    rows = turns(spark, sf_dir).select("conv_id", "turn", extract.split_content(F.transform(lines_, lambda x: F.when(x == "3 replies", "3 replies ").otherwise(x))).alias("x"))
-    return rows.select("conv_id", "turn", c("x.text").alias("result"), F.size("x.reactions").alias("n_reactions"), F.coalesce(c("x.thread_info"), F.lit("3 replies")).alias("thread_info"))
+    """A line that is a count of replies and nothing else, or "View thread", is metadata and leaves no
+    thread information; a line that goes on after the count does."""
+    made = cat("AnnaAnna\n\n\n", c("text"), "\n\n\n\nView thread\nmore, too\n😄 4\n🎉2\n3 replies", F.when(c("turn") % 3 == 1, "\n4 replies so far").when(c("turn") % 3 == 2, "\nThread").otherwise(""))
+    rows = turns(spark, sf_dir).select("conv_id", "turn", extract.split_content(F.split(made, "\n")).alias("x"))
+    return rows.select("conv_id", "turn", c("x.text").alias("result"), F.size("x.reactions").alias("n_reactions"), c("x.thread_info").alias("thread_info"))
 
 
 # --- duplicates and continuations ----------------------------------------------------------------
@@ -316,10 +328,13 @@ def dup_jaccard(spark, sf_dir):
 
 
 @query("""SELECT conv_id, turn, CASE WHEN abs(length(a) - length(b)) > floor(greatest(length(a), length(b)) * 0.3) OR levenshtein(a, b) > floor(greatest(length(a), length(b)) * 0.3) THEN 0.0::DOUBLE
-  ELSE (greatest(length(a), length(b)) - levenshtein(a, b))::DOUBLE / greatest(length(a), length(b)) END AS edit FROM (SELECT conv_id, turn, md5(text) AS a, left(md5(text), 28 - turn % 12) || 'qzqz' AS b FROM t)""")
+  ELSE (greatest(length(a), length(b)) - levenshtein(a, b))::DOUBLE / greatest(length(a), length(b)) END AS edit FROM (SELECT conv_id, turn, md5(text) || x AS a, left(md5(text), 28 - turn % 12) || 'qzqz' || left(x, length(x) - length(x) // (turn % 5 + 2)) AS b FROM (SELECT *, regexp_replace(text, '[^ -~]', '?', 'g') AS x FROM t))""")
 def dup_edit(spark, sf_dir):
-    a = F.md5("text")
-    b = cat(F.left(a, 28 - c("turn") % 12), "qzqz")
+    """Whole texts with another beginning and without a part of their end. Signs beyond ASCII are "?",
+    since the SQL counts a letter with an accent as two."""
+    x = F.regexp_replace("text", "[^ -~]", "?")
+    a = cat(F.md5("text"), x)
+    b = cat(F.left(F.md5("text"), 28 - c("turn") % 12), "qzqz", F.left(x, F.length(x) - F.floor(F.length(x) / (c("turn") % 5 + 2)).cast("int")))
     return turns(spark, sf_dir).select("conv_id", "turn", dedup.edit_similarity(a, b).alias("edit"))
 
 
@@ -338,10 +353,10 @@ def dup_fuzzy(spark, sf_dir):
 @query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'link_preview' WHEN 1 THEN 'file_attachment' WHEN 2 THEN 'reactions' ELSE '' END AS kinds,
   CASE turn % 4 WHEN 3 THEN 'so; ' || md5(text) WHEN 1 THEN 'but: and so on it goes, and on and on, and on [x]' ELSE 'so; ' || md5(text) || {NL} || 'but: and so on it goes, and on and on, and on [x]' END AS cleaned FROM t""")
 def emb_blocks(spark, sf_dir):
-    """Whole texts; a file block takes in the lines before its first file line, so there the text is
-    one line, its md5."""
+    """Whole texts; a file block takes in the lines before its first file line, so there the text
+    stands on one line."""
     end = "\nbut: and so on it goes, and on and on, and on [x]"
-    made = cat("so; ", F.when(c("turn") % 4 == 1, F.md5("text")).otherwise(c("text")), F.when(c("turn") % 4 == 0, "\nhttps://ex.org/a\nA title" + end).when(c("turn") % 4 == 1, "\n[file](https://ex.org/f)\nPDF" + end).when(c("turn") % 4 == 2, "\n:tada: 3\n:smile: 2" + end).otherwise(""))
+    made = cat("so; ", F.when(c("turn") % 4 == 1, F.replace(c("text"), F.lit("\n"), F.lit(" "))).otherwise(c("text")), F.when(c("turn") % 4 == 0, "\nhttps://ex.org/a\nA title" + end).when(c("turn") % 4 == 1, "\n[file](https://ex.org/f)\nPDF" + end).when(c("turn") % 4 == 2, "\n:tada: 3\n:smile: 2" + end).otherwise(""))
     rows = turns(spark, sf_dir).select("conv_id", "turn", made.alias("made")).withColumn("e", embed.embedded(c("made")))
     return rows.select("conv_id", "turn", F.array_join(F.transform("e.blocks", lambda b: b["type"]), ",").alias("kinds"), F.when(c("turn") % 4 == 1, c("e.cleaned")).when(c("turn") % 4 == 3, digest(c("e.cleaned"), "so; ")).otherwise(digest(c("e.cleaned"), "so; ", end)).alias("cleaned"))
 
@@ -373,9 +388,9 @@ on_text("enr_images", lambda: F.when(c("turn") % 3 == 0, "Image from iOS").when(
 on_text("enr_services", lambda: cat(c("text"), " 📎 Added by [Hub](https://ex.org)"), enrich.mark_services, "text || ' 📎 Added by [Hub](https://ex.org)'", "text || ' 📎 _Added by Hub_'")
 on_text("enr_previews", lambda: cat("GitHub\nhttps://ex.org/", c("turn"), "\nwhat it is about\n\n", c("text")), enrich.fold_previews, "'GitHub' || chr(10) || 'https://ex.org/' || turn || chr(10) || 'what it is about' || chr(10) || chr(10) || text",
         "'🔗 [GitHub](https://ex.org/' || turn || ') — _what it is about_' || chr(10) || text")
-on_text("enr_avatars", lambda: cat("![](https://ca.slack-edge.com/a", c("turn"), ")\n", F.when(c("turn") % 2 == 0, cat("this line is long enough: ", F.md5("text"))).otherwise("short")), enrich.mark_avatars,
-        "'![](https://ca.slack-edge.com/a' || turn || ')' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'this line is long enough: ' || md5(text) ELSE 'short' END",
-        "CASE WHEN turn % 2 = 0 THEN '<!-- Avatar: ![](https://ca.slack-edge.com/a' || turn || ') -->' || chr(10) || 'this line is long enough: ' || md5(text) ELSE 'short' END")
+on_text("enr_avatars", lambda: cat("![](https://ca.slack-edge.com/a", c("turn"), ")\n", F.when(c("turn") % 2 == 0, cat("this line is long enough: ", c("text"))).otherwise("short")), enrich.mark_avatars,
+        "'![](https://ca.slack-edge.com/a' || turn || ')' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'this line is long enough: ' || text ELSE 'short' END",
+        "CASE WHEN turn % 2 = 0 THEN '<!-- Avatar: ![](https://ca.slack-edge.com/a' || turn || ') -->' || chr(10) || 'this line is long enough: ' || text ELSE 'short' END")
 
 
 @query("SELECT conv_id, turn AS msg_idx, 'so, ' || md5(text) || ' &lt;b&gt; [d](https://ex.org) [[User-U1]] 😄 \"q\"' AS text FROM t")
@@ -392,11 +407,11 @@ def emo_reactions(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", emoji.format_reactions(made).alias("reactions"))
 
 
-@query("SELECT conv_id, turn, turn % 2 = 0 AS has_emoji, CASE WHEN turn % 2 = 0 THEN 'wave,thumbsup,tada' ELSE '' END AS codes, 'so, ' || md5(text) AS bare FROM t")
+@query("SELECT conv_id, turn, turn % 2 = 0 AS has_emoji, CASE WHEN turn % 2 = 0 THEN 'wave,thumbsup,tada' ELSE '' END AS codes, 'so, ' || md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS bare FROM t")
 def emo_codes(spark, sf_dir):
-    made = cat("so, ", F.md5("text"), F.when(c("turn") % 2 == 0, " ![:wave:](https://ex.org/w.png) ![](https://a.slack-edge.com/production-standard-emoji-assets/14.0/apple-large/1f44d.png) :tada: :tada: 😄").otherwise(""))
+    made = cat("so, ", c("text"), F.when(c("turn") % 2 == 0, " ![:wave:](https://ex.org/w.png) ![](https://a.slack-edge.com/production-standard-emoji-assets/14.0/apple-large/1f44d.png) :tada: :tada: 😄").otherwise(""))
     rows = turns(spark, sf_dir).select("conv_id", "turn", made.alias("made"))
-    return rows.select("conv_id", "turn", emoji.contains_emoji(c("made")).alias("has_emoji"), F.array_join(emoji.emoji_codes(c("made")), ",").alias("codes"), emoji.remove_emoji(c("made")).alias("bare"))
+    return rows.select("conv_id", "turn", emoji.contains_emoji(c("made")).alias("has_emoji"), F.array_join(emoji.emoji_codes(c("made")), ",").alias("codes"), digest(emoji.remove_emoji(c("made")), "so, ").alias("bare"))
 
 
 on_text("usr_undouble", lambda: F.when(c("turn") % 2 == 0, cat(c("role"), c("role"))).otherwise(cat("Ada ", c("role"), "Ada ", c("role"))), names.undouble, "CASE WHEN turn % 2 = 0 THEN role || role ELSE 'Ada ' || role || 'Ada ' || role END", "CASE WHEN turn % 2 = 0 THEN role ELSE 'Ada ' || role END")
@@ -523,7 +538,7 @@ def agg_defaults(spark, sf_dir):
 
 @query("SELECT conv_id, 0::BIGINT AS message_count, count(*) AS unique_users, 0::BIGINT AS thread_replies, 'fallback' AS format FROM t GROUP BY conv_id")
 def agg_failure(spark, sf_dir):
-    return stats.failure_stats(transcripts(turns(spark, sf_dir).withColumn("text", cat("<@U", c("turn"), ">"))))
+    return stats.failure_stats(transcripts(turns(spark, sf_dir).withColumn("text", cat(c("text"), " <@U", c("turn"), ">"))))
 
 
 @query("SELECT conv_id, username, count(*) AS message_count, (grouping(conv_id) * 2 + grouping(username))::BIGINT AS level FROM t GROUP BY ROLLUP (conv_id, username)")
@@ -541,10 +556,10 @@ def run_fast(spark, sf_dir):
     return pipeline.run(transcripts(rows), fast=True).rendered.select("conv_id", said.alias("markdown"))
 
 
-@query(f"SELECT conv_id, string_agg('> [!slack]+ Message from ' || username || {NL} || '> **Time:** ' || ts || {NL} || '>' || {NL} || '> so it is, said ' || md5(text) || '; 😄 [d](https://ex.org)', {NL} || {NL} ORDER BY turn) AS markdown FROM t GROUP BY conv_id")
+@query(f"SELECT conv_id, string_agg('> [!slack]+ Message from ' || username || {NL} || '> **Time:** ' || ts || {NL} || '>' || {NL} || '> ' || " + prose_sql("; 😄 [d](https://ex.org)", f"{NL} || '> '") + f", {NL} || {NL} ORDER BY turn) AS markdown FROM t GROUP BY conv_id")
 def run_primary(spark, sf_dir):
     """All stages over the primary parser and its quality gate."""
-    rows = turns(spark, sf_dir).withColumn("text", cat("so it is, said ", F.md5("text"), "; :smile: <https://ex.org|d>"))
+    rows = turns(spark, sf_dir).withColumn("text", as_prose("; :smile: <https://ex.org|d>"))
     return pipeline.run(transcripts(rows)).rendered
 
 

@@ -31,7 +31,8 @@ class Settings:
     frontmatter_title: str = ""
     time_zone: str = ""
     debug: bool = False
-    compat: bool = False  # reproduce quirks that depend on hard-coded phrases and placeholders
+    compat: bool = False  # reproduce quirks: masked spaces in mentions, links and emoji converted again at rendering
+    phrases: tuple[str, ...] = ()  # further patterns of lines that carry on a message
 
     @property
     def user_map(self) -> dict[str, str]:
