@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatframe.llm import language_id, mixing, ngram_join, packing, toxicity
 from chatframe.llm.common import store, table
+from chatframe.storage import scratch
 
 #: A document stays if one language leads with this share of its words.
 LEADING_SHARE = 0.5
@@ -73,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # a stage's own tables go once its result is written
+            docs = store(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
