@@ -7,7 +7,9 @@ once. A set's paths depend on the set alone and are made in one pass, level by l
 still above ``BUCKET`` go on to the next level. Small buckets are compared by brute force, on
 sketches; buckets that stay large at the last level are compared in blocks, so none is dropped.
 Runs repeat until the chance that a pair at the threshold never met is below 1 - recall, by the
-extinction probability of the path process at the deepest level.
+extinction probability of the path process at the deepest level. Buckets that could only repeat what
+the first runs have found are left out of later ones, so a large group of near copies costs a few
+runs, not all.
 
 What the sketches let through joins documents to candidate groups; within each group, in blocks,
 all pairs are decided on the whole shingle sets. Equal sets are one class and are compared once.
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.llm.common import bounded_broadcast, store
@@ -33,9 +35,12 @@ from chatframe.llm.components import components
 from chatframe.llm.cover_tree import forest
 
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
-#: Bucket size from which a bucket is split further, and rows of a block at the last level: two
-#: blocks meet in a task.
-BUCKET, BLOCK = 512, 256
+#: Bucket size from which a bucket goes on to the next level, and rows of a block: a bucket that stays
+#: is compared in pairs of blocks, so that no key has more than two blocks' rows.
+BUCKET, BLOCK = 2048, 256
+#: Runs whose buckets are compared first. Later runs leave out buckets whose texts those have already
+#: brought into one candidate group, since comparing them would add nothing.
+FIRST_RUNS = 3
 #: Documents and shingles of a block of a candidate group; two blocks meet in a task.
 GROUP_DOCS, GROUP_SHINGLES = 256, 1_000_000
 #: Bins of a sketch (16 bits each), and how far below the threshold its estimate may be.
@@ -101,22 +106,23 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(q))
 
 
-def paths(s: np.ndarray, runs: int, depth: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(parents, keys) for each level: the nodes that the set goes to, and from where."""
+def paths(s: np.ndarray, runs: int, depth: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(runs, parents, keys) for each level: the nodes that the set goes to, and from where."""
     limit = U(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
-    nodes = _mix(np.arange(1, runs + 1, dtype=np.uint64) * C1)
+    of, nodes = np.arange(runs, dtype=np.int32), _mix(np.arange(1, runs + 1, dtype=np.uint64) * C1)
     for _ in range(depth):
-        parents, keys = [], []
+        origins, parents, keys = [], [], []
         step = max(1, 2_000_000 // len(s))
         for at in range(0, len(nodes), step):
             z = (nodes[at : at + step, None] ^ s[None, :]) * C4
             z ^= z >> U(32)
             z *= C2
             i, j = np.nonzero(z <= limit)
+            origins.append(of[at + i])
             parents.append(nodes[at + i])
             keys.append(_mix(nodes[at + i] * C3 + s[j]))
-        parents, nodes = np.concatenate(parents), np.concatenate(keys)
-        yield parents, nodes
+        of, parents, nodes = np.concatenate(origins), np.concatenate(parents), np.concatenate(keys)
+        yield of, parents, nodes
         if not len(nodes):
             return
 
@@ -124,20 +130,22 @@ def paths(s: np.ndarray, runs: int, depth: int, threshold: float) -> Iterator[tu
 def _mark(runs: int, depth: int, threshold: float, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, sketches, levels, parents, keys, ends = [], [], [], [np.zeros(0, np.int32)], [np.zeros(0, U)], [np.zeros(0, U)], [0]
+            digests, sizes, sketches, ends = [], [], [], [0]
+            levels, origins, parents, keys = ([np.zeros(0, kind)] for kind in (np.int32, np.int32, U, U))
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sketches.append(sketch(s).tobytes())
                 ends.append(ends[-1])
-                for k, (above, below) in enumerate(paths(s, runs, depth, threshold) if len(s) else ()):
+                for k, (of, above, below) in enumerate(paths(s, runs, depth, threshold) if len(s) else ()):
                     levels.append(np.full(len(below), k + 1, np.int32))
+                    origins.append(of)
                     parents.append(above)
                     keys.append(below)
                     ends[-1] += len(below)
-            fields = [np.concatenate(levels), np.concatenate(parents).view(np.int64), np.concatenate(keys).view(np.int64)]
-            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], ["level", "parent", "key"]))
+            fields = [np.concatenate(levels), np.concatenate(origins), np.concatenate(parents).view(np.int64), np.concatenate(keys).view(np.int64)]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], ["level", "run", "parent", "key"]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), nodes], ["doc_id", "text_hash", "digest", "n", "sketch", "nodes"])
 
     return run
@@ -161,9 +169,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa
 
 
 def _edges(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    low = ids[forest(len(ids), pairs)] if len(ids) else ids
-    apart = low != ids
-    return pa.RecordBatch.from_arrays([pa.array(ids[apart], pa.int64()), pa.array(low[apart], pa.int64())], ["u", "v"])
+    """Edges of a forest over the classes that the rows of a table name, each class once."""
+    names, at = np.unique(ids, return_inverse=True)
+    low = names[forest(len(names), [(at[a], at[b]) for a, b in pairs])] if len(ids) else names
+    apart = low != names
+    return pa.RecordBatch.from_arrays([pa.array(names[apart], pa.int64()), pa.array(low[apart], pa.int64())], ["u", "v"])
 
 
 def _compare(threshold: float):
@@ -198,38 +208,53 @@ def _blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
     with every block; ``g`` names the pair, ``side`` is 2 where all its rows are compared."""
     one = F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
     rows = rows.withColumn("_b", one).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1)))
-    pair = F.concat_ws(":", F.col(key), F.least("_b", "_o"), F.greatest("_b", "_o"))
+    pair = F.xxhash64(key, F.least("_b", "_o"), F.greatest("_b", "_o"))
     side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
     return rows.withColumn("g", pair).withColumn("side", side).drop("_b", "_o")
 
 
 def candidates(classes: DataFrame, threshold: float, depth: int) -> DataFrame | None:
-    """Edges (u, v) between classes whose sketches may reach the threshold, from all buckets."""
-    reps = classes.select("cls", "n", "nodes")
+    """(node, component) of the classes whose sketches may reach the threshold with another's, from
+    all buckets; None if there is no bucket of two."""
+    groups = None
+    for of in (F.col("node.run") < FIRST_RUNS, F.col("node.run") >= FIRST_RUNS):
+        edges = _edges_of(classes, of, groups, threshold, depth)
+        if edges is not None:
+            groups = store(components(edges if groups is None else edges.union(groups.where("node <> component"))), "groups")
+    return groups
+
+
+def _edges_of(classes: DataFrame, of: Column, groups: DataFrame | None, threshold: float, depth: int) -> DataFrame | None:
+    """Edges (u, v) from the buckets of some runs that hold classes of more than one group."""
     looks = classes.select(F.col("cls").alias("c"), "sketch")
+    nodes = classes.select("cls", "n", F.explode("nodes").alias("node")).where(of)
     edges, above = None, None
     for level in range(1, depth + 1):
-        rows = reps.select("cls", "n", F.explode("nodes").alias("node")).where(F.col("node.level") == level).select("cls", "n", F.col("node.parent").alias("parent"), F.col("node.key").alias("key"))
+        rows = nodes.where(F.col("node.level") == level).select("cls", "n", F.col("node.parent").alias("parent"), F.col("node.key").alias("key"))
         if above is not None:
             rows = rows.join(above, "parent", "left_semi")
-        sizes = store(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+        if groups is None:
+            sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        else:
+            group = F.coalesce("component", "cls")
+            grouped = rows.join(groups, F.col("cls") == F.col("node"), "left").groupBy("key")
+            sizes = grouped.agg(F.count("*").alias("size"), F.min(group).alias("low"), F.max(group).alias("high")).where("size > 1 and low <> high").select("key", "size")
+        sizes = store(sizes, "buckets")
         n_keys, n_large = sizes.agg(F.count("*"), F.count_if(F.col("size") > BUCKET)).first()
         if not n_keys:
             break
         bucketed = rows.select("key", "cls", "n").join(bounded_broadcast(sizes, n_keys), "key")
-        small = bucketed.where(F.col("size") <= BUCKET).select(F.col("key").alias("g"), "cls", "n", F.lit(2).alias("side"))
-        found = _compared(small, looks, threshold, "g long")
+        stays = bucketed if level == depth else bucketed.where(F.col("size") <= BUCKET)
+        stays = stays.withColumn("parts", F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("size") / BLOCK)))
+        found = _compared(_blocks(stays, "key", "parts"), looks, threshold)
         edges = found if edges is None else edges.union(found)
         if not n_large:
             break
-        if level == depth:
-            large = bucketed.where(F.col("size") > BUCKET).withColumn("parts", F.ceil(F.col("size") / BLOCK))
-            edges = edges.union(_compared(_blocks(large, "key", "parts").select("g", "cls", "n", "side"), looks, threshold, "g string"))
         above = bounded_broadcast(sizes.where(F.col("size") > BUCKET).select(F.col("key").alias("parent")), n_large)
     return edges
 
 
-def _compared(rows: DataFrame, looks: DataFrame, threshold: float, _: str) -> DataFrame:
+def _compared(rows: DataFrame, looks: DataFrame, threshold: float) -> DataFrame:
     rows = rows.join(looks, F.col("cls") == F.col("c")).select("g", "cls", "n", "side", "sketch")
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(threshold), "u long, v long")
 
@@ -309,17 +334,16 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = runs_for(recall, depth)
-    schema = "doc_id long, text_hash long, digest binary, n long, sketch binary, nodes array<struct<level:int,parent:long,key:long>>"
+    schema = "doc_id long, text_hash long, digest binary, n long, sketch binary, nodes array<struct<level:int,run:int,parent:long,key:long>>"
     marks = store(base.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_mark(runs, depth, threshold, words), schema), "marks")
     named = marks.where("digest is not null and doc_id is not null")
     # a class is a shingle set; its number ``cls`` is made while writing, since an id can have several texts
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
     classes = store(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     sums = classes.select("digest", "id", "copies", "cls")
-    edges = candidates(classes, threshold, depth)
-    found = None
-    if edges is not None:
-        groups = store(components(edges).select(F.col("node").alias("cls"), F.col("component").alias("cand")), "groups")
+    groups, found = candidates(classes, threshold, depth), None
+    if groups is not None:
+        groups = groups.select(F.col("node").alias("cls"), F.col("component").alias("cand"))
         members = groups.join(classes.select(F.col("cls").alias("c"), "id", "copies", "digest", "n"), F.col("cls") == F.col("c"))
         parts = members.groupBy("cand").agg(F.ceil(F.greatest(F.count("*") / GROUP_DOCS, F.sum("n") / GROUP_SHINGLES)).alias("parts"))
         members = members.join(parts, "cand").select("cls", "cand", "parts", "id", "copies", "digest")
