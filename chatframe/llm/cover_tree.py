@@ -220,9 +220,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     marked = store(base.mapInArrow(_digests, "vec_id long, digest binary, dim int"), "digests")
     raw = base.mapInArrow(_with_digest, "digest binary, dim int, embedding array<double>")
-    classes = marked.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"))
+    classes = marked.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     units = raw.groupBy("digest", "dim").agg(F.first("embedding").alias("embedding"))
-    reps = store(units.join(classes, "digest").where("cls is not null"), "classes")
+    # a class's number ``cls`` is made while writing, since its vectors may have no id
+    reps = store(units.join(classes, "digest").withColumn("cls", F.monotonically_increasing_id()), "classes")
     most = F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))) if block is None else F.lit(block)
     sizes = reps.groupBy("dim").agg(F.count("*").alias("n")).withColumn("most", F.greatest(F.lit(16), most))
     # lengths with a block or more of vectors are few (a block of each is there); all others take a task each
@@ -232,13 +233,18 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = reps.where(~F.col("dim").isin(list(large))).select("dim", "cls", "copies", "embedding").groupBy("dim").applyInArrow(lambda group: work.within(group), kind)
     for dim, (n, m) in sorted(large.items()):
         met = met.union(_link_dim(reps.where(F.col("dim") == dim), n, m, work, kind))
+    names = reps.select("cls", "id")
     if pairs:
-        return met
+        first, second = (names.select(F.col("cls").alias(c), F.col("id").alias(f"{c}_id")) for c in "ab")
+        named = met.join(first, "a").join(second, "b")
+        return named.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "cosine")
     links = store(met, "links")
-    found = components(links.where("low < cls").select("cls", "low"))
-    total = links.groupBy("cls").agg(F.sum("links").alias("links"))
-    whole = classes.join(total, "cls", "left").join(found, F.col("cls") == F.col("node"), "left")
-    whole = whole.select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cls").alias("c"))
+    roots = components(links.where("low < cls").select("cls", "low")).join(names, F.col("node") == F.col("cls")).select("node", "component", "id")
+    least = roots.groupBy("component").agg(F.min("id").alias("least"))
+    found = roots.join(least, "component").select("node", "least")
+    total = links.groupBy(F.col("cls").alias("of")).agg(F.sum("links").alias("links"))
+    whole = reps.select("digest", "cls", "copies", "id").join(total, F.col("cls") == F.col("of"), "left").join(found, F.col("cls") == F.col("node"), "left")
+    whole = whole.select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("least", "id").alias("c"))
     out = marked.join(whole, F.col("digest") == F.col("d"), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
