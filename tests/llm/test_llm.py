@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -380,6 +382,134 @@ def test_url_patterns(spark):
         assert [got[i] for i in range(len(got))] == ["block"] * len(fits) + ["allow"] * len(others), pattern
 
 
+def rows_of(df, key):
+    return sorted((str(r[key]), str(r)) for r in df.collect())
+
+
+def test_null_ids_and_clashing_names(spark):
+    """A row without an id is a row; other columns, whatever their names, change nothing."""
+    texts = [(1, "so it is, said Ann"), (None, "so it is, said Ann"), (None, None), (2, "")]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    clash = plain
+    for name in ("media", "pcm", "n_bytes", "digest", "normal", "n_tokens", "tokenizer", "uid", "piece", "length", "grp", "row", "langs", "h", "size", "cls"):
+        clash = clash.withColumn(name, F.lit("x"))
+    lang = lambda df: df.withColumn("lang", F.lit("en"))
+    a, b = (rows_of(audio.media_digests(x), "doc_id") for x in (plain, clash))
+    assert a == b and len(a) == 4
+    a, b = (rows_of(language_id.predict_languages(lang(x)).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score")), "doc_id") for x in (plain, clash))
+    assert a == b and len(a) == 4
+    a, b = (rows_of(packing.pack(x, BYTE, RANKS, capacity=64).select("doc_id", "start", "length", "ids_crc32"), "doc_id") for x in (plain, clash))
+    assert a == b and len(a) == 4
+
+
+def test_counts_with_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "so it is", "x", "x", 7), (None, "so it is", "x", "x", 7), (None, None, None, None, None)], "doc_id long, text string, digest string, normal string, n_tokens int")
+    got = token_counts.count_tokens(docs, WORD, str(tmp_path / "c"), drops_space=True).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 3), ("None", 0), ("None", 3)]
+    with pytest.raises(Exception):  # a cache that can't be read isn't an empty one
+        (tmp_path / "d").mkdir()
+        (tmp_path / "d" / "x.parquet").write_text("no parquet")
+        token_counts.count_tokens(docs, WORD, str(tmp_path / "d")).collect()
+
+
+def test_pcm_is_kept(odd):
+    kept, made = (rows_of(audio.media_digests(odd, keep_pcm=k), "doc_id") for k in (True, False))
+    assert kept == made
+
+
+def test_letters_beyond_the_lower_planes(spark):
+    docs = spark.createDataFrame([(0, "\U00031350\U00031351 \U00031352" * 9, "zh"), (2, "zor bak", "en")], "doc_id long, text string, lang string")
+    assert "und" not in {r.lang_pred for r in language_id.predict_languages(docs).collect()}
+
+
+def test_repeated_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.1]), (None, [0.0, 1.0]), (None, [0.0, 3.0]), (3, [0.0, None])]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in cover_tree.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [("1", 2, "1", True), ("1", 2, "1", True), ("2", 2, "1", False), ("3", 0, "3", True), ("None", 1, "None", False), ("None", 1, "None", False)]
+
+
+def test_vectors_travel_where_they_can_meet(spark):
+    """Clusters far apart, split over blocks: links as by brute force."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(12)[:8], 60, 0) + rng.normal(size=(480, 12)) * np.repeat([0.05, 0.1, 0.2, 0.3] * 2, 60)[:, None]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(480, dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in cover_tree.link_vectors(df, block=50).collect()}
+    assert [got[i] for i in range(480)] == near.sum(1).tolist()
+
+
+def test_texts_of_one_id(spark):
+    """Two texts under one id are two rows, of which one at most stays in a component."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, base + " more"), (2, base + " less"), (1, "quite another text it is, of its own"), (3, base)]
+    got = ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1)]
+    assert sum(r.kept for r in got if r.n_links) == 1 and all(r.kept for r in got if not r.n_links)
+
+
+def test_html_is_linear():
+    """Deep, wide and uneven markup: time and output in proportion."""
+    pages = ["<div>" * 200_000 + "x", "<ul><li>x" * 50_000, "<table><tr><td>x" * 30_000, "<table>" + "<tr><td>a<td>b" * 50_000 + "<tr><td>" + "y" * 60_000 + "<td>z</table>",
+             "<table><tr>" + "<td colspan=1000>x" * 20_000 + "</table>", "<table><tr>" + "<td rowspan=65000>x" * 20_000 + "<tr><td>y" * 20_000 + "</table>", "<table><tr><td>" + "z<br>" * 50_000 + "<td>q" * 50_000]
+    began = time.time()
+    for page in pages:
+        text = html_text.render(page)
+        assert len(text) < 8 * len(page) and sum(map(text.count, "xyzq")) == sum(html_text.SPACE.sub("", re.sub("<[^>]*>", " ", page)).count(k) for k in "xyzq")
+    assert time.time() - began < 120
+
+
+def test_html_spans_and_sight():
+    assert html_text.render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert html_text.render('<div style="visibility:hidden">no<p style="visibility: visible">yes</p>no</div>z').split() == ["yes", "z"]
+
+
+def test_html_against_a_generator():
+    """Random pages whose visible words are known as they are made."""
+    rng = random.Random(6)
+
+    def node(depth):
+        word = f"w{rng.randrange(10**6)}"
+        if depth == 0 or rng.random() < 0.2:
+            return word + " ", [word]
+        tag = rng.choice(["p", "div", "b", "ul", "table", "hidden", "script", "pre", "comment", "details"])
+        inner = [node(depth - 1) for _ in range(rng.randrange(1, 4))]
+        markup, seen = "".join(m for m, _ in inner), [w for _, ws in inner for w in ws]
+        if tag == "ul":
+            return "<ul>" + "".join(f"<li>{m}" for m, _ in inner) + "</ul>", seen
+        if tag == "table":
+            return "<table>" + "".join(f"<tr><td>{m}</td>" for m, _ in inner) + "</table>", seen
+        if tag in ("hidden", "script", "comment"):
+            return {"hidden": f"<div hidden>{markup}</div>", "script": f"<script>{word}</script>", "comment": f"<!-- {word} -->"}[tag], []
+        if tag == "details":
+            return f"<details open><summary>{word}</summary>{markup}</details>", [word, *seen]
+        return (f"<div><{tag}>{word} </{tag}>{markup}</div>", [word, *seen]) if tag in ("p", "b", "pre") else (f"<div>{markup}</div>", seen)
+
+    for _ in range(300):
+        markup, seen = node(5)
+        assert sorted(html_text.render(markup).split()) == sorted([*seen, *["-"] * html_text.render(markup).split().count("-")])
+
+
+def test_null_markup(spark):
+    got = html_text.extract(spark.createDataFrame([(1, None), (None, "<p>x")], "page_id long, html string")).collect()
+    assert sorted((str(r.page_id), r.text, r.n_chars, r.n_lines) for r in got) == [("1", None, 0, 0), ("None", "x", 1, 1)]
+
+
+def test_near_duplicate_stage_against_brute_force(spark, sf_dir):
+    """What the stage keeps: of each group of links, found by comparing all pairs, the least id."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [set(ngram_join.shingles(r.text).tolist()) for r in rows]
+    low = {r.doc_id: r.doc_id for r in rows}
+    links = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, sf_dir).collect()) == sorted(i for i, k in low.items() if i == k)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
