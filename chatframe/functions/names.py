@@ -32,6 +32,10 @@ NAME_WORDS = 8
 
 def _strip_marks(c: Column) -> Column:
     """Without codes, emoji images and pictures."""
+    return let(c, lambda v: F.when(v.rlike(rf":|!\[|{PICTURES}"), _strip_all_marks(v)).otherwise(trim_u(v)))
+
+
+def _strip_all_marks(c: Column) -> Column:
     for pattern in (r":[\w+-]+:(?::[\w-]+:)?", r"(?::[\w+-]+:)+", r"!\[:[\w\-+]+:\]\([^)]+\)", r"!\[\]\([^)]+\)", PICTURES):
         c = trim_u(F.regexp_replace(c, pattern, ""))
     return c

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space as ECMAScript has it: Unicode white space and the byte-order mark.
-SPACES = r"(?U)[\s\x{FEFF}]"
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 #: A word boundary as ECMAScript has it, of ASCII words.
@@ -30,11 +30,11 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def trim_u(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACES}+|{SPACES}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rtrim_u(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{SPACES}+\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:

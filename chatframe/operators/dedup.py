@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chatframe.functions.text import trim_u, unlines
 from chatframe.operators.embed import PRIORITY, embedded
 from chatframe.operators.lines import explode_lines
+from chatframe.storage import store
 
 BLOCK_START = r"^[A-Za-z\s]+\s+\[.+\]\(https?://.+\)|^[A-Za-z\s]+\s+\d{1,2}:\d{2}\s*(?:AM|PM)?"
 KEY_LINES, TIME_CHARS, TEXT_CHARS = 3, 20, 100
@@ -75,7 +76,7 @@ def similarity(a: Column, b: Column) -> Column:
 def content_blocks(messages: DataFrame) -> DataFrame:
     """(conv_id, block_no, msg_idx, is_embedded, emb_type, content): each message's text, then what
     is embedded in it, where it has 15 characters or more. Block numbers grow with the message."""
-    rows = messages.withColumn("_e", embedded(F.col("text")))
+    rows = messages if "_e" in messages.columns else messages.withColumn("_e", embedded(F.col("text")))
     main = F.array(F.struct(F.lit(False).alias("is_embedded"), F.lit(None).cast("string").alias("emb_type"), trim_u(F.col("text")).alias("content")))
     inner = F.transform("_e.blocks", lambda b: F.struct(F.lit(True).alias("is_embedded"), b["type"].alias("emb_type"), trim_u(b["content"]).alias("content")))
     rows = rows.select("conv_id", "msg_idx", F.posexplode(F.concat(main, inner)).alias("k", "b")).where(F.length("b.content") >= MIN_CHARS)
@@ -159,11 +160,12 @@ def remove_content(text: Column, content: Column) -> Column:
 def drop_similar_messages(messages: DataFrame) -> DataFrame:
     """``messages`` without those whose text an earlier one has, or nearly; where only something
     embedded repeats, the message keeps its other text, if there is any."""
-    blocks = content_blocks(messages)
+    marked = store(messages.withColumn("_e", embedded(F.col("text"))), "embedded")  # read by each side of the joins below
+    blocks = store(content_blocks(marked), "blocks")
     gone = blocks.join(victims(blocks, similar_blocks(blocks)), ["conv_id", "block_no"])
     gone = gone.groupBy("conv_id", "msg_idx").agg(F.max(~F.col("is_embedded")).alias("_main"), F.array_sort(F.collect_list(F.when(F.col("is_embedded"), F.struct("block_no", "content")))).alias("_inner"))
-    rows = messages.join(gone, ["conv_id", "msg_idx"], "left").where(~F.coalesce("_main", F.lit(False)))
-    rest = trim_u(embedded(F.col("text"))["cleaned"])
+    rows = marked.join(gone, ["conv_id", "msg_idx"], "left").where(~F.coalesce("_main", F.lit(False)))
+    rest = trim_u(F.col("_e.cleaned"))
     cut = F.aggregate("_inner", F.col("text"), lambda t, x: remove_content(t, x["content"]))
     rows = rows.withColumn("text", F.when(F.col("_inner").isNull(), F.col("text")).otherwise(F.coalesce(F.nullif(rest, F.lit("")), cut)))
     return rows.where(trim_u(F.col("text")) != "").select(*messages.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatframe.functions.names import MONTH3, app_name, extract_name, is_app_message, is_valid_name, normalise_name
-from chatframe.functions.text import group, trim_u
+from chatframe.functions.text import group, let, trim_u
 from chatframe.operators.lines import (
     PICTURE,
     TWICE,
@@ -47,7 +47,7 @@ def clean_name(t: Column) -> Column:
 
 
 def _clocked(c: Column) -> Column:
-    return has_timestamp(c) | c.contains("AM") | c.contains("PM") | c.rlike(r"\d{1,2}:\d{2}")
+    return c.contains("AM") | c.contains("PM") | c.rlike(r"\d{1,2}:\d{2}") | has_timestamp(c)
 
 
 def with_author(lines: DataFrame, col: str = "trimmed") -> DataFrame:
@@ -68,7 +68,7 @@ def with_author(lines: DataFrame, col: str = "trimmed") -> DataFrame:
             "_app": F.when(is_app_message(t), app_name(t)), "_two": F.when(t.rlike(doubled), extract_name(group(t, doubled), "thread")),
             "_bra": F.when(t.rlike(bracket), extract_name(group(t, bracket), "thread")), "_tag": trim_u(group(t, tag)), "_clk": group(t, clock), "_twi": group(t, twice),
             "_mar": trim_u(group(t, app_mark)), "_loo": trim_u(group(t, loose)), "_rest": trim_u(group(t, loose, 2)), "_twr": trim_u(group(t, twice, 2)),
-            "_name": looks_like_name(t), "_ts": has_timestamp(t),
+            "_name": F.col("is_name") if "is_name" in lines.columns else looks_like_name(t), "_ts": F.col("has_ts") if "has_ts" in lines.columns else has_timestamp(t),
         }
     )
     c = F.col
@@ -85,14 +85,13 @@ def with_author(lines: DataFrame, col: str = "trimmed") -> DataFrame:
         (c("_twi").isNotNull() & _clocked(c("_twr")) & looks_like_name(c("_twi")), clean_name(c("_twi")), c("_twr")),
         (plain, clean_name(t), F.lit(None)),
         (marked, clean_name(c("_mar")), trim_u(group(t, app_mark, 2))),
-        (F.length("_loo").between(2, 25) & looks_like_name(c("_loo")) & _clocked(c("_rest")), clean_name(c("_loo")), c("_rest")),
+        (F.length("_loo").between(2, 25) & _clocked(c("_rest")) & looks_like_name(c("_loo")), clean_name(c("_loo")), c("_rest")),
     ]
-    author, time = F.lit(None).cast("string"), F.lit(None).cast("string")
+    found = F.lit(None).cast("struct<author:string,time:string>")  # one chain, so that no case is tried twice
     for when, a, b in reversed(cases):
-        when = F.coalesce(when, F.lit(False))
-        author, time = F.when(when, a).otherwise(author), F.when(when, b).otherwise(time)
-    rows = rows.withColumns({"author": author, "author_ts": time})
-    return rows.drop(*[x for x in rows.columns if x in ("_app", "_two", "_bra", "_tag", "_clk", "_twi", "_mar", "_loo", "_rest", "_twr", "_name", "_ts")])
+        found = F.when(F.coalesce(when, F.lit(False)), F.struct(a.cast("string").alias("author"), b.cast("string").alias("time"))).otherwise(found)
+    rows = rows.withColumn("_found", found).withColumns({"author": c("_found.author"), "author_ts": c("_found.time")})
+    return rows.drop(*[x for x in rows.columns if x in ("_found", "_app", "_two", "_bra", "_tag", "_clk", "_twi", "_mar", "_loo", "_rest", "_twr", "_name", "_ts")])
 
 
 def single_reaction(t: Column) -> Column:
@@ -124,28 +123,39 @@ def clean_content(c: Column) -> Column:
 
 def split_content(lines: Column) -> Column:
     """A struct (text, reactions, thread_info) of a message's content lines (array<string>)."""
-    t = F.transform(lines, trim_u)
+    return let(F.transform(lines, trim_u), lambda t: let(_line_kinds(t), lambda kinds: _by_kind(lines, t, kinds)))
+
+
+def _line_kinds(t: Column) -> Column:
+    """What each trimmed line is: text, skip, reaction, pair (a reaction's name before its count), thread."""
 
     def kind(x: Column, i: Column) -> Column:
         counted = F.coalesce(F.get(t, i + 1).rlike(r"^\d+$"), F.lit(False))
+        marked = x.rlike(REACTION_MARK) & (single_reaction(x).isNotNull() | (F.size(many_reactions(x)) > 0))
         return (
             F.when(x == "", "text").when((i == 0) & is_doubled_name(x), "skip").when(is_metadata(x), "skip")
-            .when(is_continuation_shape(x), "text").when(single_reaction(x).isNotNull() | (F.size(many_reactions(x)) > 0), "reaction")
+            .when(is_continuation_shape(x), "text").when(marked, "reaction")
             .when(x.rlike(r"^:[a-zA-Z0-9_-]+:$") & counted, "pair").when(is_thread_info(x), "thread").otherwise("text")
         )
 
-    kinds = F.transform(t, kind)
+    return F.transform(t, kind)
+
+
+def _by_kind(lines: Column, t: Column, kinds: Column) -> Column:
     marks = lambda x, i: F.when(F.get(kinds, i) == "pair", F.array(F.struct(F.replace(x, F.lit(":"), F.lit("")).alias("name"), F.get(t, i + 1).try_cast("int").alias("count")))).when(F.get(kinds, i) == "reaction", F.when(single_reaction(x).isNotNull(), F.array(single_reaction(x))).otherwise(many_reactions(x))).otherwise(F.array().cast(f"array<{REACTION}>")).cast(f"array<{REACTION}>")
     text = trim_u(F.array_join(F.filter(lines, lambda x, i: F.get(kinds, i) == "text"), "\n"))
     thread = F.try_element_at(F.filter(t, lambda x, i: F.get(kinds, i) == "thread"), F.lit(-1))
     return F.struct(clean_content(text).alias("text"), F.flatten(F.transform(t, marks)).alias("reactions"), thread.alias("thread_info"))
 
 
+LINE_COLUMNS = ["conv_id", "line_no", "content", "trimmed", "author", "author_ts", "is_name", "has_ts", "is_section", "is_app"]
+
+
 def extract_messages(lines: DataFrame, intervals: DataFrame) -> DataFrame:
     """Messages of ``intervals`` over the lines of ``with_candidates``: (conv_id, msg_idx, username,
     ts_text, text, thread_info, reactions, start_line, end_line)."""
     of = intervals.select(F.col("conv_id").alias("c"), "msg_no", "start", "end")
-    cells = lines.select("conv_id", "line_no", "content", "trimmed", "author", "author_ts", "is_name", "has_ts", "is_section", "is_app")
+    cells = lines.select(*LINE_COLUMNS)
     rows = cells.join(of, (F.col("conv_id") == F.col("c")) & F.col("line_no").between(F.col("start"), F.col("end")))
     rows = rows.groupBy("conv_id", "msg_no", "start", "end").agg(F.array_sort(F.collect_list(F.struct("line_no", "content", "trimmed", "author", "author_ts", "is_name", "has_ts", "is_section", "is_app"))).alias("ls"))
     ls, get = F.col("ls"), lambda i, f: F.get("ls", i)[f]

@@ -131,8 +131,14 @@ STRATEGIES: dict[str, Callable[[Settings, Column], Column]] = {
 }
 
 
+#: Names that were registered from outside: rendering looks these up as formats.
+REGISTERED: list[str] = []
+
+
 def register_strategy(name: str, strategy: Callable[[Settings, Column], Column]) -> None:
+    """Render conversations of the format ``name`` by ``strategy``, in place of what had the name."""
     STRATEGIES[name] = strategy
+    REGISTERED.append(name) if name not in REGISTERED else None
 
 
 def render_conversations(messages: DataFrame, formats: DataFrame | None, ref: Column, settings: Settings | None = None) -> DataFrame:
@@ -149,6 +155,8 @@ def render_conversations(messages: DataFrame, formats: DataFrame | None, ref: Co
         rows = rows.join(formats.select("conv_id", F.col("format").alias("_format")), "conv_id", "left")
         standard, bracket = STRATEGIES["standard"](settings, ref), STRATEGIES["bracket"](settings, ref)
         block = F.when(F.col("_format") == "bracket", bracket).otherwise(standard)
+        for name in REGISTERED:
+            block = F.when(F.col("_format") == name, STRATEGIES[name](settings, ref)).otherwise(block)
     rows = rows.select("conv_id", "msg_idx", block.alias("block")).where("block is not null")
     joined = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg_idx", "block"))).alias("bs"))
     return joined.select("conv_id", postprocess(F.array_join(F.transform("bs", lambda b: b["block"]), "\n\n")).alias("markdown"))

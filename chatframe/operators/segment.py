@@ -17,10 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatframe.functions.names import app_name
-from chatframe.functions.text import trim_u
+from chatframe.functions.text import any_match, trim_u
 from chatframe.operators.extract import clean_name, with_author
 from chatframe.operators.lines import STAMPS, explode_lines, has_timestamp, line_order, with_features
 from chatframe.schema import UNKNOWN_USER
+from chatframe.storage import store
 
 #: A header line: a name, then its clock in brackets, with or without a link, or bare.
 HEADER = r"^([A-Za-z][A-Za-z0-9 \-_.]*?)\s+(?:\[([^\]]+)\](?:\(https?://[^)]+\))?|(\d{1,2}:\d{2}\s*(?:AM|PM)?))$"
@@ -48,7 +49,7 @@ def with_candidates(features: DataFrame) -> DataFrame:
     name of the candidate before it within two lines; and with authors and application headers."""
     rows = with_author(features)
     rows = rows.withColumn("_c", F.col("is_start") & ~F.col("is_cont")).withColumn("_clean", clean_name(F.col("trimmed")))
-    rows = rows.withColumn("_stamp", F.exists(F.array(*map(F.lit, STAMPS)), lambda p: F.regexp(F.col("trimmed"), p)))
+    rows = rows.withColumn("_stamp", any_match(F.col("trimmed"), STAMPS))
     rows = rows.withColumn("_last", F.last(F.when(F.col("_c"), F.struct("line_no", "_clean", "is_name", "_stamp", "is_section", "app_start")), True).over(line_order().rowsBetween(W.unboundedPreceding, -1)))
     plain = lambda c: ~F.col(f"{c}_stamp") & ~F.col(f"{c}is_section") & ~F.col(f"{c}app_start") & F.col(f"{c}is_name")
     again = F.coalesce((F.col("line_no") - F.col("_last.line_no") <= 2) & plain("") & plain("_last.") & (F.col("_clean") == F.col("_last._clean")), F.lit(False))
@@ -57,6 +58,7 @@ def with_candidates(features: DataFrame) -> DataFrame:
 
 
 FLAGS = ["is_empty", "is_start", "is_candidate", "is_cont", "has_ts", "is_name", "is_meta", "user_time", "is_doubled", "app_triple", "could_be_user"]
+INTERVAL_COLUMNS = ["conv_id", "line_no", "author", *FLAGS]
 INTERVAL = "conv_id bigint, msg_no int, start int, end int, confidence double"
 REACH, HEAD = 4, 5
 
@@ -188,7 +190,7 @@ def _walk(table: pa.Table) -> pa.Table:
 def primary_intervals(features: DataFrame) -> DataFrame:
     """(conv_id, msg_no, start, end, confidence) from ``with_candidates``. Intervals can overlap. A
     group is one conversation, which admission bounds."""
-    return features.select("conv_id", "line_no", "author", *FLAGS).groupBy("conv_id").applyInArrow(_walk, INTERVAL)
+    return features.select(*INTERVAL_COLUMNS).groupBy("conv_id").applyInArrow(_walk, INTERVAL)
 
 
 def primary_lines(conversations: DataFrame, col: str = "raw", phrases: Sequence[str] = ()) -> DataFrame:
@@ -213,6 +215,35 @@ def timestamp_spellings(features: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id", "spelling").agg(F.min("line_no").alias("first_line"))
 
 
+def diagnostics(features: DataFrame) -> DataFrame:
+    """(conv_id, starts, stamps, layout, alignment, confidence): whether times are written in brackets
+    or plain (one of them in more than seven tenths of the signs, else mixed), the share of starts
+    with a time at most two lines away, and how regular all of it is."""
+    features = store(features.select("conv_id", "line_no", "trimmed", "author", "has_ts", "is_candidate", "could_be_user", "is_name"), "features")
+    order = line_order()
+    near = F.max(F.col("has_ts").cast("int")).over(order.rowsBetween(-2, 2)) == 1
+    beside = F.coalesce(F.lag("has_ts").over(order) | F.lead("has_ts").over(order), F.lit(False))
+    nth = F.sum(F.col("is_candidate").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = features.withColumns({"_near": near, "_beside": beside, "_nth": nth})
+    counts = rows.groupBy("conv_id").agg(
+        F.count_if("is_candidate").alias("starts"), F.count_if("has_ts").alias("stamps"), F.count_if(F.col("is_candidate") & F.col("_near")).alias("near"),
+        F.count_if(F.col("is_candidate") & F.col("_beside") & (F.col("_nth") <= 5)).alias("beside"),
+    )
+    x = F.col("spelling")
+    ways = timestamp_spellings(features).groupBy("conv_id").agg(F.count("*").alias("ways"), F.count_if(x.contains("[") & x.contains("]")).alias("brackets"), F.count_if(x.rlike(r"\d{1,2}:\d{2}") | x.contains("](https://")).alias("plain"))
+    named = common_usernames(features).select("conv_id").distinct().withColumn("named", F.lit(1))
+    rows = counts.join(ways, "conv_id", "left").join(named, "conv_id", "left").na.fill(0, ["ways", "brackets", "plain", "named"])
+    plain, every = F.col("plain") + F.col("beside"), F.col("plain") + F.col("beside") + F.col("brackets")
+    layout = F.when(F.col("starts") == 0, "standard").when(every == 0, "mixed").when(F.col("brackets") / every > 0.7, "bracket").when(plain / every > 0.7, "standard").otherwise("mixed")
+    alignment = F.when((F.col("starts") > 0) & (F.col("stamps") > 0), F.col("near") / F.col("starts")).otherwise(0.0)
+    ratio = F.col("starts") / F.greatest(F.col("stamps"), F.lit(1))
+    some = lambda c: (F.col(c) > 0).cast("int")
+    value = F.when(F.col("starts") == 0, 0.0).when(ratio.between(0.5, 2.0), 0.2).when(ratio.between(0.1, 3.0), 0.1).otherwise(0.0)
+    value = value + F.when(F.col("ways") > 0, 0.2 * F.least(F.lit(1.0), 3 / F.col("ways"))).otherwise(0.0) + 0.2 * some("named") + F.when(layout == "mixed", 0.1).otherwise(0.2) + 0.2 * alignment
+    factors = some("starts") + some("ways") + some("named") + 2
+    return rows.select("conv_id", "starts", "stamps", layout.alias("layout"), alignment.alias("alignment"), F.least(F.lit(1.0), value / F.greatest(factors * 0.2, F.lit(1.0))).alias("confidence"))
+
+
 def candidate_scores(features: DataFrame) -> DataFrame:
     """(conv_id, line_no, score) of start candidates: it ranks them, and drops none."""
     near = F.coalesce(F.max(F.col("has_ts").cast("int")).over(line_order().rowsBetween(-2, 2)), F.lit(0))

@@ -12,10 +12,10 @@ from chatframe.operators.continuation import fold_continuations
 from chatframe.operators.dedup import drop_equal_messages, drop_repeated_blocks, drop_similar_messages
 from chatframe.operators.detect import admission_error, classify, is_likely_chat
 from chatframe.operators.enrich import enrich_messages
-from chatframe.operators.extract import extract_messages
+from chatframe.operators.extract import LINE_COLUMNS, extract_messages
 from chatframe.operators.fallback import fallback_messages, quality
 from chatframe.operators.render import failure_note, notes, preview_line, render_conversations
-from chatframe.operators.segment import header_segments, primary_intervals, primary_lines
+from chatframe.operators.segment import INTERVAL_COLUMNS, header_segments, primary_intervals, primary_lines
 from chatframe.operators.stats import conversation_stats, with_defaults
 from chatframe.settings import Settings
 from chatframe.storage import store
@@ -39,6 +39,7 @@ def parse_headers(conversations: DataFrame) -> DataFrame:
 def parse_primary(conversations: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Messages by the primary parser."""
     lines = primary_lines(conversations, phrases=settings.phrases if settings else ())
+    lines = store(lines.select(*dict.fromkeys([*INTERVAL_COLUMNS, *LINE_COLUMNS])), "lines")  # intervals and messages read them
     return extract_messages(lines, primary_intervals(lines)).select(*MESSAGE)
 
 

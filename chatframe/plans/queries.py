@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatframe.functions import emoji, enrich, names, text, times
-from chatframe.operators import continuation, dedup, detect, embed, extract, fallback, lines, render, segment, stats, validate
+from chatframe.operators import continuation, dedup, detect, embed, extract, fallback, lines, render, segment, standards, stats, validate
 from chatframe.operators.enrich import enrich_messages
 from chatframe.plans import pipeline
 from chatframe.settings import Settings
-from chatframe.sources.transcripts import is_valid_json, json_map, messages_of, transcripts, turns
+from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, transcripts, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -261,6 +261,65 @@ def seg_primary(spark, sf_dir):
     return pipeline.parse_primary(transcripts(rows)).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
+def with_headers(rows: DataFrame, head: Column, body: Column) -> DataFrame:
+    """(conv_id, raw): turns as pasted chat under any header."""
+    said = rows.select("conv_id", c("msg_idx").alias("turn"), cat(head, "\n", body).alias("said"))
+    joined = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("s"))
+    return joined.select("conv_id", F.array_join(F.transform("s", lambda x: x["said"]), "\n").alias("raw"))
+
+
+def by_number(number: Column, cases: list[Column]) -> Column:
+    out = cases[-1]
+    for i in reversed(range(len(cases) - 1)):
+        out = F.when(number == i, cases[i]).otherwise(out)
+    return out
+
+
+def headers() -> list[Column]:
+    """The header grammars that a conversation can have: on one line, over two or three, doubled names,
+    codes, avatars, applications, dates, roles."""
+    n, at, link = c("username"), c("ts_text"), "](https://chat.example/archives/C1/p1)"
+    first = F.split_part(n, F.lit(" "), F.lit(1))
+    return [
+        cat(n, "  [", at, link), cat(n, n, "\n  ", at), cat(n, "\n  ", at), cat(n, "  ", at), cat(n, "  [", at, "]"), cat(n, n, "  [Feb 6th at ", at, link),
+        cat("![](https://ca.slack-edge.com/a.png)\n", n, n, "![:e:](https://ex.org/e.png)  [Monday at ", at, link), cat(n, "\n:code:  ", at), cat(n, "\n", n, "\n  ", at),
+        cat(" (https://x.slack.com/services/B1)", first, "\n", first, "\nAPP  Feb 6th at ", at), cat(n, "\n", n, "  Feb 6th at ", at), cat(n, "\nTeam Lead  ", at),
+    ]
+
+
+@query(f"SELECT conv_id, n AS msg_idx, CASE WHEN conv_id % 12 = 9 THEN split_part(username, ' ', 1) ELSE username END AS username, CASE WHEN conv_id % 12 IN (5, 9) THEN 'Feb 6th at ' WHEN conv_id % 12 = 6 THEN 'Monday at ' ELSE '' END || ts AS ts_text, {prose_sql()} AS text FROM h")
+def seg_grammars(spark, sf_dir):
+    """The primary parser over twelve header grammars."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    return pipeline.parse_primary(with_headers(rows, by_number(c("conv_id") % 12, headers()), c("text"))).select("conv_id", "msg_idx", "username", "ts_text", "text")
+
+
+@query(f"SELECT conv_id, n AS msg_idx, username, CASE conv_id % 7 WHEN 5 THEN 'Feb 6th at ' WHEN 6 THEN 'Monday at ' ELSE '' END || ts AS ts_text, {prose_sql()} AS text FROM h")
+def fb_grammars(spark, sf_dir):
+    """The fallback parser over the grammars it knows."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    return pipeline.parse_fallback(with_headers(rows, by_number(c("conv_id") % 7, headers()[:7]), c("text"))).select("conv_id", "msg_idx", "username", "ts_text", "text")
+
+
+@query(f"""SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} || {NL} || CASE conv_id % 7 WHEN 0 THEN '[3:09](https://chat.example/archives/C1/p9)' WHEN 1 THEN '3:09 PM' WHEN 2 THEN '[3:09 PM]' WHEN 3 THEN 'See more' WHEN 4 THEN 'Also,'
+  WHEN 5 THEN 'Today at 3:09 PM' ELSE '' END || {NL} || 'and so it goes on, said nobody; good?' AS text, CASE WHEN conv_id % 7 = 6 THEN 1 ELSE 0 END AS n_reactions FROM h""")
+def seg_continuations(spark, sf_dir):
+    """Lines that carry on a message stay in it; reactions and metadata below it don't."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    middle = by_number(c("conv_id") % 7, [F.lit(x) for x in ("[3:09](https://chat.example/archives/C1/p9)", "3:09 PM", "[3:09 PM]", "See more", "Also,", "Today at 3:09 PM", "\n3 replies")])
+    body = cat(c("text"), "\n", middle, "\nand so it goes on, said nobody; good?", F.when(c("conv_id") % 7 == 6, "\n😄 4\nView thread").otherwise(""))
+    found = pipeline.parse_primary(with_headers(rows, headers()[0], body))
+    return found.select("conv_id", "msg_idx", "username", "ts_text", "text", F.size("reactions").alias("n_reactions"))
+
+
+@query(f"""SELECT conv_id, starts, starts AS stamps, CASE WHEN (2 * d + starts) / (3 * d + 2 * starts)::DOUBLE > 0.7 THEN 'standard' ELSE 'mixed' END AS layout, 1.0::DOUBLE AS alignment,
+  0.2 + 0.2 * least(1.0, 3.0 / (2 * d + starts)) + CASE WHEN (2 * d + starts) / (3 * d + 2 * starts)::DOUBLE > 0.7 THEN 0.2 ELSE 0.1 END + 0.2 AS confidence
+  FROM (SELECT conv_id, count(*) AS starts, count(DISTINCT ts) AS d FROM h GROUP BY conv_id)""")
+def seg_diagnostics(spark, sf_dir):
+    rows = segment.diagnostics(segment.primary_lines(transcripts(turns(spark, sf_dir).withColumn("text", as_prose()))))
+    return rows.select("conv_id", "starts", "stamps", "layout", "alignment", F.round("confidence", 9).alias("confidence"))
+
+
 @query("SELECT conv_id, ts AS spelling FROM t UNION SELECT conv_id, '[' || ts || ']' FROM t UNION SELECT conv_id, '[' || ts || link FROM t")
 def seg_spellings(spark, sf_dir):
     return segment.timestamp_spellings(lines.explode_lines(transcripts(turns(spark, sf_dir)))).select("conv_id", "spelling")
@@ -376,6 +435,7 @@ on_text("enr_links", lambda: cat(c("text"), " <https://ex.org/", c("turn"), "|d[
         r"text || ' [d\[o\]c](https://ex.org/' || turn || ') https://ex.org https://www.ex.org [a@b.co](mailto:a@b.co)'")
 on_text("enr_mentions", lambda: cat(c("text"), " <@U1> <@U", c("conv_id"), "XYZ> @bob, a@b.co <!here> [@cy](https://ex.org)"), lambda x: enrich.convert_mentions(x, {"U1": "Ada L"}),
         "text || ' <@U1> <@U' || conv_id || 'XYZ> @bob, a@b.co <!here> [@cy](https://ex.org)'", "text || ' [[Ada L]] [[User-' || substr('U' || conv_id || 'XYZ', 1, 6) || ']] [[bob]], a@b.co **@here** [[cy]]'")
+on_text("enr_mentions_masked", lambda: cat(c("text"), "\n@bob  hi, @cy and  @di"), lambda x: enrich.convert_mentions(x, compat=True), "text || chr(10) || '@bob  hi, @cy and  @di'", "text || chr(10) || '[[bob  hi]], [[cy]] and  @di'")
 on_text("enr_emoji", lambda: cat(c("text"), " :smile::nope: :own: ![:wave:](https://a.slack-edge.com/w.png) ![](https://a.slack-edge.com/production-standard-emoji-assets/14.0/apple-large/1f44d@2x.png)"), lambda x: emoji.replace_emoji(x, {"own": "🤠"}),
         "text || ' :smile::nope: :own: ![:wave:](https://a.slack-edge.com/w.png) ![](https://a.slack-edge.com/production-standard-emoji-assets/14.0/apple-large/1f44d@2x.png)'", "text || ' 😄:nope: 🤠 👋 👍'")
 on_text("enr_threads", lambda: cat(c("text"), " View thread:  https://ex.org/", c("turn")), enrich.link_threads, "text || ' View thread:  https://ex.org/' || turn", "text || ' [View thread](https://ex.org/' || turn || ')'")
@@ -419,6 +479,14 @@ on_text("usr_display", lambda: F.when(c("turn") % 2 == 0, cat("_", c("role"), "_
         "CASE WHEN turn % 2 = 0 THEN upper(role[1]) || role[2:] || ' Of the Hill' ELSE 'mc' || upper(role[1]) || role[2:] || ' x' END")
 
 
+@query("SELECT conv_id, turn, md5(username || ' ' || array_to_string(list_transform(range(1, CASE WHEN turn % 8 = 0 THEN 2501 ELSE 51 END), lambda i: 'Word' || i || role), ' ')) AS result FROM t")
+def usr_undouble_long(spark, sf_dir):
+    """A doubled name before 50 or 2,500 capitalised words."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.when(c("turn") % 8 == 0, 2500).otherwise(50)), lambda i: F.concat(F.lit("Word"), i.cast("string"), c("role"))), " ")
+    rows = turns(spark, sf_dir).select("conv_id", "turn", cat(author(c("role")), author(c("role")), " ", words).alias("made"))
+    return rows.select("conv_id", "turn", F.md5(enrich.undouble_in_text(c("made"))).alias("result"))
+
+
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'app' WHEN 1 THEN 'thread' WHEN 2 THEN 'dm' ELSE 'unknown' END AS form, CASE turn % 4 WHEN 0 THEN 'Hub' WHEN 1 THEN username WHEN 2 THEN 'Unknown User' ELSE username END AS name FROM t")
 def usr_header(spark, sf_dir):
     k, who, at = c("msg_idx") % 4, c("username"), c("ts_text")
@@ -434,6 +502,12 @@ def usr_valid(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", names.is_valid_name(F.when(k == 0, cat("Ada ", c("role"))).when(k == 1, "Monday").when(k == 2, cat(c("turn"))).otherwise("3:04 PM")).alias("valid"))
 
 
+@query("SELECT conv_id, turn, ltrim(strftime(TIMESTAMP '2024-06-15 00:00:00' + to_minutes(CAST(h * 60 + m + 540 AS BIGINT)), '%I:%M %p'), '0') AS shown FROM (SELECT conv_id, turn, (turn % 12 + 1) % 12 + CASE WHEN turn % 2 = 0 THEN 0 ELSE 12 END AS h, (conv_id * 7 + turn) % 60 AS m FROM t)")
+def dt_zone(spark, sf_dir):
+    """Clocks as a zone nine hours ahead shows them."""
+    return messages_of(turns(spark, sf_dir)).select("conv_id", c("msg_idx").alias("turn"), times.display_time(c("ts_text"), now(), zone="Asia/Tokyo").alias("shown"))
+
+
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN 'some time' ELSE ts END AS shown FROM t")
 def dt_display(spark, sf_dir):
     k, at = c("msg_idx") % 4, c("ts_text")
@@ -469,6 +543,55 @@ def rnd_bracket(spark, sf_dir):
     return render.render_conversations(messages_of(rows), rows.select("conv_id").distinct().withColumn("format", F.lit("bracket")), now())
 
 
+@query(f"SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN string_agg(username || ': ' || text, {NL} || {NL} ORDER BY turn) ELSE string_agg('> [!slack]+ Message from ' || username || {NL} || '> **Time:** ' || ts || {NL} || '>' || {NL} || '> ' || replace(text, {NL}, {NL} || '> '), {NL} || {NL} ORDER BY turn) END AS markdown FROM t GROUP BY conv_id")
+def rnd_registered(spark, sf_dir):
+    """A layout from outside, for the conversations of its format."""
+    render.register_strategy("script", lambda settings, ref: cat(c("username"), ": ", c("text")))
+    rows = turns(spark, sf_dir)
+    formats = rows.select("conv_id").distinct().withColumn("format", F.when(c("conv_id") % 2 == 0, "script").otherwise("channel"))
+    return render.render_conversations(messages_of(rows), formats, now())
+
+
+STYLED = """, v AS (SELECT *, turn % 5 = 0 AS reply, CASE WHEN turn % 5 = 3 THEN 'see https://ex.org/a, ' ELSE '' END || text AS x FROM t)"""
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies, starts of threads, edited messages, links and plain ones; some with reactions."""
+    k = c("msg_idx") % 5
+    rows = messages_of(turns(spark, sf_dir)).withColumns({"is_thread_reply": k == 0, "is_thread_start": k == 1, "is_edited": k == 2, "text": cat(F.when(k == 3, "see https://ex.org/a, ").otherwise(""), c("text")), "thread_info": F.when(k == 0, "3 replies")})
+    return rows.withColumn("reactions", F.when(k == 4, F.array(F.struct(F.lit("tada").alias("name"), c("msg_idx").alias("count")))).otherwise(c("reactions")))
+
+
+def _callouts(info: str) -> str:
+    """SQL of the call-out standards."""
+    p = "CASE WHEN reply THEN '> ' ELSE '' END"
+    return STYLED + f"""SELECT conv_id, string_agg({p} || '> [!slack]+ Message from ' || username || {NL} || {p} || '> **Time:** ' || ts || {NL} || '>' || {NL} || {p} || '> ' || replace(x, {NL}, {NL} || {p} || '> ')
+  || CASE WHEN turn % 5 = 4 THEN {NL} || {NL} || '> tada ' || turn WHEN turn % 5 = 2 THEN {NL} || '*(edited)*' ELSE '' END{info}, {NL} || {NL} ORDER BY turn) AS text FROM v GROUP BY conv_id"""
+
+
+@query(_callouts(""))
+def rnd_conversation(spark, sf_dir):
+    return standards.apply_standard(_styled(spark, sf_dir), "CONVERSATION")
+
+
+@query(_callouts(f" || CASE WHEN reply THEN {NL} || '*3 replies*' ELSE '' END"))
+def rnd_detailed(spark, sf_dir):
+    return standards.apply_standard(_styled(spark, sf_dir), "DETAILED")
+
+
+@query(STYLED + f"""SELECT conv_id, string_agg(CASE WHEN reply THEN '• ' ELSE '' END || username || ': ' || CASE WHEN reply THEN '• ' ELSE '' END || '`' || ts || '` ' || d || replace(x, {NL}, {NL} || d) || CASE WHEN turn % 5 = 2 THEN ' *(edited)*' ELSE '' END, {NL} ORDER BY turn) AS text
+  FROM (SELECT *, CASE WHEN reply THEN '•  ' WHEN turn % 5 = 3 THEN '  ' ELSE ' ' END AS d FROM v) GROUP BY conv_id""")
+def rnd_compact(spark, sf_dir):
+    return standards.apply_standard(_styled(spark, sf_dir), "COMPACT")
+
+
+@query("SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'thread_reply' WHEN 1 THEN 'thread_start' WHEN 2 THEN 'edited_message' WHEN 3 THEN 'link_preview' ELSE 'regular_message' END AS kind, CASE WHEN turn % 5 = 3 THEN 'see https://ex.org/a, ' ELSE '' END || text AS cleaned FROM t")
+def rnd_content_type(spark, sf_dir):
+    rows = _styled(spark, sf_dir)
+    noisy = cat(c("text"), "\nhttps://ex.org/preview\n 2 files \nPDF")
+    return rows.select("conv_id", c("msg_idx").alias("turn"), standards.content_type().alias("kind"), standards.clean_embedded(noisy).alias("cleaned"))
+
+
 @query(f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '>[!note]+ Message from [[' || username || ']]' || {NL} || '> **Time:** ' || ts || ' — ok, ' || turn WHEN turn % 3 = 1 THEN '>[!info]' || {NL} || '> ' || ts || {NL} || '>' || {NL} || '> ok, ' || turn ELSE '>[!note]+ [Message from ' || username || ']' || {NL} || '> [Time: ' || ts || ']' || {NL} || '>' || {NL} || '> [Message from x], ' || turn END AS block FROM t")
 def rnd_mixed(spark, sf_dir):
     k = c("msg_idx") % 3

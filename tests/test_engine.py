@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatframe.functions import emoji, enrich, names, text, times
-from chatframe.operators import continuation, dedup, detect, embed, extract, lines, render, segment, validate
+from chatframe.operators import continuation, dedup, detect, embed, extract, fallback, lines, render, segment, validate
 from chatframe.plans import pipeline
 from chatframe.schema import MESSAGE
 from chatframe.settings import Settings, load_settings, parse_json_map
@@ -137,7 +137,8 @@ def test_embedded():
 
 def test_continuation(spark, messages):
     rows = messages([("Unknown User", None, "3:04 PM\nfirst"), ("Ann", "1:00 PM", "hi"), ("Unknown User", "2:00 PM", "nice"), ("Unknown User", None, "not one"), ("Unknown User", None, "[8:26] late")])
-    got = continuation.fold_continuations(rows).orderBy("msg_idx").collect()
+    assert [r.msg_idx for r in continuation.fold_continuations(rows).orderBy("msg_idx").collect()] == [0, 1, 2, 3]
+    got = continuation.fold_continuations(rows, phrases=["(?i)^nice$"]).orderBy("msg_idx").collect()
     assert [(r.msg_idx, r.text) for r in got] == [(0, "3:04 PM\nfirst"), (1, "hi\n\n2:00 PM\n\nnice\n\n[8:26] late"), (3, "not one")]
 
 
@@ -222,3 +223,44 @@ def test_queries_see_whole_texts(spark, sf_dir, monkeypatch):
         queries.QUERIES[name](spark, sf_dir)
         seen = [r[0] for r in frames[0].select(col).collect()]
         assert all(any(x in y for y in seen) for x in whole), name
+
+
+def test_long_texts_stay_linear(spark):
+    """Unbounded repeats before a back-reference once ended the executor on texts like these."""
+    from chatframe.functions import enrich, names
+
+    caps = "AnnaAnna " + " ".join(f"Word{'abcdefghij'[i % 10]}{'klmnop'[i % 6]}" for i in range(700_000))
+    prose = "AnnaAnna " + "the quick brown fox jumps over it. " * 150_000
+    df = spark.createDataFrame([(caps,), (prose,)], "x string")
+    got = df.select(F.length(enrich.undouble_in_text(F.col("x"))).alias("n")).collect()
+    assert [r.n for r in got] == [len(caps) - 4, len(prose) - 4 - 1]
+    assert df.select(lines.has_user_time(F.col("x")).alias("t")).where("t").count() == 0
+    short = spark.createDataFrame([("Ann LeeAnn Lee",), ("Ann Lee Ann Lee",), ("AnnAnn",), ("word word WORD word",)], "x string")
+    assert [r.y for r in short.select(names.undouble(F.col("x")).alias("y")).collect()] == ["Ann Lee", "Ann Lee", "Ann", "word WORD"]
+
+
+def test_title_veto(spark):
+    """Openings and titles that no name is, and names that look a little like them."""
+    no = ["One thing", "Went to town", "Hey", "Nice", "Oh interesting", "Release information", "New ideas, again", "Happiness Report"]
+    yes = ["Ada Lovell", "Ludwig van Beethoven", "Maria da Silva", "Clarence Holm", "Bo"]
+    df = spark.createDataFrame([(x,) for x in no + yes], "x string")
+    got = {r.x: r.n for r in df.select("x", fallback.line_scores(F.col("x"))["name"].alias("n")).collect()}
+    assert all(got[x] == 0 for x in no) and all(got[x] > 0 for x in yes)
+
+
+def test_scratch_removes_what_was_stored(spark):
+    import os
+
+    from chatframe.storage import scratch, store
+
+    with scratch(spark):
+        kept, gone = store(spark.range(3), "kept", keep=True), store(spark.range(3), "gone")
+        files = kept.inputFiles() + gone.inputFiles()
+    there = [os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files]
+    assert there == [True] * len(kept.inputFiles()) + [False] * (len(files) - len(kept.inputFiles()))
+
+
+def test_image_lines_stay_in_messages(spark):
+    raw = "Ann Lee  [3:04 PM](https://x.example/archives/C1/p2)\nhello there, all of you\n![a cat](https://x.example/cat.png)\nis it not, well"
+    got = pipeline.parse_fallback(spark.createDataFrame([(1, raw)], "conv_id long, raw string"), now()).collect()
+    assert "![a cat](https://x.example/cat.png)" in got[0].text
