@@ -301,13 +301,14 @@ def fb_grammars(spark, sf_dir):
     return pipeline.parse_fallback(with_headers(rows, by_number(c("conv_id") % 7, headers()[:7]), c("text"))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
-@query(f"""SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} || {NL} || CASE conv_id % 7 WHEN 0 THEN '[3:09](https://chat.example/archives/C1/p9)' WHEN 1 THEN '3:09 PM' WHEN 2 THEN '[3:09 PM]' WHEN 3 THEN 'See more' WHEN 4 THEN 'Also,'
+@query(f"""SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} || repeat({NL} || 'so it goes, said they; good?', 6) || {NL} || CASE conv_id % 7 WHEN 0 THEN '[3:09](https://chat.example/archives/C1/p9)' WHEN 1 THEN '3:09 PM' WHEN 2 THEN '[3:09 PM]' WHEN 3 THEN 'See more' WHEN 4 THEN 'Also,'
   WHEN 5 THEN 'Today at 3:09 PM' ELSE '' END || {NL} || 'and so it goes on, said nobody; good?' AS text, CASE WHEN conv_id % 7 = 6 THEN 1 ELSE 0 END AS n_reactions FROM h""")
 def seg_continuations(spark, sf_dir):
-    """Lines that carry on a message stay in it; reactions and metadata below it don't."""
+    """Lines that carry on a message stay in it; reactions and metadata below it don't. They stand below
+    the first lines: a message that has one there joins an earlier message of its author."""
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
     middle = by_number(c("conv_id") % 7, [F.lit(x) for x in ("[3:09](https://chat.example/archives/C1/p9)", "3:09 PM", "[3:09 PM]", "See more", "Also,", "Today at 3:09 PM", "\n3 replies")])
-    body = cat(c("text"), "\n", middle, "\nand so it goes on, said nobody; good?", F.when(c("conv_id") % 7 == 6, "\n😄 4\nView thread").otherwise(""))
+    body = cat(c("text"), F.repeat(F.lit("\nso it goes, said they; good?"), F.lit(6)), "\n", middle, "\nand so it goes on, said nobody; good?", F.when(c("conv_id") % 7 == 6, "\n😄 4\nView thread").otherwise(""))
     found = pipeline.parse_primary(with_headers(rows, headers()[0], body))
     return found.select("conv_id", "msg_idx", "username", "ts_text", "text", F.size("reactions").alias("n_reactions"))
 
