@@ -6,6 +6,7 @@ fixed rule on (conv_id, turn); the SQL states what must come out of it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,8 @@ from chatframe.operators import continuation, dedup, detect, embed, extract, fal
 from chatframe.operators.enrich import enrich_messages
 from chatframe.plans import pipeline
 from chatframe.settings import Settings
-from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, transcripts, turns
+from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, read_pastes, read_table, transcripts, turns, write_notes
+from chatframe.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +81,20 @@ def prose_sql(end: str = "; good?", break_: str = "chr(10)") -> str:
     return f"'so it is, said ' || replace(text, chr(10), '{end}' || {break_} || 'so it is, said ') || '{end}'"
 
 
+def with_headers(rows: DataFrame, head: Column, body: Column) -> DataFrame:
+    """(conv_id, raw): turns as pasted chat under any header."""
+    said = rows.select("conv_id", c("msg_idx").alias("turn"), cat(head, "\n", body).alias("said"))
+    joined = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("s"))
+    return joined.select("conv_id", F.array_join(F.transform("s", lambda x: x["said"]), "\n").alias("raw"))
+
+
+def by_number(number: Column, cases: list[Column]) -> Column:
+    out = cases[-1]
+    for i in reversed(range(len(cases) - 1)):
+        out = F.when(number == i, cases[i]).otherwise(out)
+    return out
+
+
 def digest(x: Column, before: str, after: str = "") -> Column:
     """An operator's result with what is between its decoration as md5. The operator sees and gives
     the whole text; a result whose decoration isn't intact stays as it is."""
@@ -92,6 +108,23 @@ def src_transcripts(spark, sf_dir):
     return transcripts(turns(spark, sf_dir))
 
 
+@query(f"SELECT conv_id, string_agg(head || {NL} || text, {NL} ORDER BY turn) AS raw FROM h GROUP BY conv_id")
+def src_text_files(spark, sf_dir):
+    """Transcripts as text files, one each, and read back with their paths."""
+    path = f"{shared_dir(spark)}/chatframe-pastes-{uuid.uuid4().hex}"
+    transcripts(turns(spark, sf_dir)).write.partitionBy("conv_id").text(path)
+    rows = read_pastes(spark, f"{path}/*")
+    return rows.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"), F.regexp_replace("raw", r"\n\z", "").alias("raw"))
+
+
+@query(f"SELECT conv_id, string_agg(head || {NL} || text, {NL} ORDER BY turn) AS raw FROM h GROUP BY conv_id")
+def snk_notes_table(spark, sf_dir):
+    """Texts through the sink as a table and back through the source."""
+    path = f"{shared_dir(spark)}/chatframe-notes-{uuid.uuid4().hex}"
+    write_notes(transcripts(turns(spark, sf_dir)).withColumnRenamed("raw", "note"), path)
+    return read_table(spark, path, raw_col="note")
+
+
 @query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN -1 ELSE -1 END AS n_keys,
   CASE turn % 5 WHEN 0 THEN role END AS value, turn % 5 <> 4 AS valid FROM t""")
 def src_json_map(spark, sf_dir):
@@ -174,6 +207,15 @@ def lf_lines(spark, sf_dir):
     return found.select("conv_id", "line_no", "content", "length", "is_short", "is_long", "has_capital", "has_digit", "has_special", "has_url", "is_meta", "prev_line", "next_line")
 
 
+@query("""SELECT conv_id, turn, turn % 7 = 0 AS is_section, turn % 7 = 1 AS is_thread, turn % 7 IN (2, 5) AS has_url, turn % 7 = 3 AS has_mention, turn % 7 = 4 AS has_emoji, turn % 7 = 4 AS is_reaction, turn % 7 = 5 AS has_avatar, turn % 7 IN (1, 4, 5) AS is_meta FROM t""")
+def lf_marks(spark, sf_dir):
+    """Sections, thread lines, links, mentions, emoji, reactions, avatars, metadata, and prose that is none of them."""
+    made = by_number(c("turn") % 7, [F.lit("#GENERAL#"), cat(c("turn"), " replies"), cat("see https://ex.org/", c("turn")), cat(c("text"), " @bob"), cat(":tada: ", c("turn")), cat("![](https://ca.slack-edge.com/", c("turn"), ".png)"), cat("so, ", c("text"))])
+    rows = turns(spark, sf_dir).select("conv_id", "turn", made.alias("made"))
+    marks = {"is_section": lines.is_section, "is_thread": lines.is_thread_info, "has_url": lines.has_url, "has_mention": lines.has_mention, "has_emoji": lines.has_emoji, "is_reaction": lines.is_reaction, "has_avatar": lines.has_avatar, "is_meta": lines.is_metadata}
+    return rows.select("conv_id", "turn", *[f(c("made")).alias(n) for n, f in marks.items()])
+
+
 @query(LINES + r"""SELECT conv_id, line_no, regexp_matches(x, '\[\d{1,2}:\d{2}(?:\s*(?:AM|PM))?\]|^\s*\d{1,2}:\d{2}\s*(?:AM|PM)?\s*$|\d{1,2}:\d{2}\s*(?:AM|PM)', 'i')
   OR (regexp_matches(x, '\d{1,2}:\d{2}|\b(?:today|yesterday|monday|tuesday|wednesday|thursday|friday|saturday|sunday|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\b', 'i')
       AND NOT regexp_matches(x, '\b(?:wanted|needed|mention|tracking|happens|related|finding|should|fixed|errors|after|switching|btw)\b|\[\[.*?\]\]|.{100,}', 'i')) AS has_ts,
@@ -261,20 +303,6 @@ def seg_primary(spark, sf_dir):
     return pipeline.parse_primary(transcripts(rows)).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
-def with_headers(rows: DataFrame, head: Column, body: Column) -> DataFrame:
-    """(conv_id, raw): turns as pasted chat under any header."""
-    said = rows.select("conv_id", c("msg_idx").alias("turn"), cat(head, "\n", body).alias("said"))
-    joined = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("s"))
-    return joined.select("conv_id", F.array_join(F.transform("s", lambda x: x["said"]), "\n").alias("raw"))
-
-
-def by_number(number: Column, cases: list[Column]) -> Column:
-    out = cases[-1]
-    for i in reversed(range(len(cases) - 1)):
-        out = F.when(number == i, cases[i]).otherwise(out)
-    return out
-
-
 def headers() -> list[Column]:
     """The header grammars that a conversation can have: on one line, over two or three, doubled names,
     codes, avatars, applications, dates, roles."""
@@ -313,6 +341,21 @@ def seg_continuations(spark, sf_dir):
     return found.select("conv_id", "msg_idx", "username", "ts_text", "text", F.size("reactions").alias("n_reactions"))
 
 
+@query(f"SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} || CASE conv_id % 7 WHEN 0 THEN {NL} || '[3:09](https://chat.example/archives/C1/p9)' WHEN 1 THEN {NL} || '3:09 PM' WHEN 2 THEN {NL} || '[3:09 PM]' WHEN 3 THEN {NL} || 'See more' WHEN 4 THEN {NL} || 'Also,' ELSE '' END || {NL} || 'and so it goes on, said nobody; good?' AS text, CASE conv_id % 7 WHEN 5 THEN '3 replies' WHEN 6 THEN 'View thread' END AS thread_info FROM h")
+def fb_continuations(spark, sf_dir):
+    """The fallback parser keeps lines that carry on a message in it, and takes thread lines out."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    middle = by_number(c("conv_id") % 7, [F.lit(x) for x in ("[3:09](https://chat.example/archives/C1/p9)", "3:09 PM", "[3:09 PM]", "See more", "Also,", "3 replies", "View thread")])
+    body = cat(c("text"), "\n", middle, "\nand so it goes on, said nobody; good?")
+    return pipeline.parse_fallback(with_headers(rows, headers()[0], body)).select("conv_id", "msg_idx", "username", "ts_text", "text", "thread_info")
+
+
+@query(LINES.replace(f"{NL} || text", f"{NL} || {prose_sql()}") + "SELECT conv_id, line_no, 4 AS score FROM l WHERE regexp_matches(x, 'archives/C1/p')")
+def seg_scores(spark, sf_dir):
+    """Starts of messages by how much speaks for them: here a time and a capital."""
+    return segment.candidate_scores(lines.with_features(lines.explode_lines(transcripts(turns(spark, sf_dir).withColumn("text", as_prose())))))
+
+
 @query(f"""SELECT conv_id, starts, starts AS stamps, CASE WHEN (2 * d + starts) / (3 * d + 2 * starts)::DOUBLE > 0.7 THEN 'standard' ELSE 'mixed' END AS layout, 1.0::DOUBLE AS alignment,
   0.2 + 0.2 * least(1.0, 3.0 / (2 * d + starts)) + CASE WHEN (2 * d + starts) / (3 * d + 2 * starts)::DOUBLE > 0.7 THEN 0.2 ELSE 0.1 END + 0.2 AS confidence
   FROM (SELECT conv_id, count(*) AS starts, count(DISTINCT ts) AS d FROM h GROUP BY conv_id)""")
