@@ -236,12 +236,12 @@ def test_long_texts_stay_linear(spark):
     assert [r.n for r in got] == [len(caps) - 4, len(prose) - 4 - 1]
     assert df.select(lines.has_user_time(F.col("x")).alias("t")).where("t").count() == 0
     short = spark.createDataFrame([("Ann LeeAnn Lee",), ("Ann Lee Ann Lee",), ("AnnAnn",), ("word word WORD word",)], "x string")
-    assert [r.y for r in short.select(names.undouble(F.col("x")).alias("y")).collect()] == ["Ann Lee", "Ann Lee", "Ann", "word WORD"]
+    assert [r.y for r in short.select(names.undouble(F.col("x")).alias("y")).collect()] == ["Ann Lee", "Ann Lee", "Ann", "word word"]
 
 
 def test_title_veto(spark):
     """Openings and titles that no name is, and names that look a little like them."""
-    no = ["One thing", "Went to town", "Hey", "Nice", "Oh interesting", "Release information", "New ideas, again", "Happiness Report"]
+    no = ["One thing", "Went to town", "Hello", "Nice", "Oh interesting", "Release information", "New ideas, again", "Happiness Report"]
     yes = ["Ada Lovell", "Ludwig van Beethoven", "Maria da Silva", "Clarence Holm", "Bo"]
     df = spark.createDataFrame([(x,) for x in no + yes], "x string")
     got = {r.x: r.n for r in df.select("x", fallback.line_scores(F.col("x"))["name"].alias("n")).collect()}
