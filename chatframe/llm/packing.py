@@ -45,20 +45,22 @@ BIN_BITS, GROUP_BITS = 24, 32
 #: Texts of these characters only are split alike by every version of the Unicode tables.
 PLAIN = re.compile("[^\t\n\r -~\u00a1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027]|<\\|")
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, bool], object] = {}
 
 
-def encoder(json_path: str, ranks_path: str | None):
-    """texts -> lists of ids, as tokenizers gives them for ``json_path`` without added tokens.
+def encoder(json_path: str, ranks_path: str | None, specials: bool = True):
+    """texts -> lists of ids, as tokenizers gives them for ``json_path`` without added tokens. Without
+    ``specials`` the strings of special tokens are plain text.
 
     With ``ranks_path``, the same vocabulary as ranks, plain texts go through tiktoken, which gives
     the same ids faster; others, and all that could hold a special string, go through tokenizers.
     """
-    if json_path not in _encoders:
+    if (json_path, specials) not in _encoders:
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(json_path)
         exact.no_truncation()
+        exact.encode_special_tokens = not specials
         fast = None
         if ranks_path:
             import public_tokenizers
@@ -73,8 +75,8 @@ def encoder(json_path: str, ranks_path: str | None):
                 return exact.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
-        _encoders[json_path] = encode
-    return _encoders[json_path]
+        _encoders[json_path, specials] = encode
+    return _encoders[json_path, specials]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

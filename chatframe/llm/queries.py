@@ -7,8 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chatframe.llm import audio, cover_tree, html_text, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_rules
-from chatframe.llm.common import shared_dir, table
+from chatframe.llm import alignment, audio, cover_tree, html_text, language_id, manifest, mixing, ngram_join, packing, slack_packing, token_counts, toxicity, url_rules
+from chatframe.llm.common import doc_bucket, shared_dir, table
 
 
 def op1_language_id(spark, sf_dir):
@@ -60,6 +60,28 @@ def op10_url_filters(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_token_alignment(spark, sf_dir):
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *files, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    """All documents' leaves and proofs; a seventh of the documents is verified with one sign more in
+    n_chars, as after tampering."""
+    docs, columns = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = manifest.leaf_digest(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns))
+    proved = manifest.manifest(docs, columns, tree_col="lang", id_col="doc_id", given=F.when(doc_bucket("doc_id", 7) == 0, tampered))
+    found = manifest.folded(proved.withColumn("given", F.coalesce("given", "leaf")), "given")
+    digests = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root")}
+    return found.select("doc_id", *(d.alias(c) for c, d in digests.items()), F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), F.lower(F.hex("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_slack_packing(spark, sf_dir):
+    files = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    packed = slack_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), *files, capacity=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def _op7_sql() -> str:
     """One search for a threshold after the other, each over the documents no larger than what is left."""
     sql = r"""
@@ -109,5 +131,5 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op4_ngram_jaccard_join, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op9_html_extraction, op10_url_filters)}
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op4_ngram_jaccard_join, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op9_html_extraction, op10_url_filters, op11_token_alignment, op12_merkle_manifest, op13_slack_packing)}
 ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
