@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatframe.functions.emoji import literal_map, replace_emoji
-from chatframe.functions.names import NAME_WORDS, undouble
+from chatframe.functions.names import NAME_WORDS, halved_name, undouble
 from chatframe.functions.text import let, lines_of, map_tokens, nfc_of, sanitise, trim_u, unlines
 from chatframe.settings import Settings
 
@@ -118,7 +118,8 @@ def undouble_in_text(c: Column) -> Column:
 
 
 def _undouble_named(c: Column) -> Column:
-    named = c.rlike(DOUBLED_NAME) | (trim_u(c).rlike(JUST_A_NAME) & (F.length(trim_u(c)) < 50))
+    longer = F.exists(lines_of(c), lambda x: halved_name(x).isNotNull())
+    named = c.rlike(DOUBLED_NAME) | longer | (trim_u(c).rlike(JUST_A_NAME) & (F.length(trim_u(c)) < 50))
     return F.when(named, undouble(c)).otherwise(c)
 
 
@@ -127,17 +128,18 @@ def link_threads(c: Column) -> Column:
 
 
 def mark_uploads(c: Column) -> Column:
-    """``X uploaded a file: F`` with the icon of its kind."""
-    pattern = r"(?i)(.+?)\s+uploaded a file:\s*(.+)"
+    """``X uploaded a file: F`` with the icon of its kind. Texts without these words pass as they are; in
+    others X starts a line, since a match can't start later, so each line is looked through once."""
+    pattern = r"(?im)(?:\A([^\S\n])|^(.*?\S))\s++uploaded a file:\s*(.+)"
 
     def shown(t: Column) -> Column:
-        file = trim_u(F.regexp_extract(t, pattern, 2))
+        file, who = trim_u(F.regexp_extract(t, pattern, 3)), F.concat(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2))
         icon = F.lit("📎")
         for sign, extensions in reversed(UPLOADS):
             icon = F.when(file.rlike(rf"(?i)\.({extensions})$"), sign).otherwise(icon)
-        return F.concat(icon, F.lit(" "), F.regexp_extract(t, pattern, 1), F.lit(" uploaded: **"), file, F.lit("**"))
+        return F.concat(icon, F.lit(" "), who, F.lit(" uploaded: **"), file, F.lit("**"))
 
-    return map_tokens(c, pattern, shown)
+    return let(c, lambda v: F.when(v.rlike("(?i)uploaded a file:"), map_tokens(v, pattern, shown)).otherwise(v))
 
 
 def mark_images(c: Column) -> Column:

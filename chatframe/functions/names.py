@@ -25,8 +25,9 @@ APP_AFTER_URL = rf"^\s*https?://[^\s]+\s+{APP_NAME}"
 APP_SERVICE = r"https?://[^\s/]*slack[^\s/]*/services/[A-Z0-9]+"
 APP_DOUBLED = r"(?i)^([A-Za-z][A-Za-z0-9\s\-_.]+)\1\s*(?:APP\s*)?"
 MAX_LENGTH, MAX_WORDS = 10_000, 1_000
-#: Words of a doubled name at most. A pattern that repeats a group without bound before a reference to
-#: it goes one call deeper for each word, which a long text doesn't survive.
+#: Words of a doubled name that a pattern finds anywhere in a line. A pattern that repeats a group without
+#: bound before a reference to it goes one call deeper for each word, which a long text doesn't survive;
+#: longer names are found where they and their double are the line.
 NAME_WORDS = 8
 
 
@@ -46,6 +47,21 @@ def _without_repeats(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"\s+", " "), r"(?iu)(?<!\S)(\S++) \1(?!\S)", "$1")
 
 
+def halved_name(line: Column) -> Column:
+    """A line that is a name of more than ``NAME_WORDS`` words and its double, with or without white space
+    between, once; null for other lines. Halves are compared, so a line is looked through once, however long."""
+
+    def halved(x: Column) -> Column:
+        n = F.length(x)
+        half, rest = F.substring(x, F.lit(1), F.floor(n / 2).cast("int")), F.substring(x, F.floor((n + 3) / 2).cast("int"), n)
+        joined = (n % 2 == 0) & (F.concat(half, half) == x)
+        spaced = (n % 2 == 1) & (half == rest) & (F.substring(x, F.floor((n + 1) / 2).cast("int"), F.lit(1)) == " ")
+        words = F.split(half, " ")
+        return F.when((joined | spaced) & (F.size(words) > NAME_WORDS) & F.forall(words, lambda w: w.rlike(rf"^{NAME}+$")), half)
+
+    return F.when(F.size(F.split(line, r"\s+", 2 * NAME_WORDS + 1)) > 2 * NAME_WORDS, let(F.regexp_replace(trim_u(line), r"\s+", " "), halved))
+
+
 def _thread_form(c: Column) -> Column:
     """A doubled name before an emoji link, and what follows it."""
     return let(c, _thread_once)
@@ -72,6 +88,7 @@ def _undouble(c: Column, form: str | None) -> Column:
     half = F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
     long_double = (F.length(c) > 500) & (F.concat(half, half) == c)
     x = _thread_form(c) if form == "thread" else _dm_form(c) if form == "dm" else c
+    x = unlines(F.transform(lines_of(x), lambda line: F.coalesce(halved_name(line), line)))
     words = rf"\b{NAME}+(?:\s+{NAME}+){{0,{NAME_WORDS - 1}}}"
     x = F.regexp_replace(x, rf"({words})\1\b", "$1")
     x = F.regexp_replace(x, rf"({words})\s+\1\b", "$1")

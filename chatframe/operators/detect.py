@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatframe.functions.text import any_match, lines_of, trim_u
+from chatframe.functions.text import any_match, let, lines_of, trim_u, unlines
 
 MAX_CHARS, MAX_LINES, WARN_CHARS, WARN_LINES, SCANNED = 5 * 1024 * 1024, 50_000, 1024 * 1024, 10_000, 60
 
@@ -19,7 +19,7 @@ LAYOUTS = {
     "bracket": [r"^\[Message from .+\]", r"^\[Time: .+\]", r"^>\s*\[Message from", r"\[Thread:.+\]", r"\[Channel:.+\]"],
     "mixed": [r":([\\w+-]+):", r"<@U[A-Z0-9]+>", r"View thread", r"\d+\s+repl(?:y|ies)", r"https?://"],
     "dm": [r"^\[\d{1,2}:\d{2}\]\(https://.*/archives/D[A-Z0-9]+/p\d+\)$", r"/archives/D[A-Z0-9]+/", r"!\[\]\(https://ca\.slack-edge\.com/E[A-Z0-9]+-U[A-Z0-9]+-[a-f0-9]+-48\)",
-           r"^[A-Za-z\s]+[A-Za-z\s]+\s+\[\d{1,2}:\d{2}\s*(?:AM|PM)?\]\(https://.*/archives/[CD][A-Z0-9]+/p\d+\)\s*$", r"^[A-Za-z\s]{20,}\s+\[\d{1,2}:\d{2}",
+           r"^[A-Za-z\s]{3,}+(?<=\s)\[\d{1,2}:\d{2}\s*(?:AM|PM)?\]\(https://.*/archives/[CD][A-Z0-9]+/p\d+\)\s*$", r"^[A-Za-z\s]{21,}+(?<=\s)\[\d{1,2}:\d{2}",
            r"\[@\w+\]\(https://.*/team/U[A-Z0-9]+\)", r"^([A-Za-z\s\x{00C0}-\x{017F}]+)\1\s+\[\d{1,2}:\d{2}\s*(?:AM|PM)?\]\(https://.*/archives/[CD][A-Z0-9]+/p\d+\)",
            r"^([A-Za-z]+)\1([A-Za-z\s]+)\2\s+\[\d{1,2}:\d{2}"],
     "thread": [r"thread_ts=", r"^!\[\]\(https://ca\.slack-edge\.com/", r"\d+\s+replies", r"^---$", r"!\[:[\w-]+:\]\(.*?\)\s+\[.+\]\(.+\)",
@@ -31,10 +31,16 @@ LAYOUTS = {
 SCORES = ["standard", "bracket", "mixed", "dm", "thread", "channel"]
 #: Whole-text signs that settle direct message against channel (fixed values).
 AVATARS = r"!\[\]\(https://ca\.slack-edge\.com/E[A-Z0-9]+-U[A-Z0-9]+-[a-f0-9]+-48\)"
-DOUBLED = r"([A-Za-z\s\x{00C0}-\x{017F}]+)\1\s+\[\d{1,2}:\d{2}"
-TEAM_LINKS = r"\[@\w+\]\(https://.*/team/U[A-Z0-9]+\)"
-DOUBLED_HEADER = r"(?m)^([A-Za-z\s\x{00C0}-\x{017F}]+)\1\s+\[\d{1,2}:\d{2}\s*(?:AM|PM)?\]\(https://.*/archives/[CD][A-Z0-9]+/p\d+\)"
-AVATAR_THEN_NAME = r"!\[\]\(https://ca\.slack-edge\.com/[^)]+\)\s*\n\s*[A-Za-z\s]+[A-Za-z\s]+\s+\["
+#: A doubled name before a clock in brackets, in a text read backwards: from the bracket only the run of
+#: letters and blanks before it is tried, so runs are looked through once.
+LETTER = r"A-Za-z\x{00C0}-\x{017F}"
+WORDS = rf"\s*+[{LETTER}][{LETTER}\s]*?"
+DOUBLED = rf"\d{{2}}:\d{{1,2}}\[(?:\s+?(\s+?)\1|\s+({WORDS})\2)"
+#: The same from a line's beginning, before a clock with a link to an archive, which ``MARK`` stands for.
+MARK = "\x01"
+DOUBLED_HEADER = rf"(?m){MARK}(?:(\s)\1{{2,}}|(?=\s*$)\s+?(\s+?)\2|\s+({WORDS})\3)$"
+CLOCK_LINK, ARCHIVE = r"\[\d{1,2}:\d{2}\s*(?:AM|PM)?\]\(https://", r"/archives/[CD][A-Z0-9]+/p\d+\)"
+AVATAR_THEN_NAME = r"!\[\]\(https://ca\.slack-edge\.com/[^)]++\)[^\S\n]*+\n[A-Za-z\s]{3,}+(?<=\s)\["
 CHANNEL_WORDS = r"(?i)joined the channel|set the channel|pinned a message to this channel|#[a-z0-9-]+\s+channel"
 STRONG_CHANNEL = r"(?m)joined the channel|set the channel|pinned a message to this channel|shared a file:.*to this channel|^#[a-z0-9-]+"
 CHANNEL_LAYOUT = r"(?m)^---\s+[A-Za-z]|\[@\w+\]\([^)]+\)(?:\s+\[@\w+\]\([^)]+\)){2,}"
@@ -66,6 +72,21 @@ def route(c: Column, hotkey_mode: str = "cmdShiftV", confirmed: Column | None =
     return F.when(fine, "format").otherwise("passthrough")
 
 
+def has_doubled_name(c: Column) -> Column:
+    return F.reverse(c).rlike(DOUBLED)
+
+
+def has_doubled_header(c: Column) -> Column:
+    """In each line a clock's link counts up to the line's last link to an archive."""
+
+    def marked(x: Column) -> Column:
+        upto = F.regexp_extract(x, f"^(.*){ARCHIVE}", 1)
+        return F.when(x.rlike(ARCHIVE), F.regexp_replace(upto, CLOCK_LINK, MARK)).otherwise(x)
+
+    text = let(lines_of(F.replace(c, F.lit(MARK), F.lit(""))), lambda ls: F.reverse(unlines(F.transform(ls, marked))))
+    return F.when(c.rlike(r"/archives/[CD]") & c.rlike(r"\s\[\d{1,2}:\d{2}"), text.rlike(DOUBLED_HEADER))
+
+
 def hits(c: Column) -> dict[str, Column]:
     """For each layout the lines, of the first ``SCANNED`` that aren't blank, that show it; and how
     many lines there are."""
@@ -85,8 +106,8 @@ def classify(conversations: DataFrame, col: str = "raw") -> DataFrame:
     rows = rows.withColumns({k: n[k] / n["lines"] for k in SCORES} | {"confidence": F.least(F.lit(1.0), total / (n["lines"] * 0.3))})
     boost = {"bracket": (2, 1.5), "standard": (5, 1.2), "dm": (1, 2.5), "thread": (2, 2.2), "channel": (2, 1.4)}
     rows = rows.withColumns({k: F.when(n[k] > least, F.col(k) * by).otherwise(F.col(k)) for k, (least, by) in boost.items()})
-    signs = {"_av": AVATARS, "_dn": DOUBLED, "_tl": TEAM_LINKS, "_dh": DOUBLED_HEADER, "_an": AVATAR_THEN_NAME, "_sc": STRONG_CHANNEL, "_cl": CHANNEL_LAYOUT}
-    rows = rows.withColumns({k: no(c.rlike(p)) for k, p in signs.items()} | {"_cu": c.rlike(r"/archives/C[A-Z0-9]+/"), "_only": c.contains("/archives/C") & ~c.rlike(CHANNEL_WORDS)})
+    signs = {"_av": AVATARS, "_tl": TEAM_LINKS, "_an": AVATAR_THEN_NAME, "_sc": STRONG_CHANNEL, "_cl": CHANNEL_LAYOUT}
+    rows = rows.withColumns({k: no(c.rlike(p)) for k, p in signs.items()} | {"_dn": no(has_doubled_name(c)), "_dh": no(has_doubled_header(c)), "_cu": c.rlike(r"/archives/C[A-Z0-9]+/"), "_only": c.contains("/archives/C") & ~c.rlike(CHANNEL_WORDS)})
     dm, channel = F.col("dm"), F.col("channel")
     direct = sum((F.col(k).cast("int") for k in ("_av", "_dn", "_tl", "_dh", "_an")), F.lit(0)) >= 2
     plain = ~F.col("_sc") & ~F.col("_cl")

@@ -8,7 +8,7 @@ function per conversation, without any pattern of its own, walks over those flag
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,49 @@ INTERVAL = "conv_id bigint, msg_no int, start int, end int, confidence double"
 REACH, HEAD = 4, 5
 
 
+def together(f: dict[str, np.ndarray], a: int, b: int) -> bool:
+    """Candidates a < b head the same message."""
+    if b - a > 2:
+        return False
+    if f["app_triple"][a] and b == a + 1 or f["is_name"][a] and f["has_ts"][b]:
+        return True
+    if f["has_ts"][b] or f["is_name"][b]:
+        return False
+    return bool(f["is_name"][a] and not f["has_ts"][a] or (f["has_ts"][a] or f["user_time"][a]) and not f["is_meta"][b])
+
+
+def sureness(n: int, average: float, user: bool, time: bool, content: bool) -> float:
+    """How sure an interval of n lines is: by its length, and by a user and a time in its first lines."""
+    value = 0.2 if average * 0.2 <= n <= average * 3 else 0.15 if average * 0.1 <= n <= average * 5 else 0.0
+    return min(1.0, value + 0.25 * user + 0.25 * time + 0.2 * content)
+
+
+def join_intervals(starts: np.ndarray, ends: np.ndarray, sure: list[float], strong: np.ndarray, timed: np.ndarray, users: Sequence[str | None], conts: np.ndarray, reach: Callable[[int], int]) -> list[tuple[int, int, float]]:
+    """Intervals take in later ones that a continuation reaches or, if they have a time, that carry on
+    their author's words. ``conts``: the lines of continuations, in order; ``reach``: how far each goes."""
+    within = lambda a, b: conts[slice(*np.searchsorted(conts, (a, b + 1)))].tolist()
+    soon = np.array([bool(within(s, min(s + HEAD, e))) for s, e in zip(starts, ends, strict=True)])
+    users = np.array([u or "" for u in users])
+    used, out = np.zeros(len(starts), bool), []
+    for i in range(len(starts)):
+        if used[i]:
+            continue
+        end, value = int(ends[i]), sure[i]
+        while True:
+            far = max((reach(k) for k in within(max(starts[i], end - HEAD), end)), default=-2)
+            joins = (far >= starts - 1) & ~strong
+            if timed[i]:
+                joins |= soon & ~(timed & (users != "") & (users[i] != "") & (users != users[i]))
+            joins &= ~used
+            joins[: i + 1] = False
+            if not joins.any():
+                break
+            j = int(joins.argmax())
+            end, value, used[j] = max(end, int(ends[j])), max(value, sure[j]), True
+        out.append((int(starts[i]), end, value))
+    return [x for x in out if x[2] > 0.1]
+
+
 class Walk:
     """One conversation's flags, and the walks over them."""
 
@@ -74,17 +117,6 @@ class Walk:
     def next_filled(self, i: int) -> int:
         return int(self.filled[np.searchsorted(self.filled, i)])
 
-    def together(self, a: int, b: int) -> bool:
-        """Candidates a < b head the same message."""
-        f = self.f
-        if b - a > 2:
-            return False
-        if f["app_triple"][a] and b == a + 1 or f["is_name"][a] and f["has_ts"][b]:
-            return True
-        if f["has_ts"][b] or f["is_name"][b]:
-            return False
-        return bool(f["is_name"][a] and not f["has_ts"][a] or (f["has_ts"][a] or f["user_time"][a]) and not f["is_meta"][b])
-
     def heads(self) -> list[int]:
         candidates, heads, i = np.flatnonzero(self.f["is_candidate"]).tolist(), [], 0
         while i < len(candidates):
@@ -92,7 +124,7 @@ class Walk:
             heads.append(head)
             i += 1
             for other in candidates[i : i + 3]:
-                if other - head > 3 or not self.together(head, other):
+                if other - head > 3 or not together(self.f, head, other):
                     break
                 i += 1
         return heads
@@ -134,10 +166,8 @@ class Walk:
         return bool(f["user_time"][i] or named or f["is_doubled"][i])
 
     def confidence(self, start: int, end: int, average: float) -> float:
-        f, n, head = self.f, end - start + 1, slice(start, min(start + 2, end) + 1)
-        value = 0.2 if average * 0.2 <= n <= average * 3 else 0.15 if average * 0.1 <= n <= average * 5 else 0.0
-        value += 0.25 * bool(f["could_be_user"][head].any()) + 0.25 * bool((f["has_ts"][head] & ~f["is_empty"][head]).any())
-        return min(1.0, value + 0.2 * bool((~f["is_empty"][start : end + 1] & ~f["is_meta"][start : end + 1]).any()))
+        f, head = self.f, slice(start, min(start + 2, end) + 1)
+        return sureness(end - start + 1, average, bool(f["could_be_user"][head].any()), bool((f["has_ts"][head] & ~f["is_empty"][head]).any()), bool((~f["is_empty"][start : end + 1] & ~f["is_meta"][start : end + 1]).any()))
 
     def average(self) -> int:
         """Filled lines from a start to the next, on average."""
@@ -154,28 +184,8 @@ class Walk:
         ends = [c - 1 for c in cuts[1:]] + [self.n - 1]
         sure = [self.confidence(s, e, average) for s, e in zip(cuts, ends, strict=True)]
         starts, ends = np.array(cuts), np.array([self.extended(s, e) for s, e in zip(cuts, ends, strict=True)])
-        soon = np.array([bool(self.f["is_cont"][s : min(s + HEAD, e) + 1].any()) for s, e in zip(starts, ends, strict=True)])
         strong = np.array([self.strong(s) for s in starts])
-        timed, users = self.f["user_time"][starts], np.array([self.users[s] or "" for s in starts])
-        used, out = np.zeros(len(starts), bool), []
-        for i in range(len(starts)):
-            if used[i]:
-                continue
-            end, value = int(ends[i]), sure[i]
-            while True:
-                tail = max(starts[i], end - HEAD) + np.flatnonzero(self.f["is_cont"][max(starts[i], end - HEAD) : end + 1])
-                far = max((self.reach(int(k)) for k in tail), default=-2)
-                joins = (far >= starts - 1) & ~strong
-                if timed[i]:
-                    joins |= soon & ~(timed & (users != "") & (users[i] != "") & (users != users[i]))
-                joins &= ~used
-                joins[: i + 1] = False
-                if not joins.any():
-                    break
-                j = int(joins.argmax())
-                end, value, used[j] = max(end, int(ends[j])), max(value, sure[j]), True
-            out.append((int(starts[i]), end, value))
-        return [x for x in out if x[2] > 0.1]
+        return join_intervals(starts, ends, sure, strong, self.f["user_time"][starts], [self.users[s] for s in starts], np.flatnonzero(self.f["is_cont"]), self.reach)
 
 
 def _walk(table: pa.Table) -> pa.Table:

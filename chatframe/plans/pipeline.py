@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.functions.text import first_lines, preprocess
+from chatframe.operators.chunks import CHUNK, chunked_features, chunked_intervals, own_lines
 from chatframe.operators.continuation import fold_continuations
 from chatframe.operators.dedup import drop_equal_messages, drop_repeated_blocks, drop_similar_messages
 from chatframe.operators.detect import admission_error, classify, is_likely_chat
@@ -43,6 +44,13 @@ def parse_primary(conversations: DataFrame, settings: Settings | None = None) ->
     return extract_messages(lines, primary_intervals(lines)).select(*MESSAGE)
 
 
+def parse_chunked(conversations: DataFrame, settings: Settings | None = None, size: int = CHUNK) -> DataFrame:
+    """What ``parse_primary`` gives, with a conversation's lines dealt out over tasks by chunks."""
+    seen = chunked_features(conversations, size, settings.phrases if settings else ())
+    seen = store(seen.select(*dict.fromkeys([*INTERVAL_COLUMNS, *LINE_COLUMNS])), "lines")
+    return extract_messages(own_lines(seen), chunked_intervals(seen)).select(*MESSAGE)
+
+
 def parse_fallback(conversations: DataFrame, ref: Column | None = None) -> DataFrame:
     """Messages by the fallback parser."""
     return fallback_messages(conversations, ref if ref is not None else F.lit(REF).cast("timestamp")).select(*MESSAGE)
