@@ -144,6 +144,11 @@ def register_strategy(name: str, strategy: Callable[[Settings, Column], Column])
 def render_conversations(messages: DataFrame, formats: DataFrame | None, ref: Column, settings: Settings | None = None) -> DataFrame:
     """(conv_id, markdown): the blocks of a conversation in order, joined by blank lines. ``formats``
     is (conv_id, format); without it all are standard."""
+    return join_blocks(messages, formats, ref, settings).select("conv_id", postprocess(F.col("joined")).alias("markdown"))
+
+
+def join_blocks(messages: DataFrame, formats: DataFrame | None, ref: Column, settings: Settings | None = None) -> DataFrame:
+    """(conv_id, joined): the same before its outer white space goes."""
     settings = settings or Settings()
     rows = messages
     for c, kind in (("thread_info", "string"), ("msg_date", "timestamp"), ("is_thread_reply", "boolean"), ("reactions", "array<struct<name:string,count:int>>"), ("ts_text", "string")):
@@ -159,7 +164,7 @@ def render_conversations(messages: DataFrame, formats: DataFrame | None, ref: Co
             block = F.when(F.col("_format") == name, STRATEGIES[name](settings, ref)).otherwise(block)
     rows = rows.select("conv_id", "msg_idx", block.alias("block")).where("block is not null")
     joined = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg_idx", "block"))).alias("bs"))
-    return joined.select("conv_id", postprocess(F.array_join(F.transform("bs", lambda b: b["block"]), "\n\n")).alias("markdown"))
+    return joined.select("conv_id", F.array_join(F.transform("bs", lambda b: b["block"]), "\n\n").alias("joined"))
 
 
 def notes(rendered: DataFrame, stats: DataFrame, date: str, settings: Settings | None = None) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatframe.functions import emoji, enrich, names, text, times
-from chatframe.operators import continuation, dedup, detect, embed, extract, fallback, lines, render, segment, standards, stats, validate
+from chatframe.operators import continuation, dedup, detect, embed, extract, fallback, guarded, lines, render, segment, standards, stats, validate
+from chatframe.operators.diagnostics import Log
 from chatframe.operators.enrich import enrich_messages
 from chatframe.plans import pipeline
+from chatframe.plans.memo import format_memoised
 from chatframe.settings import Settings
 from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, read_pastes, read_table, transcripts, turns, write_notes
 from chatframe.storage import shared_dir
@@ -364,6 +366,14 @@ def seg_diagnostics(spark, sf_dir):
     return rows.select("conv_id", "starts", "stamps", "layout", "alignment", F.round("confidence", 9).alias("confidence"))
 
 
+@query(ORACLES["seg_grammars"].removeprefix(T))
+def seg_chunked(spark, sf_dir):
+    """The same with each conversation dealt out by chunks of 4 KiB."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    raw = with_headers(rows, by_number(c("conv_id") % 12, headers()), c("text"))
+    return pipeline.parse_chunked(raw, size=4096).select("conv_id", "msg_idx", "username", "ts_text", "text")
+
+
 @query("SELECT conv_id, ts AS spelling FROM t UNION SELECT conv_id, '[' || ts || ']' FROM t UNION SELECT conv_id, '[' || ts || link FROM t")
 def seg_spellings(spark, sf_dir):
     return segment.timestamp_spellings(lines.explode_lines(transcripts(turns(spark, sf_dir)))).select("conv_id", "spelling")
@@ -730,6 +740,66 @@ def run_primary(spark, sf_dir):
     return pipeline.run(transcripts(rows)).rendered
 
 
+RUN_FAST = f"string_agg('> [!slack]+ Message from ' || username || {NL} || '> **Time:** ' || ts || {NL} || '>' || {NL} || '> so it is, said ' || replace(text, {NL}, {NL} || '> ') || '; 😄 [d](https://ex.org)', {NL} || {NL} ORDER BY turn)"
+
+
+def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts(turns(spark, sf_dir).withColumn("text", cat("so it is, said ", c("text"), "; :smile: <https://ex.org|d>")))
+
+
+@query(f"""SELECT k.conv_id * 2 + i AS conv_id, md5(markdown) AS markdown, 0 AS parsed FROM (SELECT conv_id, {RUN_FAST} AS markdown FROM t GROUP BY conv_id) k, (VALUES (0), (1)) v(i)""")
+def adm_memo(spark, sf_dir):
+    """All transcripts once, and then again, each in two conversations: nothing is left to be formatted."""
+    memo, rows = f"{shared_dir(spark)}/chatframe-memo-{uuid.uuid4().hex}", _decorated(spark, sf_dir)
+    format_memoised(rows, memo, fast=True)
+    twice = rows.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("i"), "*").select((c("conv_id") * 2 + c("i")).alias("conv_id"), "raw")
+    found, parsed = format_memoised(twice, memo, fast=True)
+    return found.select("conv_id", F.md5("markdown").alias("markdown"), F.lit(parsed).cast("int").alias("parsed"))
+
+
+@query(f"""SELECT * FROM (SELECT 'admission' AS stage, 'conversations' AS metric, 'info' AS level, count(DISTINCT conv_id) AS value FROM t UNION ALL SELECT 'folded', 'messages', 'info', count(*) FROM t UNION ALL SELECT 'messages', 'messages', 'info', count(*) FROM t
+  UNION ALL SELECT 'admission', 'characters', 'debug', sum(n)::BIGINT FROM (SELECT length(string_agg(head || {NL} || 'so it is, said ' || text || '; :smile: <https://ex.org|d>', {NL})) AS n FROM h GROUP BY conv_id)
+  UNION ALL SELECT 'messages', 'characters', 'debug', sum(length('so it is, said ' || text || '; 😄 [d](https://ex.org)'))::BIGINT FROM t)""")
+def snk_metrics(spark, sf_dir):
+    """Counts of a debug run's stages by level; no job is run for them."""
+    log = Log(debug=True)
+    pipeline.run(_decorated(spark, sf_dir), fast=True, log=log)
+    return log.table(spark).where("stage <> 'normal'")
+
+
+@query(f""", x AS (SELECT conv_id, turn, 'so it is, said ' || text || '; :smile: <https://ex.org|d>' AS said, head FROM h),
+ ls AS (SELECT conv_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT conv_id, string_split(string_agg(head || {NL} || said, {NL} ORDER BY turn), {NL}) AS ls FROM x GROUP BY conv_id)),
+ u AS (SELECT conv_id, list(line ORDER BY pos) AS ls FROM ls WHERE trim(line) <> '' AND NOT EXISTS (SELECT 1 FROM x WHERE x.conv_id = ls.conv_id AND trim(x.said) = trim(ls.line)) GROUP BY conv_id),
+ m AS (SELECT conv_id, count(*) AS n, {RUN_FAST} AS markdown FROM t GROUP BY conv_id)
+ SELECT conv_id, md5(markdown || {NL} || {NL} || '---' || {NL} || {NL} || '## Debug Information' || {NL} || {NL} || '### Processing Steps' || {NL} || '- Detected format: dm' || {NL} || '- Processed ' || n || ' messages (intelligent)' || {NL} || {NL} || '### Unparsed Content' || {NL} || {NL} || '```' || {NL}
+   || array_to_string(ls[1:50], {NL}) || {NL} || CASE WHEN len(ls) > 50 THEN '... and ' || (len(ls) - 50) || ' more lines' || {NL} ELSE '' END || '```') AS markdown FROM m JOIN u USING (conv_id)""")
+def run_debug(spark, sf_dir):
+    """All stages in debug mode: whole results with their appendix, digested last."""
+    found = pipeline.run(_decorated(spark, sf_dir), Settings(debug=True), fast=True).rendered
+    return found.select("conv_id", F.md5("markdown").alias("markdown"))
+
+
+def _breaks(text_: str) -> str:
+    """A step that doesn't survive every text."""
+    if "<https://ex.org|broken>" in text_:
+        raise ValueError("odd link")
+    return text_
+
+
+@query("""SELECT conv_id, turn AS msg_idx, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN turn::VARCHAR WHEN 2 THEN 'so, ' || text || ' [broken](https://ex.org)' WHEN 3 THEN 'so, ' || text || ' [[user]]' ELSE 'so, ' || text || ' 😄' END AS text,
+  CASE turn % 5 WHEN 2 THEN 'links:fallback:ValueError: odd link' WHEN 3 THEN 'mentions:fallback:no result' WHEN 4 THEN 'emoji:applied:' ELSE '' END AS notable FROM t""")
+def enr_report(spark, sf_dir):
+    """Nulls, numbers and whole texts through a chain of which two steps fail on some: a Python step by an
+    exception, a native one by a null."""
+    k, t = c("msg_idx") % 5, c("text")
+    made = F.when(k == 0, F.lit(None)).when(k == 1, c("msg_idx").cast("string")).when(k == 2, cat("so, ", t, " <https://ex.org|broken>")).when(k == 3, cat("so, ", t, " <@U7>")).otherwise(cat("so, ", t, " :smile:"))
+    rows = messages_of(turns(spark, sf_dir)).withColumn("text", made)
+    broken = {"links": [enrich.InPython(_breaks), enrich.convert_links], "mentions": [lambda x: F.when(~x.contains("<@U7>"), enrich.convert_mentions(x))]}
+    found = guarded.enrich_guarded(rows, Settings(), steps=broken)
+    notable = F.filter("done", lambda d: d["outcome"] != "unchanged")
+    return found.select("conv_id", "msg_idx", "text", F.array_join(F.transform(notable, lambda d: F.concat_ws(":", d["step"], d["outcome"], F.coalesce(d["error"], F.lit("")))), ";").alias("notable"))
+
+
 @query()
 def run_prose(spark, sf_dir):
     """All stages over transcripts of the table's own prose, as it is."""
