@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatframe.functions.text import trim_u, unlines
+from chatframe.functions.text import let, trim_u, unlines
 from chatframe.operators.embed import PRIORITY, embedded
 from chatframe.operators.lines import explode_lines
 from chatframe.storage import store
@@ -19,6 +19,8 @@ from chatframe.storage import store
 BLOCK_START = r"^[A-Za-z\s]+\s+\[.+\]\(https?://.+\)|^[A-Za-z\s]+\s+\d{1,2}:\d{2}\s*(?:AM|PM)?"
 KEY_LINES, TIME_CHARS, TEXT_CHARS = 3, 20, 100
 SIMILAR, MIN_CHARS, DISTANCE, EDITS = 0.95, 15, 3, 0.3
+#: Similarity of characters and of words without which the whole can't reach ``SIMILAR``.
+CHARS, WORDS = 0.8333, 0.8749
 
 
 def drop_repeated_blocks(conversations: DataFrame, col: str = "raw") -> DataFrame:
@@ -46,27 +48,54 @@ def drop_equal_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
+def char_set(c: Column) -> Column:
+    """The characters of a text, without spaces and case."""
+    return F.filter(F.array_distinct(F.split(F.regexp_replace(F.lower(c), "[ \t\r\n]", ""), "")), lambda v: v != "")
+
+
+def word_set(c: Column) -> Column:
+    """The words of a text; single signs aren't words."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) > 1) | w.rlike("^[a-z0-9]$")))
+
+
+def jaccard(x: Column, y: Column, of_none: float) -> Column:
+    """Jaccard of two sets as arrays; ``of_none`` if both are empty."""
+    shared = lambda both: let(F.size(F.array_intersect(both["x"], both["y"])), lambda i: F.when(F.size(both["x"]) + F.size(both["y"]) == 0, of_none).otherwise(i / (F.size(both["x"]) + F.size(both["y"]) - i)))
+    return let(F.struct(x.alias("x"), y.alias("y")), shared)
+
+
 def char_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of the sets of characters, without spaces and case."""
-    chars = lambda c: F.array_distinct(F.split(F.regexp_replace(F.lower(c), "[ \t\r\n]", ""), ""))
-    x, y = F.filter(chars(a), lambda v: v != ""), F.filter(chars(b), lambda v: v != "")
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return jaccard(char_set(a), char_set(b), 0.0)
 
 
 def word_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of the sets of words; single signs aren't words. Two empty sets are alike."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) > 1) | w.rlike("^[a-z0-9]$")))
-    x, y = words(a), words(b)
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    """Two texts without words are alike."""
+    return jaccard(word_set(a), word_set(b), 1.0)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike: halving steps, each a comparison of a stretch."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(22, -1, -1)]), lambda x: x <= most)
+    same = lambda at, x: (at + x <= most) & (F.substr(a, at + 1, x) == F.substr(b, at + 1, x))
+    return F.aggregate(steps, F.lit(0), lambda at, x: F.when(same(at, x), at + x).otherwise(at))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """A struct (a, b): two texts without what they begin and end with alike, which no edit changes."""
+
+    def begun(t: Column) -> Column:
+        return let(common_prefix(t["a"], t["b"]), lambda n: F.struct(*(F.reverse(F.substr(t[x], n + 1, F.length(t[x]))).alias(x) for x in "ab")))
+
+    return let(let(F.struct(a.alias("a"), b.alias("b")), begun), begun)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edits / length, or 0 beyond three tenths of the length."""
     n = F.greatest(F.length(a), F.length(b))
     most = F.floor(n * EDITS).cast("int")
-    distance = F.call_function("levenshtein", a, b, most)
-    return F.when(n == 0, 1.0).when(F.abs(F.length(a) - F.length(b)) > most, 0.0).otherwise(F.when(distance < 0, 0.0).otherwise((n - distance) / n))
+    distance = let(apart(a, b), lambda t: F.call_function("levenshtein", t["a"], t["b"], most))
+    return F.when(n == 0, 1.0).when(F.abs(F.length(a) - F.length(b)) > most, 0.0).otherwise(let(distance, lambda d: F.when(d < 0, 0.0).otherwise((n - d) / n)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -87,15 +116,20 @@ def content_blocks(messages: DataFrame) -> DataFrame:
 def similar_blocks(blocks: DataFrame) -> DataFrame:
     """(conv_id, a, b): block numbers, a before b, of different contents that are alike, at most
     three messages apart. A band join: blocks meet by conversation and by stretch of four messages,
-    a later one also in the stretch before. Cheap bounds go before the edit distance."""
-    side = lambda s: blocks.select("conv_id", F.col("block_no").alias(s), F.col("msg_idx").alias(f"m{s}"), F.col("content").alias(f"c{s}"))
-    left = side("a").withColumn("at", F.floor(F.col("ma") / (DISTANCE + 1)).cast("int"))
-    right = side("b").withColumn("at", F.explode(F.array_distinct(F.array(F.floor(F.col("mb") / (DISTANCE + 1)).cast("int"), F.floor((F.col("mb") - DISTANCE) / (DISTANCE + 1)).cast("int")))))
-    a, b = F.col("ca"), F.col("cb")
-    near = (F.col("a") < F.col("b")) & (F.col("mb") - F.col("ma") <= DISTANCE) & (a != b)
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    pairs = left.join(right, ["conv_id", "at"]).where(near & (short >= long * 0.8))
-    pairs = pairs.where(word_similarity(a, b) >= 0.875).where(char_similarity(a, b) >= 0.8334).where(similarity(a, b) >= SIMILAR)
+    a later one also in the stretch before. Sets are made once a block, and cheap bounds go before dear
+    ones: lengths, characters, words, edits."""
+    sets = blocks.select("conv_id", "block_no", "msg_idx", "content", char_set(F.col("content")).alias("chars"), word_set(F.col("content")).alias("words"))
+    side = lambda s: sets.select("conv_id", F.col("block_no").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("msg_idx", "content", "chars", "words")])
+    left = side("a").withColumn("at", F.floor(F.col("msg_idx_a") / (DISTANCE + 1)).cast("int"))
+    right = side("b").withColumn("at", F.explode(F.array_distinct(F.array(F.floor(F.col("msg_idx_b") / (DISTANCE + 1)).cast("int"), F.floor((F.col("msg_idx_b") - DISTANCE) / (DISTANCE + 1)).cast("int")))))
+    a, b = F.col("content_a"), F.col("content_b")
+    near = (F.col("a") < F.col("b")) & (F.col("msg_idx_b") - F.col("msg_idx_a") <= DISTANCE) & (a != b)
+    as_long = lambda x, y, least: F.least(x, y) >= F.greatest(x, y) * least
+    sized = as_long(F.length(a), F.length(b), 0.8) & as_long(F.size("chars_a"), F.size("chars_b"), CHARS) & as_long(F.size("words_a"), F.size("words_b"), WORDS)
+    pairs = left.join(right, ["conv_id", "at"]).where(near & sized)
+    pairs = pairs.withColumn("chars", jaccard(F.col("chars_a"), F.col("chars_b"), 0.0)).where(F.col("chars") >= CHARS)
+    pairs = pairs.withColumn("words", jaccard(F.col("words_a"), F.col("words_b"), 1.0)).where(F.col("words") >= WORDS)
+    pairs = pairs.where(F.col("chars") * 0.3 + F.col("words") * 0.4 + edit_similarity(a, b) * 0.3 >= SIMILAR)
     return pairs.select("conv_id", "a", "b").distinct()
 
 
