@@ -1,7 +1,9 @@
 """Alignment, manifest and slack packing against plain loops over the same rows."""
 
 import hashlib
+import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chatframe.llm import alignment, manifest, queries, slack_packing
+from chatframe.llm import alignment, language_id, manifest, queries, slack_packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, tree string, pos long"
 A, RANKS, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -203,3 +205,61 @@ def test_plan_has_a_bound_of_its_own():
     small = Counter(min(256, int(rng.lognormvariate(4, 1)) + 1) for _ in range(5_000))
     steps = [len(slack_packing.plan({k: n * by for k, n in small.items()}, 256)) for by in (1, 1_000, 1_000_000)]
     assert steps[2] < 2 * steps[1] < 20_000
+
+
+def plain_mixture(words):
+    """Proportions of one text by plain loops: EM from equal shares, over sets that grow by the shares
+    that all languages together get, and the set of the best penalised likelihood."""
+    n, count = len(words), len(words[0])
+    given = [[max(math.exp(x - max(w)), 1e-30) for x in w] for w in words]
+
+    def em(which):
+        pi = dict.fromkeys(which, 1 / len(which))
+        for _ in range(language_id.ROUNDS):
+            sums = dict.fromkeys(which, 0.0)
+            for e in given:
+                whole = sum(e[j] * pi[j] for j in which)
+                for j in which:
+                    sums[j] += e[j] * pi[j] / whole
+            pi = {j: sums[j] / n for j in which}
+        return pi
+
+    full = em(range(count))
+    order = sorted(range(count), key=lambda j: -full[j])
+    single = max(range(count), key=lambda j: sum(math.log(e[j]) for e in given))
+    sets = [({single: 1.0}, sum(math.log(e[single]) for e in given) - 0.5 * math.log(n))]
+    for k in range(2, count + 1):
+        if full[order[k - 1]] <= 0.5 / n:
+            break
+        pi = em(order[:k])
+        sets.append((pi, sum(math.log(sum(e[j] * pi[j] for j in pi)) for e in given) - 0.5 * k * math.log(n)))
+    best = max(sets, key=lambda x: x[1])[0]
+    return [best.get(j, 0.0) for j in range(count)]
+
+
+def test_inference_against_plain_loops(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = np.log(rng.dirichlet(np.full(1 << language_id.BUCKET_BITS, 0.02), 4).T + 1e-12).astype(np.float32)
+    letters = "abcdefghijklmnop"
+    texts = [" ".join("".join(letters[i] for i in rng.integers(0, 16, rng.integers(1, 7))) for _ in range(rng.integers(1, 40))) for _ in range(12)]
+    words = [language_id.word_likelihoods(t, model) for t in texts]
+    got = language_id.infer(words)
+    for t, w, g in zip(texts, words, got, strict=True):
+        assert np.allclose(g, plain_mixture(w.astype(float).tolist()), atol=1e-6)
+    monkeypatch.setattr(language_id, "SLICE", 64)  # slices of sixteen letters
+    for t, g in zip(texts, got, strict=True):
+        assert np.allclose(g, language_id.infer_large(t, model), atol=1e-4)
+    assert language_id.infer_large("a" * 500 + " b", model).sum() == pytest.approx(1)
+
+
+def test_many_languages_in_bounded_memory():
+    """A thousand languages, and a text whose words by languages would take gigabytes."""
+    rng = np.random.default_rng(4)
+    model = np.log(rng.random((1 << language_id.BUCKET_BITS, 1000), np.float32) + 0.01)
+    text = " ".join("".join(chr(97 + i) for i in rng.integers(0, 26, 5)) for _ in range(20_000)) + " " + "x" * 30_000
+    model[language_id._grams(language_id._codes(text))[0], 77] += 3
+    tracemalloc.start()
+    found = language_id.infer_large(text, model)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert found.argmax() == 77 and found[77] > 0.9
