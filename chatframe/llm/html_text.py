@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+import textwrap
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -53,9 +54,11 @@ IMPLIED = {
 }
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 CELL_GAP = "  "
-#: Layout that deep or uneven markup can't multiply: indents in a line, columns' widest, tables within
-#: tables that are aligned, and cells of a grid beyond twice those that are there.
-INDENTS, COLUMN, NESTED, GRID = 20, 60, 8, 4096
+#: Layout that deep or uneven markup can't multiply: indents in a line, columns' widest (longer lines go on
+#: below, and inner tables are up to LAID wide), tables within tables that are aligned, and cells of a
+#: grid beyond twice those that are there.
+INDENTS, COLUMN, LAID, NESTED, GRID = 20, 60, 240, 64, 4096
+WRAP = textwrap.TextWrapper(width=COLUMN, break_long_words=False, break_on_hyphens=False, expand_tabs=False, replace_whitespace=False)
 
 
 def tokens(text: str) -> Iterator[tuple[str, str, str]]:
@@ -230,7 +233,7 @@ class Flow:
         if self.marker:
             pad = pad[: -len(self.marker)] + self.marker
             self.marker = ""
-        self.lines.append((pad + s).rstrip())
+        self.lines.append(type(s)((pad + s).rstrip()))
 
     def block(self, set_off: bool) -> None:
         self.end_line()
@@ -270,9 +273,9 @@ class Table:
         return out
 
     def lines(self) -> list[str]:
-        """The table's lines, in columns as wide as their widest cell of one column. Cells wider than
-        COLUMN don't widen theirs. Where aligning would mostly add blanks, cells follow each other,
-        so that what comes out is in proportion to what went in."""
+        """The table's lines, in columns as wide as their widest cell of one column. Lines longer than
+        COLUMN go on below, between words. Where aligning would mostly add blanks, cells follow each
+        other, so that what comes out is in proportion to what went in."""
         grid = self.grid()
         if grid is None:
             return [line for row in self.rows for line in _beside([(lines, 0) for lines, _, _ in row])]
@@ -280,28 +283,60 @@ class Table:
         for row in grid:
             for at, span, lines in row:
                 if span == 1:
-                    widths[at] = max(widths.get(at, 0), min(COLUMN, max(map(len, lines), default=0)))
+                    widths[at] = max(widths.get(at, 0), max(map(_asked, lines), default=0))
         out = []
         for row in grid:
             cells, at = [], 0
             for column, span, lines in row:
                 cells += [([], widths.get(c, 0)) for c in range(at, column)]
-                cells.append((lines, sum(widths.get(c, 0) for c in range(column, column + span)) + len(CELL_GAP) * (span - 1)))
+                cells.append((_wrapped(lines), sum(widths.get(c, 0) for c in range(column, column + span)) + len(CELL_GAP) * (span - 1)))
                 at = column + span
             out += _beside(cells)
         return out
 
 
+class Laid(str):
+    """A line of a table: it isn't broken where it stands in a cell."""
+
+
+def _asked(line: str) -> int:
+    """The width that a line wants its column to have."""
+    return min(LAID if isinstance(line, Laid) else COLUMN, len(line))
+
+
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines of a cell that are longer than COLUMN, cut between words."""
+    if not any(len(x) > COLUMN for x in lines):
+        return lines
+    return [y for x in lines for y in ([x] if len(x) <= COLUMN or isinstance(x, Laid) else WRAP.wrap(x) or [""])]
+
+
 def _beside(cells: list[tuple[list[str], int]]) -> list[str]:
-    """Cells (lines, width) side by side, or one below the other where few of them have a line."""
+    """Cells (lines, width) side by side, or one below the other where few of them have a line. Behind a
+    line that is wider than its column the row goes on below, so that columns stay aligned."""
     tall, every = max((len(lines) for lines, _ in cells), default=0), sum(len(lines) for lines, _ in cells)
-    if tall * len(cells) > 8 * every + 64:
-        return [x for lines, _ in cells for x in lines]
-    return [CELL_GAP.join((lines[k] if k < len(lines) else "").ljust(width) for lines, width in cells).rstrip() for k in range(tall)]
+    wide = sum(len(x) > width for lines, width in cells[:-1] for x in lines)
+    if (tall + wide) * len(cells) > 8 * every + 64:
+        return [Laid(x) for lines, _ in cells for x in lines]
+    out = []
+    for k in range(tall):
+        line: list[str] = []
+        for i, (lines, width) in enumerate(cells):
+            x = lines[k] if k < len(lines) else ""
+            line.append(x.ljust(width))
+            if len(x) > width and any(k < len(later) and later[k] for later, _ in cells[i + 1 :]):
+                out.append(CELL_GAP.join(line))
+                line = [" " * w for _, w in cells[: i + 1]]
+        out.append(CELL_GAP.join(line))
+    return [Laid(x.rstrip()) for x in out]
 
 
 def _attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(rest)}
+    """Of attributes with one name the first counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(rest):
+        found.setdefault(m[1].lower(), html.unescape((m[2] or "").strip("\"'")))
+    return found
 
 
 def _number(value: str | None, default: int) -> int:

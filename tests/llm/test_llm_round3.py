@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chatframe.llm import alignment, language_id, manifest, queries, slack_packing
+from chatframe.llm import alignment, html_text, language_id, manifest, queries, slack_packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, tree string, pos long"
 A, RANKS, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -263,3 +263,32 @@ def test_many_languages_in_bounded_memory():
     assert tracemalloc.get_traced_memory()[1] < 200 << 20
     tracemalloc.stop()
     assert found.argmax() == 77 and found[77] > 0.9
+
+
+def test_wide_cells_keep_columns_aligned():
+    sentence = "this cell holds a sentence of some length, seventy-five characters and more"
+    page = f"<table><tr><td>a<td>{sentence}<td>end<tr><td>bb<td>short<td>last</table>"
+    lines = html_text.render(page).split("\n")
+    assert " ".join(lines[0].split()[1:-1] + lines[1].split()) == sentence
+    assert lines[0].index("end") == lines[-1].index("last") and lines[0].index("this") == lines[1].index(lines[1].strip()) == lines[-1].index("short")
+    long_word = html_text.render(f"<table><tr><td>{'w' * 90}<td>next<tr><td>x<td>y</table>").split("\n")
+    assert long_word[0] == "w" * 90 and long_word[1].index("next") == long_word[2].index("y")
+
+
+def test_tables_in_tables_stay_laid_out():
+    inner = "<table>" + "".join(f"<tr><td>{'c' * (20 + i)}<td>{'d' * 30}<td>{i}" for i in range(3)) + "</table>"
+    lines = html_text.render(f"<table><tr><td>{inner}<td>right</table>").split("\n")
+    assert len(lines) == 3 and len({x.index("d") for x in lines}) == 1 and lines[0].endswith("right")
+    page = "one<table><tr><td>a<td>b</table>"
+    for _ in range(20):
+        page = f"<table><tr><td>{page}<td>z</table>"
+    assert "a  b" in html_text.render(page)  # the twentieth table within tables still has its columns
+
+
+def test_wide_rows_stay_in_proportion():
+    for page in ("<table>" + ("<tr>" + ("<td>" + "w" * 61) * 300) * 10 + "</table>", "<table><tr><td>" * 3000 + "x\n" * 50, "<table>" + ("<tr>" + "<td>" * 200 + "v " * 200) * 20):
+        assert len(html_text.render(page)) < 20 * len(page)
+
+
+def test_the_first_of_equal_attributes_counts():
+    assert html_text.render('<p style="color:red" style="display:none">seen</p><p hidden hidden=x>not</p>') == "seen"
