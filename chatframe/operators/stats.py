@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def conversation_stats(messages: DataFrame, formats: DataFrame | None = None) -> DataFrame:
     """(conv_id, message_count, unique_users, thread_replies, format)."""
     rows = messages.groupBy("conv_id").agg(
@@ -31,3 +30,14 @@ def failure_stats(conversations: DataFrame, col: str = "raw") -> DataFrame:
 def user_rollup(messages: DataFrame) -> DataFrame:
     """Extension: message counts by conversation and user, with subtotals and the total."""
     return messages.rollup("conv_id", "username").agg(F.count("*").alias("message_count"), F.grouping_id().alias("level"))
+
+
+def user_sketches(messages: DataFrame, precision: int = 12) -> DataFrame:
+    """(conv_id, day, users): a sketch of each conversation's users by day. Sketches merge, so they are
+    stored once and a day's users are counted without its messages; 2 ** ``precision`` registers each."""
+    return messages.groupBy("conv_id", "day").agg(F.hll_sketch_agg("username", precision).alias("users"))
+
+
+def users_by_day(sketches: DataFrame) -> DataFrame:
+    """(day, estimate): distinct users over all conversations, each conversation's sketch merged."""
+    return sketches.groupBy("day").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("estimate"))

@@ -20,7 +20,7 @@ from chatframe.plans import pipeline
 from chatframe.plans.memo import format_memoised
 from chatframe.settings import Settings
 from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, read_pastes, read_table, transcripts, turns, write_notes
-from chatframe.storage import shared_dir
+from chatframe.storage import shared_dir, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -331,6 +331,19 @@ def fb_grammars(spark, sf_dir):
     return pipeline.parse_fallback(with_headers(rows, by_number(c("conv_id") % 7, headers()[:7]), c("text"))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
+@query(f"""SELECT conv_id, n AS msg_idx, username, {prose_sql()} AS text, (make_date(2023 - (conv_id % 2)::INTEGER, ((turn - turn % 3) % 12 + 1)::INTEGER, 8))::VARCHAR AS day,
+  (make_date(2023 - (conv_id % 2)::INTEGER, ((lt - lt % 3) % 12 + 1)::INTEGER, 8))::VARCHAR AS last_day FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS lt FROM h)""")
+def fb_dates(spark, sf_dir):
+    """Several separators in a conversation, in two years: a message has the date of the last one above it,
+    or, as the survey's parser has it, all have that of the last one."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    month = F.element_at(F.array(*map(F.lit, "January February March April May June July August September October November December".split())), (c("msg_idx") - c("msg_idx") % 3) % 12 + 1)
+    head = cat(F.when(c("msg_idx") % 3 == 0, cat("--- ", month, " 8, ", 2023 - c("conv_id") % 2, " ---\n")).otherwise(""), headers()[0])
+    raw = with_headers(rows, head, c("text"))
+    day = lambda as_of: fallback.fallback_messages(raw, now(), as_of=as_of).select("conv_id", "msg_idx", "username", "text", F.to_date("msg_date").cast("string").alias("day"))
+    return day(True).join(day(False).select("conv_id", "msg_idx", c("day").alias("last_day")), ["conv_id", "msg_idx"])
+
+
 @query(f"""SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} || repeat({NL} || 'so it goes, said they; good?', 6) || {NL} || CASE conv_id % 7 WHEN 0 THEN '[3:09](https://chat.example/archives/C1/p9)' WHEN 1 THEN '3:09 PM' WHEN 2 THEN '[3:09 PM]' WHEN 3 THEN 'See more' WHEN 4 THEN 'Also,'
   WHEN 5 THEN 'Today at 3:09 PM' ELSE '' END || {NL} || 'and so it goes on, said nobody; good?' AS text, CASE WHEN conv_id % 7 = 6 THEN 1 ELSE 0 END AS n_reactions FROM h""")
 def seg_continuations(spark, sf_dir):
@@ -374,6 +387,16 @@ def seg_chunked(spark, sf_dir):
     return pipeline.parse_chunked(raw, size=4096).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
+@query(f""", m AS (SELECT *, CASE WHEN turn % 4 = 2 THEN 'See more' || {NL} ELSE '' END || {prose_sql()} AS said, min(n) OVER (PARTITION BY conv_id, username) AS f, max(CASE WHEN turn % 4 = 2 THEN n END) OVER (PARTITION BY conv_id, username) AS l FROM h),
+ k AS (SELECT conv_id, n, username, ts, CASE WHEN n = f AND l > f THEN said || {NL} || (SELECT string_agg(o.username || '  [' || o.ts || '](https://chat.example/archives/C1/p1)' || {NL} || o.said, {NL} ORDER BY o.n) FROM m o WHERE o.conv_id = m.conv_id AND o.n > m.f AND o.n <= m.l) ELSE said END AS text FROM m WHERE turn % 4 <> 2 OR n = f)
+ SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY n) - 1)::INTEGER AS msg_idx, username, ts AS ts_text, text FROM k""")
+def seg_joined(spark, sf_dir):
+    """A message that starts with a line that carries on joins the first one of its author, which then goes
+    on to its end: intervals overlap, and what is between stays a message of its own as well."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    return pipeline.parse_primary(with_headers(rows, headers()[0], cat(F.when(c("msg_idx") % 4 == 2, "See more\n").otherwise(""), c("text")))).select("conv_id", "msg_idx", "username", "ts_text", "text")
+
+
 @query("SELECT conv_id, ts AS spelling FROM t UNION SELECT conv_id, '[' || ts || ']' FROM t UNION SELECT conv_id, '[' || ts || link FROM t")
 def seg_spellings(spark, sf_dir):
     return segment.timestamp_spellings(lines.explode_lines(transcripts(turns(spark, sf_dir)))).select("conv_id", "spelling")
@@ -718,6 +741,17 @@ def agg_failure(spark, sf_dir):
     return stats.failure_stats(transcripts(turns(spark, sf_dir).withColumn("text", cat(c("text"), " <@U", c("turn"), ">"))))
 
 
+@query("SELECT day, k AS users, true AS near, true AS merges FROM (SELECT turn % 7 AS day, count(DISTINCT role || conv_id) AS k FROM t GROUP BY 1)")
+def agg_sketch(spark, sf_dir):
+    """Users by day from sketches of users by conversation and day, stored and merged, beside exact counts."""
+    rows = messages_of(turns(spark, sf_dir)).select("conv_id", (c("msg_idx") % 7).alias("day"), cat(c("username"), " of ", c("conv_id")).alias("username"))
+    stored = store(stats.user_sketches(rows), "sketches")
+    once = stats.user_sketches(rows.withColumn("conv_id", F.lit(0))).select("day", F.hll_sketch_estimate("users").alias("at_once"))
+    exact = rows.groupBy("day").agg(F.countDistinct("username").alias("users"))
+    found = exact.join(stats.users_by_day(stored), "day").join(once, "day")
+    return found.select("day", "users", (F.abs(c("estimate") - c("users")) <= 0.05 * c("users") + 1).alias("near"), (F.abs(c("estimate") - c("at_once")) <= 0.02 * c("users") + 1).alias("merges"))
+
+
 @query("SELECT conv_id, username, count(*) AS message_count, (grouping(conv_id) * 2 + grouping(username))::BIGINT AS level FROM t GROUP BY ROLLUP (conv_id, username)")
 def ext_rollup(spark, sf_dir):
     """Extension, not an operator of the survey: subtotals by conversation and user."""
