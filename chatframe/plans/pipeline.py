@@ -35,6 +35,11 @@ def normalise(conversations: DataFrame, settings: Settings | None = None) -> Dat
     return rows.select("conv_id", first_lines(F.col("raw"), settings.max_lines).alias("raw"))
 
 
+def admitted(conversations: DataFrame) -> DataFrame:
+    """Conversations within the bounds of admission, which parsers rely on: one of them is a group."""
+    return conversations.where(admission_error(F.coalesce("raw", F.lit(""))).isNull())
+
+
 def parse_headers(conversations: DataFrame) -> DataFrame:
     rows = header_segments(conversations)
     return rows.withColumns({"thread_info": F.lit(None).cast("string"), "reactions": F.array().cast("array<struct<name:string,count:int>>")}).select(*MESSAGE)

@@ -253,7 +253,7 @@ def fb_line_scores(spark, sf_dir):
 def fb_parse(spark, sf_dir):
     """The fallback parser on transcripts."""
     rows = turns(spark, sf_dir).withColumn("text", as_prose())
-    return pipeline.parse_fallback(transcripts(rows)).select("conv_id", "msg_idx", "username", "ts_text", "text")
+    return pipeline.parse_fallback(pipeline.admitted(transcripts(rows))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
 @query(f"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN {prose_sql()} || chr(10) || chr(10) || '📎 2 files - Added by X' ELSE {prose_sql()} END AS text, CASE turn % 3 WHEN 1 THEN 1 ELSE 0 END AS n_reactions, CASE turn % 3 WHEN 2 THEN '3 replies View thread' END AS thread_info FROM t")
@@ -302,7 +302,7 @@ def seg_roundtrip(spark, sf_dir):
 def seg_primary(spark, sf_dir):
     """The primary parser on transcripts whose texts' lines can't be taken for headers."""
     rows = turns(spark, sf_dir).withColumn("text", as_prose())
-    return pipeline.parse_primary(transcripts(rows)).select("conv_id", "msg_idx", "username", "ts_text", "text")
+    return pipeline.parse_primary(pipeline.admitted(transcripts(rows))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
 def headers() -> list[Column]:
@@ -321,14 +321,14 @@ def headers() -> list[Column]:
 def seg_grammars(spark, sf_dir):
     """The primary parser over twelve header grammars."""
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
-    return pipeline.parse_primary(with_headers(rows, by_number(c("conv_id") % 12, headers()), c("text"))).select("conv_id", "msg_idx", "username", "ts_text", "text")
+    return pipeline.parse_primary(pipeline.admitted(with_headers(rows, by_number(c("conv_id") % 12, headers()), c("text")))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
 @query(f"SELECT conv_id, n AS msg_idx, username, CASE conv_id % 7 WHEN 5 THEN 'Feb 6th at ' WHEN 6 THEN 'Monday at ' ELSE '' END || ts AS ts_text, {prose_sql()} AS text FROM h")
 def fb_grammars(spark, sf_dir):
     """The fallback parser over the grammars it knows."""
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
-    return pipeline.parse_fallback(with_headers(rows, by_number(c("conv_id") % 7, headers()[:7]), c("text"))).select("conv_id", "msg_idx", "username", "ts_text", "text")
+    return pipeline.parse_fallback(pipeline.admitted(with_headers(rows, by_number(c("conv_id") % 7, headers()[:7]), c("text")))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
 @query(f"""SELECT conv_id, n AS msg_idx, username, {prose_sql()} AS text, (make_date(2023 - (conv_id % 2)::INTEGER, ((turn - turn % 3) % 12 + 1)::INTEGER, 8))::VARCHAR AS day,
@@ -340,7 +340,7 @@ def fb_dates(spark, sf_dir):
     month = F.element_at(F.array(*map(F.lit, "January February March April May June July August September October November December".split())), (c("msg_idx") - c("msg_idx") % 3) % 12 + 1)
     head = cat(F.when(c("msg_idx") % 3 == 0, cat("--- ", month, " 8, ", 2023 - c("conv_id") % 2, " ---\n")).otherwise(""), headers()[0])
     raw = with_headers(rows, head, c("text"))
-    day = lambda as_of: fallback.fallback_messages(raw, now(), as_of=as_of).select("conv_id", "msg_idx", "username", "text", F.to_date("msg_date").cast("string").alias("day"))
+    day = lambda as_of: fallback.fallback_messages(pipeline.admitted(raw), now(), as_of=as_of).select("conv_id", "msg_idx", "username", "text", F.to_date("msg_date").cast("string").alias("day"))
     return day(True).join(day(False).select("conv_id", "msg_idx", c("day").alias("last_day")), ["conv_id", "msg_idx"])
 
 
@@ -352,7 +352,7 @@ def seg_continuations(spark, sf_dir):
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
     middle = by_number(c("conv_id") % 7, [F.lit(x) for x in ("[3:09](https://chat.example/archives/C1/p9)", "3:09 PM", "[3:09 PM]", "See more", "Also,", "Today at 3:09 PM", "\n3 replies")])
     body = cat(c("text"), F.repeat(F.lit("\nso it goes, said they; good?"), F.lit(6)), "\n", middle, "\nand so it goes on, said nobody; good?", F.when(c("conv_id") % 7 == 6, "\n😄 4\nView thread").otherwise(""))
-    found = pipeline.parse_primary(with_headers(rows, headers()[0], body))
+    found = pipeline.parse_primary(pipeline.admitted(with_headers(rows, headers()[0], body)))
     return found.select("conv_id", "msg_idx", "username", "ts_text", "text", F.size("reactions").alias("n_reactions"))
 
 
@@ -362,7 +362,7 @@ def fb_continuations(spark, sf_dir):
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
     middle = by_number(c("conv_id") % 7, [F.lit(x) for x in ("[3:09](https://chat.example/archives/C1/p9)", "3:09 PM", "[3:09 PM]", "See more", "Also,", "3 replies", "View thread")])
     body = cat(c("text"), "\n", middle, "\nand so it goes on, said nobody; good?")
-    return pipeline.parse_fallback(with_headers(rows, headers()[0], body)).select("conv_id", "msg_idx", "username", "ts_text", "text", "thread_info")
+    return pipeline.parse_fallback(pipeline.admitted(with_headers(rows, headers()[0], body))).select("conv_id", "msg_idx", "username", "ts_text", "text", "thread_info")
 
 
 @query(LINES.replace(f"{NL} || text", f"{NL} || {prose_sql()}") + "SELECT conv_id, line_no, 4 AS score FROM l WHERE regexp_matches(x, 'archives/C1/p')")
@@ -375,7 +375,7 @@ def seg_scores(spark, sf_dir):
   0.2 + 0.2 * least(1.0, 3.0 / (2 * d + starts)) + CASE WHEN (2 * d + starts) / (3 * d + 2 * starts)::DOUBLE > 0.7 THEN 0.2 ELSE 0.1 END + 0.2 AS confidence
   FROM (SELECT conv_id, count(*) AS starts, count(DISTINCT ts) AS d FROM h GROUP BY conv_id)""")
 def seg_diagnostics(spark, sf_dir):
-    rows = segment.diagnostics(segment.primary_lines(transcripts(turns(spark, sf_dir).withColumn("text", as_prose()))))
+    rows = segment.diagnostics(segment.primary_lines(pipeline.admitted(transcripts(turns(spark, sf_dir).withColumn("text", as_prose())))))
     return rows.select("conv_id", "starts", "stamps", "layout", "alignment", F.round("confidence", 9).alias("confidence"))
 
 
@@ -384,7 +384,7 @@ def seg_chunked(spark, sf_dir):
     """The same with each conversation dealt out by chunks of 4 KiB."""
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
     raw = with_headers(rows, by_number(c("conv_id") % 12, headers()), c("text"))
-    return pipeline.parse_chunked(raw, size=4096).select("conv_id", "msg_idx", "username", "ts_text", "text")
+    return pipeline.parse_chunked(pipeline.admitted(raw), size=4096).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
 @query(f""", m AS (SELECT *, CASE WHEN turn % 4 = 2 THEN 'See more' || {NL} ELSE '' END || {prose_sql()} AS said, min(n) OVER (PARTITION BY conv_id, username) AS f, max(CASE WHEN turn % 4 = 2 THEN n END) OVER (PARTITION BY conv_id, username) AS l FROM h),
@@ -394,7 +394,7 @@ def seg_joined(spark, sf_dir):
     """A message that starts with a line that carries on joins the first one of its author, which then goes
     on to its end: intervals overlap, and what is between stays a message of its own as well."""
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
-    return pipeline.parse_primary(with_headers(rows, headers()[0], cat(F.when(c("msg_idx") % 4 == 2, "See more\n").otherwise(""), c("text")))).select("conv_id", "msg_idx", "username", "ts_text", "text")
+    return pipeline.parse_primary(pipeline.admitted(with_headers(rows, headers()[0], cat(F.when(c("msg_idx") % 4 == 2, "See more\n").otherwise(""), c("text"))))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
 @query("SELECT conv_id, ts AS spelling FROM t UNION SELECT conv_id, '[' || ts || ']' FROM t UNION SELECT conv_id, '[' || ts || link FROM t")
