@@ -28,7 +28,7 @@ from chatframe.llm.common import store
 from chatframe.llm.packing import PLAIN, encoder
 
 #: Characters of a block's texts; a longer text is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 1_500_000
 #: Links of a group up to which they are taken one by one; in larger groups equal ids are counted first.
 SMALL = 64
 B_BITS = 32

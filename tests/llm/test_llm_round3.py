@@ -66,7 +66,7 @@ def plainly_aligned(texts):
 def test_alignment_against_plain_loops(docs, texts, empty, monkeypatch):
     columns = ("n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
     want = list(plainly_aligned(texts))
-    for block in (4_000_000, 900):
+    for block in (1_500_000, 900):
         monkeypatch.setattr(alignment, "BLOCK", block)
         got = {r.doc_id: tuple(r[c] for c in columns) for r in alignment.align(docs.repartition(3), A, RANKS, B).collect()}
         assert [got[i] for i in range(len(texts))] == want
