@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +94,12 @@ def hits(c: Column) -> dict[str, Column]:
     """For each layout the lines, of the first ``SCANNED`` that aren't blank, that show it; and how
     many lines there are."""
     lines = F.filter(F.transform(F.slice(lines_of(c), 1, SCANNED), trim_u), lambda x: x != "")
-    shows = lambda patterns: lambda x: any_match(x, patterns)
+    doubled = [p for p in LAYOUTS["dm"] if "\\1" in p]  # these need a clock in brackets, which is looked for first
+
+    def shows(patterns: list[str]) -> Callable[[Column], Column]:
+        plain, twice = [p for p in patterns if p not in doubled], [p for p in patterns if p in doubled]
+        return lambda x: any_match(x, plain) | (x.rlike(r"\s\[\d{1,2}:\d{2}") & any_match(x, twice)) if twice else any_match(x, plain)
+
     return {k: F.size(F.filter(lines, shows(p))) for k, p in LAYOUTS.items()} | {"lines": F.greatest(F.size(lines), F.lit(1))}
 
 

@@ -34,7 +34,7 @@ def test_memo_formats_a_text_once(spark, tmp_path, monkeypatch):
 
 def test_counts_by_level(spark):
     log = diagnostics.Log()
-    pipeline.run(frame(spark, PASTE, "x\n" * 50_001, "y" * ((1 << 20) + 1)), fast=True, log=log)
+    pipeline.run(frame(spark, PASTE, "x\n" * 50_001, "lorem, ipsum. " * 80_000), fast=True, log=log)
     found = {(s, m): (level, n) for s, m, level, n in log.entries()}
     assert found["admission", "conversations"] == ("info", 3) and found["admission", "refused"] == ("error", 1) and found["admission", "large"] == ("warn", 1)
     assert ("admission", "characters") not in found and found["messages", "unknown_users"] == ("warn", 1)
