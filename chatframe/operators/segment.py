@@ -255,9 +255,20 @@ def diagnostics(features: DataFrame) -> DataFrame:
 
 
 def candidate_scores(features: DataFrame) -> DataFrame:
-    """(conv_id, line_no, score) of start candidates: it ranks them, and drops none."""
-    near = F.coalesce(F.max(F.col("has_ts").cast("int")).over(line_order().rowsBetween(-2, 2)), F.lit(0))
-    score = near * 3 + F.col("after_empty").cast("int") * 2 + F.col("has_capital").cast("int") + F.col("is_short").cast("int") - F.col("is_meta").cast("int") * 3
-    return features.withColumn("score", score).where("is_start").select("conv_id", "line_no", "score")
-
-
+    """(conv_id, line_no, score) of start candidates: it ranks them, and drops none. What speaks for one:
+    a time within two lines, a blank line above, a common name of the conversation in it, a capital, a
+    short line, and a distance from the start above of half to twice the average message; metadata
+    speaks against it."""
+    features = store(features.select("conv_id", "line_no", "trimmed", "author", "is_name", "could_be_user", "is_start", "is_empty", "is_meta", "has_ts", "after_empty", "has_capital", "is_short"), "features")
+    order = line_order()
+    near = F.coalesce(F.max(F.col("has_ts").cast("int")).over(order.rowsBetween(-2, 2)), F.lit(0))
+    nth = F.sum(F.col("is_start").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    marked = features.withColumns({"near": near, "nth": nth})
+    per = marked.where("nth > 0").groupBy("conv_id", "nth").agg(F.count_if(~F.col("is_empty")).alias("filled")).where("filled > 0")
+    average = per.groupBy("conv_id").agg(F.floor(F.avg("filled") + 0.5).alias("average"))
+    names = common_usernames(features).groupBy("conv_id").agg(F.collect_list("username").alias("names"))
+    starts = marked.where("is_start").withColumn("gap", F.col("line_no") - F.lag("line_no").over(order)).join(average, "conv_id", "left").join(names, "conv_id", "left")
+    known = F.coalesce(F.exists("names", lambda n: F.contains(F.col("trimmed"), n)), F.lit(False))
+    spaced = F.coalesce(F.col("gap").between(F.col("average") * 0.5, F.col("average") * 2), F.lit(False))
+    signs = ((F.col("near") > 0, 3), (F.col("after_empty"), 2), (known, 2), (F.col("has_capital"), 1), (F.col("is_short") & ~F.col("is_empty"), 1), (F.col("is_meta"), -3), (spaced, 1))
+    return starts.select("conv_id", "line_no", sum((sign.cast("int") * worth for sign, worth in signs), F.lit(0)).alias("score"))

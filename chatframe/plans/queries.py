@@ -365,10 +365,22 @@ def fb_continuations(spark, sf_dir):
     return pipeline.parse_fallback(pipeline.admitted(with_headers(rows, headers()[0], body))).select("conv_id", "msg_idx", "username", "ts_text", "text", "thread_info")
 
 
-@query(LINES.replace(f"{NL} || text", f"{NL} || {prose_sql()}") + "SELECT conv_id, line_no, 4 AS score FROM l WHERE regexp_matches(x, 'archives/C1/p')")
+SPACED_LINES = LINES.replace(f"head || {NL} || text", f"CASE WHEN conv_id % 2 = 1 THEN username || '-Featherstonehaugh' || {NL} || '  ' || ts ELSE head END || {NL} || {prose_sql()} || CASE WHEN turn % 3 = 0 THEN {NL} || {NL} ELSE '' END")
+
+
+@query(SPACED_LINES + r""", k AS (SELECT *, regexp_matches(x, 'archives/C1/p|-Featherstonehaugh$') AS head, regexp_matches(x, '^\s*\d+:\d+ [AP]M$') AS clock, lag(x) OVER w AS above FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY line_no)),
+ g AS (SELECT *, count(*) FILTER (head OR clock) OVER (PARTITION BY conv_id ORDER BY line_no) AS nth FROM k),
+ a AS (SELECT conv_id, floor(avg(filled) + 0.5) AS average FROM (SELECT conv_id, nth, count(*) FILTER (x <> '') AS filled FROM g GROUP BY conv_id, nth) GROUP BY conv_id),
+ s AS (SELECT *, line_no - lag(line_no) OVER (PARTITION BY conv_id ORDER BY line_no) AS gap, x LIKE '%-Featherstonehaugh' AND count(*) OVER (PARTITION BY conv_id, x) >= 2 AS common FROM g WHERE head OR clock)
+ SELECT conv_id, line_no, 4 + CASE WHEN coalesce(above = '', false) THEN 2 ELSE 0 END + CASE WHEN common THEN 2 ELSE 0 END + CASE WHEN coalesce(gap BETWEEN average * 0.5 AND average * 2, false) THEN 1 ELSE 0 END AS score FROM s JOIN a USING (conv_id)""")
 def seg_scores(spark, sf_dir):
-    """Starts of messages by how much speaks for them: here a time and a capital."""
-    return segment.candidate_scores(lines.with_features(lines.explode_lines(transcripts(turns(spark, sf_dir).withColumn("text", as_prose())))))
+    """Starts of messages by how much speaks for them: a time, a capital or a short line; for some a blank
+    line above, a name that stands on lines of its own more than once, or a usual distance from the start
+    above. Every other conversation has long names with their times on the line below."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", cat(as_prose(), F.when(c("turn") % 3 == 0, "\n\n").otherwise(""))))
+    place = cat("](https://chat.example/archives/C1/p", c("conv_id") * 1000 + c("msg_idx"), ")")
+    head = F.when(c("conv_id") % 2 == 1, cat(c("username"), "-Featherstonehaugh\n  ", c("ts_text"))).otherwise(cat(c("username"), "  [", c("ts_text"), place))
+    return segment.candidate_scores(segment.primary_lines(pipeline.admitted(with_headers(rows, head, c("text")))))
 
 
 @query(f"""SELECT conv_id, starts, starts AS stamps, CASE WHEN (2 * d + starts) / (3 * d + 2 * starts)::DOUBLE > 0.7 THEN 'standard' ELSE 'mixed' END AS layout, 1.0::DOUBLE AS alignment,
