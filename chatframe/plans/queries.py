@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatframe.functions import emoji, enrich, names, text, times
@@ -18,8 +20,8 @@ from chatframe.operators.diagnostics import Log
 from chatframe.operators.enrich import enrich_messages
 from chatframe.plans import pipeline
 from chatframe.plans.memo import format_memoised
-from chatframe.settings import Settings
-from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, read_pastes, read_table, transcripts, turns, write_notes
+from chatframe.settings import Settings, load_settings
+from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, read_pastes, read_table, selection_or_paste, transcripts, turns, write_notes
 from chatframe.storage import shared_dir, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +112,29 @@ def src_transcripts(spark, sf_dir):
     return transcripts(turns(spark, sf_dir))
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'pasted; ' || text WHEN text = '' THEN 'pasted; ' ELSE text END AS raw, turn % 3 <> 0 AND text <> '' AS selected FROM t")
+def src_selection(spark, sf_dir):
+    """The selected text, else the paste: where nothing is selected, or an empty stretch."""
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.when(c("turn") % 6 == 0, F.lit(None).cast("string")).when(c("turn") % 6 == 3, "").otherwise(c("text")).alias("selection"), cat("pasted; ", c("text")).alias("paste"))
+    raw = selection_or_paste(c("selection"), c("paste"))
+    return rows.select("conv_id", "turn", raw.alias("raw"), (raw == c("selection")).eqNullSafe(F.lit(True)).alias("selected"))
+
+
+@query("""SELECT turn % 4 AS stored, max(CASE turn % 4 WHEN 0 THEN 5000 WHEN 1 THEN 7 WHEN 2 THEN 5000 ELSE 9 END) AS max_lines, bool_and(turn % 4 <> 2) AS emoji, count(*) AS texts, count(*) FILTER (turn % 4 <> 2) AS converted FROM t GROUP BY ALL""")
+def src_settings(spark, sf_dir):
+    """Turns under four stored settings: defaults are overlaid, nulls and unknown names left out; which
+    steps they enable is reported, and only enabled ones change a text."""
+    stored = [{}, {"max_lines": 7, "debug": None}, {"replace_emoji": False, "unknown": 1}, {"max_lines": 9, "replace_emoji": True}]
+    found = messages_of(turns(spark, sf_dir)).withColumn("text", cat("so, ", c("text"), " :smile:"))
+    parts = []
+    for k, values in enumerate(stored):
+        settings = load_settings(values)
+        shown = enrich_messages(found.where(c("msg_idx") % 4 == k), settings)
+        counts = shown.agg(F.count("*").alias("texts"), F.count_if(c("text").endswith(" 😄")).alias("converted"))
+        parts.append(counts.where("texts > 0").select(F.lit(k).alias("stored"), F.lit(settings.max_lines).alias("max_lines"), F.lit(enrich.step_report(settings)["emoji"]).alias("emoji"), "texts", "converted"))
+    return reduce(DataFrame.union, parts)
+
+
 @query(f"SELECT conv_id, string_agg(head || {NL} || text, {NL} ORDER BY turn) AS raw FROM h GROUP BY conv_id")
 def src_text_files(spark, sf_dir):
     """Transcripts as text files, one each, and read back with their paths."""
@@ -498,6 +523,20 @@ def dup_fuzzy(spark, sf_dir):
     return dedup.drop_similar_messages(both).select("conv_id", "msg_idx", "username", said.alias("text"))
 
 
+@query(f"""SELECT * FROM (SELECT conv_id, n * 3 AS msg_idx, {prose_sql()} || CASE WHEN n % 3 = 0 THEN {NL} || 'https://ex.org/p' || n || {NL} || 'A title of it and of what it is about, in several words' || {NL} || 'but: and so on it goes, [x]' WHEN n % 3 = 1 THEN {NL} || 'but: and so on it goes, [x]' ELSE '' END AS text FROM h
+  UNION ALL SELECT conv_id, n * 3 + 1, CASE n % 3 WHEN 0 THEN 'but: it goes on ' || n || ', [x]' WHEN 1 THEN '- https://ex.org/p' || n || {NL} || 'A title of it and of what it is about, in several words' ELSE 'but: none of it ' || n || ', [x]' END FROM h)""")
+def dup_embedded(spark, sf_dir):
+    """What is embedded and said twice: of two embedded ones the later goes, and its message keeps what
+    else it says; one that another message has, nearly, as its own text goes, though it came first."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    n = F.row_number().over(W.partitionBy("conv_id").orderBy("msg_idx")) - 1
+    rows = rows.withColumn("n", n)
+    preview, end = cat("https://ex.org/p", c("n"), "\nA title of it and of what it is about, in several words"), "\nbut: and so on it goes, [x]"
+    first = rows.withColumns({"text": cat(c("text"), F.when(c("n") % 3 < 2, cat("\n", preview, end)).otherwise("")), "msg_idx": c("n") * 3})
+    second = rows.withColumns({"text": by_number(c("n") % 3, [cat("but: it goes on ", c("n"), ", [x]\n", preview), cat("- ", preview), cat("but: none of it ", c("n"), ", [x]")]), "msg_idx": c("n") * 3 + 1})
+    return dedup.drop_similar_messages(first.unionByName(second)).select("conv_id", "msg_idx", "text")
+
+
 @query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'link_preview' WHEN 1 THEN 'file_attachment' WHEN 2 THEN 'reactions' ELSE '' END AS kinds,
   CASE turn % 4 WHEN 3 THEN 'so; ' || md5(text) WHEN 1 THEN 'but: and so on it goes, and on and on, and on [x]' ELSE 'so; ' || md5(text) || {NL} || 'but: and so on it goes, and on and on, and on [x]' END AS cleaned FROM t""")
 def emb_blocks(spark, sf_dir):
