@@ -356,6 +356,19 @@ def fb_grammars(spark, sf_dir):
     return pipeline.parse_fallback(pipeline.admitted(with_headers(rows, by_number(c("conv_id") % 7, headers()[:7]), c("text")))).select("conv_id", "msg_idx", "username", "ts_text", "text")
 
 
+@query(f"""SELECT conv_id, n AS msg_idx, username, CASE WHEN conv_id % 4 <> 3 OR n % 2 = 0 THEN ts END AS ts_text, {prose_sql()} || CASE conv_id % 4 WHEN 1 THEN {NL} || {NL} || '3:09 PM' || {NL} || {NL} || 'so it is, said it; good?'
+  WHEN 2 THEN {NL} || {NL} || 'Feb 6th at' || {NL} || '3:04 PM' || {NL} || 'so it is, said it; good?' ELSE '' END AS text, CASE WHEN conv_id % 4 = 0 AND n > 0 THEN 'https://ca.slack-edge.com/b' || turn || '.png' END AS avatar FROM h""")
+def fb_refine(spark, sf_dir):
+    """Blocks refined: an avatar above a header is that author's, a block of a time alone or of a date split
+    from its time goes on with the message before, a name alone begins a message without a time."""
+    rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
+    k, head = c("conv_id") % 4, headers()[0]
+    alone = (k == 3) & ((F.row_number().over(W.partitionBy("conv_id").orderBy("msg_idx")) - 1) % 2 == 1)
+    rows = rows.withColumn("head", F.when(k == 0, cat("![](https://ca.slack-edge.com/b", c("msg_idx"), ".png)\n", head)).when(alone, cat("\n", c("username"))).otherwise(head))
+    body = cat(c("text"), F.when(k == 1, "\n\n3:09 PM\n\nso it is, said it; good?").when(k == 2, "\n\nFeb 6th at\n3:04 PM\nso it is, said it; good?").otherwise(""))
+    return fallback.fallback_messages(pipeline.admitted(with_headers(rows, c("head"), body)), now()).select("conv_id", "msg_idx", "username", "ts_text", "text", "avatar")
+
+
 @query(f"""SELECT conv_id, n AS msg_idx, username, {prose_sql()} AS text, (make_date(2023 - (conv_id % 2)::INTEGER, ((turn - turn % 3) % 12 + 1)::INTEGER, 8))::VARCHAR AS day,
   (make_date(2023 - (conv_id % 2)::INTEGER, ((lt - lt % 3) % 12 + 1)::INTEGER, 8))::VARCHAR AS last_day FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS lt FROM h)""")
 def fb_dates(spark, sf_dir):

@@ -128,6 +128,20 @@ def test_dedup(spark, messages):
     assert [round(r[0], 3) for r in both.select(dedup.edit_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
 
 
+def test_which_of_two_goes():
+    """Own text stays before embedded, a quote before a file before a preview, then the earlier message."""
+    import numpy as np
+
+    def gone(inner, kinds, messages):
+        rank = np.array([embed.PRIORITY.get(k, 0) for k in kinds])
+        return dedup._victims(1, np.arange(len(inner)), np.array(messages), np.array(inner, bool), rank, [b"same"] * len(inner), {})
+
+    assert gone([1, 0], ["quoted_message", ""], [0, 3]) == [0] and gone([0, 1], ["", "quoted_message"], [0, 3]) == [1]
+    assert gone([1, 1], ["link_preview", "file_attachment"], [0, 1]) == [0] and gone([1, 1], ["quoted_message", "file_attachment"], [0, 1]) == [1]
+    assert gone([0, 0, 0], ["", "", ""], [0, 9, 20]) == [1, 2] and gone([1, 1], ["link_preview"] * 2, [4, 4]) == [0]
+    assert gone([1, 1, 0], ["link_preview", "file_attachment", ""], [0, 1, 2]) == [0, 1]
+
+
 def test_embedded():
     found = embed.analyse("see\nhttps://ex.org/a\nA title\nsome text that describes it, and more of it\n\nBUT: [x]")
     assert [b["type"] for b in found["blocks"]] == ["link_preview"] and found["cleaned"].splitlines()[0] == "see"
