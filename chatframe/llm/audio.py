@@ -30,6 +30,8 @@ UNIT = 192
 RATE, TARGET_RATE = 8000, 16000
 #: Bytes of media decoded together.
 SLICE_BYTES = 4 << 20
+#: Level of zstd for PCM.
+PCM_LEVEL = 9
 
 #: IMA ADPCM step sizes and index moves (fixed values of the format).
 STEPS = np.array([
@@ -208,34 +210,50 @@ def decode_media(media: DataFrame, media_col: str = "media", target: int = TARGE
     return kept.mapInArrow(run, f"{fields}, pcm binary")
 
 
-DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Features of stored media: the payload read back, and the audio: the stored ``pcm`` column where
-    there is one, or else what is decoded and resampled here."""
-    has_pcm = "pcm" in media.columns
+def feature_of(source: str, pcm: np.ndarray) -> str:
+    """The audio's feature: ``source`` (codec and rate) and figures of its resampled PCM."""
+    x = pcm.astype(np.float32)
+    rms = float(np.sqrt(np.mean(x * x, dtype=np.float64)))
+    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
+    peak = int(max(-int(pcm.min()), int(pcm.max())))
+    return f"{source}>{TARGET_RATE}:n={len(pcm)}:rms={rms:.3f}:peak={peak}:zc={crossings}:crc={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+
+
+def digests(media: DataFrame, keep_pcm: bool = False) -> DataFrame:
+    """Digests of stored media and of the payload read back, and the audio's feature. With ``keep_pcm``
+    the feature's ``source`` and ``pcm`` (little-endian 16-bit samples) are in its place, for ``features``."""
+    fields = DIGESTS + (", source string, pcm binary" if keep_pcm else ", feature string")
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         files = batch.column("media").to_pylist()
-        sounds = [np.frombuffer(x, "<i2") for x in batch.column("pcm").to_pylist()] if has_pcm else decode(files)
-        for n, media, pcm in zip(batch.column("n_bytes").to_pylist(), files, sounds, strict=True):
+        for n, media, pcm in zip(batch.column("n_bytes").to_pylist(), files, decode(files), strict=True):
             codec, rate, align, data = parse_wav(media)
-            payload = payload_of(codec, align, data)
-            x = pcm.astype(np.float32)
-            rms = float(np.sqrt(np.mean(x * x, dtype=np.float64)))
-            crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-            peak = int(max(-int(pcm.min()), int(pcm.max())))
-            feature = f"{codec}:{rate}>{TARGET_RATE}:n={len(pcm)}:rms={rms:.3f}:peak={peak}:zc={crossings}:crc={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
-            yield n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+            payload, source = payload_of(codec, align, data), f"{codec}:{rate}"
+            audio = (source, pcm.astype("<i2").tobytes()) if keep_pcm else (feature_of(source, pcm),)
+            yield n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), *audio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = zip(*(f.split() for f in fields.split(", ")), strict=True)
         for part in (x for batch in batches for x in by_bytes(batch, "media")):
-            columns = list(zip(*rows_of(part), strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(f.split()[0] for f in DIGESTS.split(", "))])
+            columns = list(zip(*rows_of(part), strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, KINDS[k]) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
+
+    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {fields}")
+
+
+def features(sounds: DataFrame) -> DataFrame:
+    """``feature`` in place of the ``source`` and the ``pcm`` that ``digests`` kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in by_bytes(batch, "pcm")):
+            found = [feature_of(s, np.frombuffer(x, "<i2")) for s, x in zip(part.column("source").to_pylist(), part.column("pcm").to_pylist(), strict=True)]
+            yield part.drop_columns(["source", "pcm"]).append_column("feature", pa.array(found, pa.string()))
 
-    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
+    return sounds.mapInArrow(run, f"doc_id {sounds.schema['doc_id'].dataType.simpleString()}, {DIGESTS}, feature string")
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_pcm: bool = False) -> DataFrame:
@@ -244,4 +262,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns are not carried; an empty table gives no rows. With ``keep_pcm`` the resampled PCM is
     stored beside the media and the features are of the PCM read back; they are the same."""
     media = store(store_payloads(docs, id_col, text_col), "media")
-    return digests(store(decode_media(media), "pcm") if keep_pcm else media)
+    return features(store(digests(media, keep_pcm=True), "pcm", level=PCM_LEVEL)) if keep_pcm else digests(media)
