@@ -5,7 +5,8 @@ shingles goes on, from a node of the tree, to a child for each shingle that a ha
 shingle) picks with probability 1 / (t n), so sets with Jaccard t or more meet in a child about
 once. A set's paths depend on the set alone and are made in one pass, level by level; only buckets
 still above ``BUCKET`` go on to the next level. Small buckets are compared by brute force, on
-sketches; buckets that stay large at the last level are compared in blocks, so none is dropped.
+sketches; buckets that stay large at the last level are compared in blocks, so none is dropped: each
+block with the first one, and then only what that hasn't brought into one component.
 Runs repeat until the chance that a pair at the threshold never met is below 1 - recall, by the
 extinction probability of the path process at the deepest level. Buckets that could only repeat what
 the first runs have found are left out of later ones, so a large group of near copies costs a few
@@ -36,7 +37,7 @@ from chatframe.llm.cover_tree import forest
 
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
 #: Bucket size from which a bucket goes on to the next level, and rows of a block: a bucket that stays
-#: is compared in pairs of blocks, so that no key has more than two blocks' rows.
+#: is compared in groups of two blocks, so that no key has more than two blocks' rows.
 BUCKET, BLOCK = 2048, 256
 #: Runs whose buckets are compared first. Later runs leave out buckets whose texts those have already
 #: brought into one candidate group, since comparing them would add nothing.
@@ -213,22 +214,57 @@ def _blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
     return rows.withColumn("g", pair).withColumn("side", side).drop("_b", "_o")
 
 
+def _anchored(rows: DataFrame) -> DataFrame:
+    """A bucket of ``parts`` blocks as a group for each: its own rows are compared with each other and
+    with those of the first block, which alone go to every group. Twice the bucket's rows, not their square."""
+    one = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    to = F.when(F.col("_b") == 0, F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).otherwise(F.array("_b"))
+    rows = rows.withColumn("_b", one).withColumn("_o", F.explode(to))
+    return rows.withColumn("g", F.xxhash64("key", "_o")).withColumn("side", F.when(F.col("_b") == F.col("_o"), 2).otherwise(0)).drop("_b", "_o")
+
+
+def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """What ``_anchored`` left: the buckets (key, cls, n) whose classes are still of more than one
+    component. All but those of a bucket's largest component meet all of its rows, in pairs of blocks;
+    rows of one component needn't meet again. None if no bucket is left."""
+    rows = store(rows.join(groups, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp")), "apart")
+    held = rows.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("comps"))
+    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+    held = store(held.where("comps > 1").select("key", F.col("main.comp").alias("main"), blocks(F.col("main.k")).alias("mains"), blocks(F.col("size") - F.col("main.k")).alias("others")), "mains")
+    n_keys = held.count()
+    if not n_keys:
+        return None
+    rows = rows.join(bounded_broadcast(held, n_keys), "key").withColumn("_m", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("cls"), F.when(F.col("_m"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(F.col("_m"), F.col("others")).otherwise(F.col("mains") + F.col("others")) - 1)))
+    # others meet the main blocks first, and then each other
+    own, o = ~F.col("_m") & (F.col("_o") >= F.col("mains")), F.col("_o") - F.col("mains")
+    pair = F.when(own, F.xxhash64("key", F.lit(1), F.least("_b", o), F.greatest("_b", o))).when(F.col("_m"), F.xxhash64("key", F.lit(0), "_b", "_o")).otherwise(F.xxhash64("key", F.lit(0), "_o", "_b"))
+    side = F.when(own & (F.col("_b") == o), 2).when(own, (F.col("_b") > o).cast("int")).otherwise(F.col("_m").cast("int"))
+    return rows.select("cls", "n", pair.alias("g"), side.alias("side"))
+
+
 def candidates(classes: DataFrame, threshold: float, depth: int) -> DataFrame | None:
     """(node, component) of the classes whose sketches may reach the threshold with another's, from
     all buckets; None if there is no bucket of two."""
+    looks = classes.select(F.col("cls").alias("c"), "sketch")
     groups = None
+    joined = lambda edges: store(components(edges if groups is None else edges.union(groups.where("node <> component"))), "groups")
     for of in (F.col("node.run") < FIRST_RUNS, F.col("node.run") >= FIRST_RUNS):
-        edges = _edges_of(classes, of, groups, threshold, depth)
+        edges, large = _edges_of(classes, looks, of, groups, threshold, depth)
         if edges is not None:
-            groups = store(components(edges if groups is None else edges.union(groups.where("node <> component"))), "groups")
+            groups = joined(edges)
+        left = None if large is None else _apart(large, groups)
+        if left is not None:
+            groups = joined(_compared(left, looks, threshold))
     return groups
 
 
-def _edges_of(classes: DataFrame, of: Column, groups: DataFrame | None, threshold: float, depth: int) -> DataFrame | None:
-    """Edges (u, v) from the buckets of some runs that hold classes of more than one group."""
-    looks = classes.select(F.col("cls").alias("c"), "sketch")
+def _edges_of(classes: DataFrame, looks: DataFrame, of: Column, groups: DataFrame | None, threshold: float, depth: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Edges (u, v) from the buckets of some runs that hold classes of more than one group, and the
+    rows (key, cls, n) of buckets that don't fit one group: not all of these have met."""
     nodes = classes.select("cls", "n", F.explode("nodes").alias("node")).where(of)
-    edges, above = None, None
+    edges, above, large = None, None, None
     for level in range(1, depth + 1):
         rows = nodes.where(F.col("node.level") == level).select("cls", "n", F.col("node.parent").alias("parent"), F.col("node.key").alias("key"))
         if above is not None:
@@ -240,18 +276,22 @@ def _edges_of(classes: DataFrame, of: Column, groups: DataFrame | None, threshol
             grouped = rows.join(groups, F.col("cls") == F.col("node"), "left").groupBy("key")
             sizes = grouped.agg(F.count("*").alias("size"), F.min(group).alias("low"), F.max(group).alias("high")).where("size > 1 and low <> high").select("key", "size")
         sizes = store(sizes, "buckets")
-        n_keys, n_large = sizes.agg(F.count("*"), F.count_if(F.col("size") > BUCKET)).first()
+        most = BUCKET if level < depth else 2**62  # of a bucket that stays at this level
+        n_keys, n_large, n_parted = sizes.agg(F.count("*"), F.count_if(F.col("size") > BUCKET), F.count_if(F.col("size").between(2 * BLOCK + 1, most))).first()
         if not n_keys:
             break
         bucketed = rows.select("key", "cls", "n").join(bounded_broadcast(sizes, n_keys), "key")
         stays = bucketed if level == depth else bucketed.where(F.col("size") <= BUCKET)
         stays = stays.withColumn("parts", F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("size") / BLOCK)))
-        found = _compared(_blocks(stays, "key", "parts"), looks, threshold)
+        found = _compared(_anchored(stays), looks, threshold)
         edges = found if edges is None else edges.union(found)
+        if n_parted:
+            parted = stays.where("parts > 1").select("key", "cls", "n")
+            large = parted if large is None else large.union(parted)
         if not n_large:
             break
         above = bounded_broadcast(sizes.where(F.col("size") > BUCKET).select(F.col("key").alias("parent")), n_large)
-    return edges
+    return edges, large
 
 
 def _compared(rows: DataFrame, looks: DataFrame, threshold: float) -> DataFrame:

@@ -1,8 +1,11 @@
 """Rules as the contract lists them, and what the queries store."""
 
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from chatframe.llm import audio, queries, url_rules
+from chatframe.llm import audio, ngram_join, queries, url_rules
 
 #: The contract's list.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -29,3 +32,44 @@ def test_op3_stores_its_pcm(spark, sf_dir, monkeypatch):
         assert np.array_equal(np.frombuffer(pcm[i], "<i2"), sound) and got[i].feature == audio.feature_of(got[i].feature.split(">")[0], sound)
     plain = {r.doc_id: r for r in audio.digests(stored[0]).collect()}
     assert plain == got
+
+
+def test_large_buckets_grow_with_their_rows(spark):
+    """Blocks of a bucket meet its first block, not each other: at most twice the rows."""
+    rows = spark.range(5000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("cls"), F.lit(9).cast("long").alias("n"), F.lit(20).alias("parts"))
+    sent = ngram_join._anchored(rows).groupBy("g").agg(F.count("*").alias("k"), F.count_if(F.col("side") == 2).alias("own")).collect()
+    assert len(sent) == 20 and sum(r.own for r in sent) == 5000 and sum(r.k for r in sent) <= 2.2 * 5000
+    # one component: nothing is left; two: the few meet all, once each
+    one = spark.range(5000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    assert ngram_join._apart(rows.drop("parts"), one) is None
+    two = one.withColumn("component", F.when(F.col("node") % 1000 == 3, 3).otherwise(0).cast("long"))
+    left = ngram_join._apart(rows.drop("parts"), two).collect()
+    assert len(left) <= 2 * 5000
+    met, groups = set(), {}
+    for r in left:
+        groups.setdefault(r.g, []).append((r.cls, r.side))
+    for g in groups.values():
+        few = [x for x in g if x[0] % 1000 == 3]
+        met |= {(a, b) for a, s in few for b, t in g if s != t or s == 2}
+    assert {(a, b) for a in range(3, 5000, 1000) for b in range(5000) if a != b} <= met
+
+
+def test_buckets_of_many_components_lose_no_link(spark, monkeypatch):
+    """Small blocks, so that buckets of near copies of several texts are compared in parts; links are
+    those of all pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BUCKET", 16)
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for k in range(6):
+        own = [f"w{k}x{i}" for i in range(25)]
+        for _ in range(25):
+            words = common + own
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                words = [w if i != (at := rng.randrange(len(words))) else f"z{rng.random()}" for i, w in enumerate(words)]
+            texts.append(" ".join(words))
+    sets = [set(ngram_join.shingles(t).tolist()) for t in texts]
+    near = [[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = {r.doc_id: r.n_links for r in ngram_join.join_ngrams(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: sum(row) for i, row in enumerate(near)} and max(got.values()) > 10
