@@ -199,8 +199,10 @@ def _walk(table: pa.Table) -> pa.Table:
 
 def primary_intervals(features: DataFrame) -> DataFrame:
     """(conv_id, msg_no, start, end, confidence) from ``with_candidates``. Intervals can overlap. A
-    group is one conversation, which admission bounds."""
-    return features.select(*INTERVAL_COLUMNS).groupBy("conv_id").applyInArrow(_walk, INTERVAL)
+    group is one conversation, which admission bounds. Flags are small beside what a walk over them
+    takes, so their partitions are counted, not sized."""
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return features.select(*INTERVAL_COLUMNS).repartition(parts, "conv_id").groupBy("conv_id").applyInArrow(_walk, INTERVAL)
 
 
 def primary_lines(conversations: DataFrame, col: str = "raw", phrases: Sequence[str] = ()) -> DataFrame:
