@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatframe.llm.common import store
+from chatframe.llm.common import scratch, store
 
 #: WAV format tags (fixed values).
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
@@ -32,6 +33,10 @@ RATE, TARGET_RATE = 8000, 16000
 SLICE_BYTES = 4 << 20
 #: Level of zstd for PCM.
 PCM_LEVEL = 9
+#: PCM takes more than twice the disk of the media. Beyond so many bytes of text it is stored, read back
+#: and removed in portions, up to PORTIONS of them.
+PORTION_BYTES = 32 << 20
+PORTIONS = 4
 
 #: IMA ADPCM step sizes and index moves (fixed values of the format).
 STEPS = np.array([
@@ -260,6 +265,18 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store every text as media, read the stored files back and compute their features: one row
     for each input row. Null and empty texts are 192 spaces; repeated rows give equal values; other
     columns are not carried; an empty table gives no rows. With ``keep_pcm`` the resampled PCM is
-    stored beside the media and the features are of the PCM read back; they are the same."""
+    stored beside the media and the features are of the PCM read back; they are the same. All media stay;
+    of more than one portion of PCM each is removed as soon as its features are stored."""
     media = store(store_payloads(docs, id_col, text_col), "media")
-    return features(store(digests(media, keep_pcm=True), "pcm", level=PCM_LEVEL)) if keep_pcm else digests(media)
+    if not keep_pcm:
+        return digests(media)
+    size = media.agg(F.sum("n_bytes")).first()[0] or 0
+    portions = max(1, min(PORTIONS, -(-size // PORTION_BYTES)))
+    if portions == 1:
+        return features(store(digests(media, keep_pcm=True), "pcm", level=PCM_LEVEL))
+    found = []
+    for k in range(portions):
+        with scratch(docs.sparkSession):
+            pcm = store(digests(media.where(F.pmod(F.xxhash64("doc_id"), F.lit(portions)) == k), keep_pcm=True), "pcm", level=PCM_LEVEL)
+            found.append(store(features(pcm), "features", keep=True))
+    return reduce(DataFrame.unionByName, found)

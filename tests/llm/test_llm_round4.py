@@ -73,3 +73,19 @@ def test_buckets_of_many_components_lose_no_link(spark, monkeypatch):
     near = [[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
     got = {r.doc_id: r.n_links for r in ngram_join.join_ngrams(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: sum(row) for i, row in enumerate(near)} and max(got.values()) > 10
+
+
+def test_op3_removes_pcm_by_portions(spark, sf_dir, tmp_path, monkeypatch):
+    """PCM beyond a portion is gone when the next one is stored; rows are those of one portion, nulls included."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS STRING) AS text"))
+    key = lambda r: (r.doc_id is not None, r.doc_id)
+    plain = sorted(audio.media_digests(docs).collect(), key=key)
+    monkeypatch.setattr(audio, "PORTION_BYTES", 1000)
+    monkeypatch.setattr("chatframe.storage.shared_dir", lambda spark: str(tmp_path))
+    seen, real = [], audio.store
+    count = lambda name: len(list(tmp_path.glob(f"chatframe-{name}-*")))
+    monkeypatch.setattr(audio, "store", lambda df, name, **options: (real(df, name, **options), seen.append((name, count("pcm"))))[0])
+    got = sorted(audio.media_digests(docs, keep_pcm=True).collect(), key=key)
+    assert got == plain
+    assert [n for name, n in seen if name == "pcm"] == [1] * audio.PORTIONS and count("pcm") == 0
+    assert count("media") == 1 and count("features") == audio.PORTIONS
