@@ -21,7 +21,7 @@ from chatframe.operators.enrich import enrich_messages
 from chatframe.plans import pipeline
 from chatframe.plans.memo import format_memoised
 from chatframe.settings import Settings, load_settings
-from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, read_pastes, read_table, selection_or_paste, transcripts, turns, write_notes
+from chatframe.sources.transcripts import author, is_valid_json, json_map, messages_of, read_pastes, read_table, selection_or_paste, transcripts, turns, write_notes, write_pastes
 from chatframe.storage import shared_dir, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,9 +139,9 @@ def src_settings(spark, sf_dir):
 def src_text_files(spark, sf_dir):
     """Transcripts as text files, one each, and read back with their paths."""
     path = f"{shared_dir(spark)}/chatframe-pastes-{uuid.uuid4().hex}"
-    transcripts(turns(spark, sf_dir)).write.partitionBy("conv_id").text(path)
+    write_pastes(transcripts(turns(spark, sf_dir)), path)
     rows = read_pastes(spark, f"{path}/*")
-    return rows.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"), F.regexp_replace("raw", r"\n\z", "").alias("raw"))
+    return rows.select(F.regexp_extract("file", r"conv_id=(-?\d+)", 1).cast("bigint").alias("conv_id"), F.regexp_replace("raw", r"\n\z", "").alias("raw"))
 
 
 @query(f"SELECT conv_id, string_agg(head || {NL} || text, {NL} ORDER BY turn) AS raw FROM h GROUP BY conv_id")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that text files are dealt out over.
+FOLDERS = 64
 #: Names of the roles of the ``conversations`` table in transcripts made from it.
 AUTHORS = {"user": "Ada Lovell", "assistant": "Ben Ortiz", "system": "Cleo Marsh"}
 
@@ -49,6 +54,23 @@ def write_text(notes: DataFrame, path: str, col: str = "note", mode: str = "erro
     notes.select(F.col(col).alias("value")).write.mode(mode).text(path)
 
 
+def write_pastes(conversations: DataFrame, path: str) -> None:
+    """Each (conv_id, raw) as a text file of its own, ``<folder>/conv_id=<id>.txt``, with a newline
+    at its end (empty files aren't read); ``path`` is a new folder that all executors share. Spark's writer would need a folder for each id, takes a
+    listing task for each folder, and on a local file system starts several processes for each file."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    for k in range(FOLDERS):
+        fs.create_dir(f"{root}/{k:02d}")
+
+    def write(rows: Iterator[Row]) -> None:
+        fs, root = pafs.FileSystem.from_uri(path)
+        for conv_id, raw in rows:
+            with fs.open_output_stream(f"{root}/{conv_id % FOLDERS:02d}/conv_id={conv_id}.txt") as file:
+                file.write((raw or "").encode() + b"\n")
+
+    conversations.select("conv_id", "raw").foreachPartition(write)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text")
 
