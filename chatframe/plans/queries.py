@@ -377,9 +377,9 @@ def fb_dates(spark, sf_dir):
     rows = messages_of(turns(spark, sf_dir).withColumn("text", as_prose()))
     month = F.element_at(F.array(*map(F.lit, "January February March April May June July August September October November December".split())), (c("msg_idx") - c("msg_idx") % 3) % 12 + 1)
     head = cat(F.when(c("msg_idx") % 3 == 0, cat("--- ", month, " 8, ", 2023 - c("conv_id") % 2, " ---\n")).otherwise(""), headers()[0])
-    raw = with_headers(rows, head, c("text"))
-    day = lambda as_of: fallback.fallback_messages(pipeline.admitted(raw), now(), as_of=as_of).select("conv_id", "msg_idx", "username", "text", F.to_date("msg_date").cast("string").alias("day"))
-    return day(True).join(day(False).select("conv_id", "msg_idx", c("day").alias("last_day")), ["conv_id", "msg_idx"])
+    found = fallback.fallback_messages(pipeline.admitted(with_headers(rows, head, c("text"))), now(), as_of=None)
+    day = lambda d: F.to_date(d).cast("string")
+    return found.select("conv_id", "msg_idx", "username", "text", day("as_of_date").alias("day"), day("msg_date").alias("last_day"))
 
 
 @query(f"""SELECT conv_id, n AS msg_idx, username, ts AS ts_text, {prose_sql()} || repeat({NL} || 'so it goes, said they; good?', 6) || {NL} || CASE conv_id % 7 WHEN 0 THEN '[3:09](https://chat.example/archives/C1/p9)' WHEN 1 THEN '3:09 PM' WHEN 2 THEN '[3:09 PM]' WHEN 3 THEN 'See more' WHEN 4 THEN 'Also,'
