@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,12 +28,14 @@ from chatframe.llm.common import store
 from chatframe.llm.packing import PLAIN, encoder
 
 #: Characters of a block's texts; a longer text is a block of its own.
-BLOCK = 1_500_000
+BLOCK = 3_000_000
 #: Links of a group up to which they are taken one by one; in larger groups equal ids are counted first.
 SMALL = 64
 B_BITS = 32
 #: Characters of words that one call of a tokenizer gets.
 CALL = 100_000
+#: Characters of words whose ids a process keeps: some 430,000 words, 100 MB.
+KNOWN = 3_000_000
 #: Neither tokenizer joins what stands before such a place to what follows: a space after another sign.
 WORD = re.compile(r"(?<=\S)(?= )")
 
@@ -69,6 +71,12 @@ class Tokenizers:
         self.written = [f"{i}," for i in ids_a] + [f"{i}|" for i in ids_a] + [f"{i}," for i in ids_b] + [f"{i};" for i in ids_b]
         self._apart = not any("▁" in x.lstrip("▁") for x in names)
         self._space = pieces.piece_to_id("▁")
+        self._forget()
+
+    def _forget(self) -> None:
+        """For A and B: how many ids each known word has, and all these in a row."""
+        self._number: dict[str, int] = {}
+        self._chars, self._known = 0, [[np.array([], np.int64)] * 2] * 2
 
     def encode(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of A for a text that starts with a space, and of B, which puts that space there itself; None
@@ -101,35 +109,36 @@ class Tokenizers:
         apart = [self.encode_words([w]) for w in words]
         return tuple([np.concatenate([x[k][side] for x in apart]) for side in (0, 1)] for k in (0, 1))
 
-    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For A and for B: ids of all texts in a row, and how many each text has. Each distinct word of
-        the block is encoded once."""
+    def encode_all(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """For A and for B: ids of the distinct words in a row, and how many each word has; then for each
+        word of the texts that lose no bytes its number and its text. What a process encoded is known to
+        its later blocks, until it is more than KNOWN characters; then all is forgotten."""
         words = [self.words(t) for t in texts]
-        distinct = list(dict.fromkeys(chain.from_iterable(words)))
-        runs, chars = [[]], 0
-        for w in distinct:
-            alone = len(w) > CALL or w[-1].isspace()
-            if chars + len(w) > CALL or alone or not self._apart or (not w.isascii() and PLAIN.search(w)):
-                runs.append([])
-                chars = CALL if alone or PLAIN.search(w) else 0
-            runs[-1].append(w)
-            chars += len(w)
-        done = [self.encode_words(run) for run in runs if run]
-        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        distinct = set(chain.from_iterable(words))
+        fresh = [w for w in distinct if w not in self._number]
+        self._chars += sum(map(len, fresh))
+        if self._chars > KNOWN:
+            self._forget()
+            fresh, self._chars = list(distinct), sum(map(len, distinct))
+        alone = {w[-1] for w in words if len(w) == 1 or w and w[-1][-1].isspace()}.difference(self._number)
+        fresh = [*alone, *(w for w in fresh if w not in alone)]
+        chars = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        chars[: len(alone)] = CALL
+        starts = np.flatnonzero((np.diff(np.cumsum(chars) // CALL, prepend=-1) > 0) | (chars > CALL)) if self._apart else range(len(fresh))
+        done = [self.encode_words(fresh[i:j]) for i, j in pairwise([*starts, len(fresh)])]
+        self._number.update(zip(fresh, range(len(self._number), len(self._number) + len(fresh)), strict=True))
+        self._known = [[np.concatenate([x, *(d[k][side] for d in done)]) for k, x in enumerate(old)] for side, old in enumerate(self._known)]
         counts = np.array([len(w) for w in words], np.int64)
-        code = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        code = np.fromiter(map(self._number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         text = np.repeat(np.arange(len(texts)), counts)
-        none, sides = [np.array([], np.int64)], []
-        for side in (0, 1):
-            each = np.concatenate([*(d[0][side] for d in done), *none])
-            flat = np.concatenate([*(d[1][side] for d in done), *none])
-            if not side:
-                whole = np.bincount(text[each[code] < 0], minlength=len(texts)) == 0
-                code, text = code[whole[text]], text[whole[text]]
+        whole = np.bincount(text[self._known[0][0][code] < 0], minlength=len(texts)) == 0
+        code, text = code[whole[text]], text[whole[text]]
+        here = np.bincount(code, minlength=len(self._number)) > 0
+        sides = []
+        for each, ids in self._known:
             each = np.maximum(each, 0)
-            _, at = _ranges((np.cumsum(each) - each)[code], each[code])
-            sides.append((flat[at], np.bincount(text, weights=each[code], minlength=len(texts)).astype(np.int64)))
-        return sides
+            sides.append((ids[_ranges((np.cumsum(each) - each)[here], each[here])[1]], each[here]))
+        return *sides, (np.cumsum(here) - 1)[code], text
 
 
 def tokenizers_of(a_path: str, a_ranks: str | None, b_path: str) -> Tokenizers:
@@ -223,29 +232,38 @@ def written(groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, words: lis
 
 
 def align_block(tools: Tokenizers, texts: list[str | None]) -> tuple[list[dict], np.ndarray, np.ndarray]:
-    """A row for each text, and the block's distinct pairs with the number of texts that hold each."""
-    (a_ids, n_a), (b_ids, n_b) = tools.encode_all(texts)
+    """A row for each text, and the block's distinct pairs with the number of texts that hold each. Words
+    end at common ends, so each distinct word is divided once and texts add up what their words have."""
+    (a_ids, n_a), (b_ids, n_b), code, doc = tools.encode_all(texts)
     a_stop, b_stop = np.cumsum(n_a), np.cumsum(n_b)
     groups = groups_of(np.cumsum(tools.a_length[a_ids]), np.cumsum(tools.b_length[b_ids]), a_stop - n_a, a_stop, b_stop - n_b, b_stop)
-    doc = np.searchsorted(a_stop, groups[0], "right")
+    word = np.searchsorted(a_stop, groups[0], "right")
     group, pair, links = linked(groups, a_ids, b_ids)
-    local, pairs = pd.factorize(pair)
-    of, kinds = pd.factorize(doc[group] * max(len(pairs), 1) + local)
+    order = np.argsort(word[group], kind="stable")
+    local, pairs = pd.factorize(pair[order])
+    n_pairs = np.bincount(word[group[order]], minlength=len(n_a))
+    of, at = _ranges((np.cumsum(n_pairs) - n_pairs)[code], n_pairs[code])
+    of, kinds = pd.factorize(doc[of] * max(len(pairs), 1) + local[at])
     weight = np.zeros(len(kinds), np.int64)
-    np.add.at(weight, of, links)
-    order = np.argsort(kinds, kind="stable")
-    weight = weight[order]
-    holder, local = np.divmod(kinds[order], max(len(pairs), 1))
-    words = written(groups, a_ids, b_ids, tools.written, len(tools.a_bytes), len(tools.b_bytes))
-    n_groups, n_links = np.bincount(doc, minlength=len(texts)), np.zeros(len(texts), np.int64)
-    np.add.at(n_links, doc, (groups[1] - groups[0]) * (groups[3] - groups[2]))
-    tokens, ends = np.cumsum(n_a + n_b), np.searchsorted(holder, np.arange(len(texts) + 1))
+    np.add.at(weight, of, links[order][at])
+    holder, local = np.divmod(kinds, max(len(pairs), 1))  # texts in order
+    tokens, token_ends = written(groups, a_ids, b_ids, tools.written, len(tools.a_bytes), len(tools.b_bytes)), (a_stop + b_stop).tolist()
+    said = ["".join(tokens[i:j]) for i, j in pairwise([0, *token_ends])]
+    word_links = np.zeros(len(n_a), np.int64)
+    np.add.at(word_links, word, (groups[1] - groups[0]) * (groups[3] - groups[2]))
+    sums = []
+    for each in (n_a, n_b, np.bincount(word, minlength=len(n_a)), word_links):
+        sums.append(np.zeros(len(texts), np.int64))
+        np.add.at(sums[-1], doc, each[code])
+    sums = [x.tolist() for x in sums]
+    codes, places = code.tolist(), np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    ends = np.searchsorted(holder, np.arange(len(texts) + 1)).tolist()
     rows = []
-    for i in range(len(texts)):
+    for i, counts in enumerate(zip(*sums, strict=True)):
         some = slice(ends[i], ends[i + 1])
         kind = "<u1" if not len(weight[some]) or weight[some].max() < 256 else "<i8"
         rows.append({
-            "n_a": int(n_a[i]), "n_b": int(n_b[i]), "n_groups": int(n_groups[i]), "n_links": int(n_links[i]), "groups": "".join(words[tokens[i] - n_a[i] - n_b[i] : tokens[i]])[:-1],
+            **dict(zip(("n_a", "n_b", "n_groups", "n_links"), counts, strict=True)), "groups": "".join(map(said.__getitem__, codes[places[i] : places[i + 1]]))[:-1],
             "local": local[some].astype("<u4").tobytes(), "weight": weight[some].astype(kind).tobytes(),
         })
     return rows, pairs, np.bincount(local, minlength=len(pairs))

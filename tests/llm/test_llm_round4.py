@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from chatframe.llm import audio, ngram_join, queries, url_rules
+from chatframe.llm import alignment, audio, ngram_join, queries, url_rules
 
 #: The contract's list.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -89,3 +90,22 @@ def test_op3_removes_pcm_by_portions(spark, sf_dir, tmp_path, monkeypatch):
     assert got == plain
     assert [n for name, n in seen if name == "pcm"] == [1] * audio.PORTIONS and count("pcm") == 0
     assert count("media") == 1 and count("features") == audio.PORTIONS
+
+
+def test_words_are_aligned_once(monkeypatch):
+    """A later block doesn't encode what an earlier one had, and equal words are divided once; forgetting changes nothing."""
+    files = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    texts, seen, divided = ["some plain words, " * 500, "words of it  some\tplain words", None, "日本 some words"], [], []
+    encode, groups_of = alignment.Tokenizers.encode, alignment.groups_of
+    monkeypatch.setattr(alignment.Tokenizers, "encode", lambda self, text: seen.append(text) or encode(self, text))
+    monkeypatch.setattr(alignment, "groups_of", lambda *x: divided.append(len(x[0])) or groups_of(*x))
+    tools = alignment.Tokenizers(*files)
+    first = alignment.align_block(tools, texts)
+    assert sum(map(len, seen)) < 200 and divided[0] < 30
+    seen.clear()
+    again = alignment.align_block(tools, texts)
+    assert not seen
+    monkeypatch.setattr(alignment, "KNOWN", 10)
+    for rows, pairs, holders in (again, alignment.align_block(tools, texts)):
+        assert [{k: r[k] for k in ("n_a", "n_b", "n_groups", "n_links", "groups")} for r in rows] == [{k: r[k] for k in ("n_a", "n_b", "n_groups", "n_links", "groups")} for r in first[0]]
+        assert sorted(zip(pairs.tolist(), holders.tolist(), strict=True)) == sorted(zip(first[1].tolist(), first[2].tolist(), strict=True))
