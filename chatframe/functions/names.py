@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from chatframe.schema import UNKNOWN_USER
 
 #: Letters of names, by script ranges (fixed values).
 SCRIPTS = r"\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}\x{0400}-\x{04FF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{0590}-\x{06FF}"
-NAME = rf"[a-zA-Z0-9{SCRIPTS}'-]"
+#: Signs of names; ASCII ones are listed one by one, as Java looks those up in a table, before any range.
+NAME = rf"[[{ascii_letters}{digits}'\-][{SCRIPTS}]]"
 PICTURES = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{1F100}-\x{1F1FF}\x{1F200}-\x{1F2FF}]"
 EMOJI_LINK = r"!?\[:[\w\-+]+:\]\([^)]+\)"
 #: Names no user has, and words that titles keep in lower case (fixed values).
@@ -91,8 +94,9 @@ def _undouble(c: Column, form: str | None) -> Column:
     x = unlines(F.transform(lines_of(x), lambda line: F.coalesce(halved_name(line), line)))
     words = rf"\b{NAME}+(?:\s+{NAME}+){{0,{NAME_WORDS - 1}}}"
     x = F.regexp_replace(x, rf"({words})\1\b", "$1")
-    x = F.regexp_replace(x, rf"({words})\s+\1\b", "$1")
-    x = F.regexp_replace(x, rf"(\b{NAME}+)\s+\1(\b{NAME}+)\s+\2\b", "$1 $2")
+    whole = words.replace("+", "++")  # white space follows these, so no part of a word will do
+    x = F.regexp_replace(x, rf"({whole})\s++\1\b", "$1")
+    x = F.regexp_replace(x, rf"(\b{NAME}++)\s++\1(\b{NAME}++)\s++\2\b", "$1 $2")
     x = _strip_marks(unlines(F.transform(lines_of(x), _without_repeats)))
     x = trim_u(unlines(F.transform(lines_of(x), lambda line: trim_u(F.regexp_replace(line, r"\s+", " ")))))
     return F.when(long_double, _strip_marks(half)).otherwise(x)

@@ -624,7 +624,9 @@ on_text("usr_display", lambda: F.when(c("turn") % 2 == 0, cat("_", c("role"), "_
 def usr_undouble_long(spark, sf_dir):
     """A doubled name before 50 or 2,500 capitalised words."""
     words = F.array_join(F.transform(F.sequence(F.lit(1), F.when(c("turn") % 8 == 0, 2500).otherwise(50)), lambda i: F.concat(F.lit("Word"), i.cast("string"), c("role"))), " ")
-    rows = turns(spark, sf_dir).select("conv_id", "turn", cat(author(c("role")), author(c("role")), " ", words).alias("made"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the table is few bytes, so it is read in few tasks
+    rows = turns(spark, sf_dir).select("conv_id", "turn", "role").repartition(parts)
+    rows = rows.select("conv_id", "turn", cat(author(c("role")), author(c("role")), " ", words).alias("made"))
     return rows.select("conv_id", "turn", F.md5(enrich.undouble_in_text(c("made"))).alias("result"))
 
 

@@ -1,8 +1,9 @@
-"""Walks over conversations are dealt out by number of partitions."""
+"""Walks over conversations and long texts are dealt out by number of partitions."""
 
 from pyspark.sql import functions as F
 
 from chatframe.operators.segment import primary_intervals, primary_lines
+from chatframe.plans import queries
 
 
 def test_walks_are_not_gathered(spark):
@@ -10,3 +11,8 @@ def test_walks_are_not_gathered(spark):
     found = primary_intervals(primary_lines(rows))
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert found.select("conv_id").distinct().count() == 64
+
+
+def test_long_names_are_dealt_out(spark, sf_dir):
+    """A small file is read in one task; the long texts made of its rows are not."""
+    assert queries.usr_undouble_long(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
