@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatframe.functions.text import group, map_tokens, trim_u
+from chatframe.functions.text import group, let, map_tokens, trim_u
 
 #: Emoji by name (fixed values).
 EMOJI = {
@@ -36,6 +36,8 @@ PICTURES = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{1F000}-\x{
 SPLIT_HOSTS = [(r"(?i)https://slack\s+imgs\.com", "https://slack-imgs.com"), (r"(?i)https://([ae])\.slack\s+edge\.com", "https://$1.slack-edge.com"),
                (r"(?i)https://emoji\.slack\s+edge\.com", "https://emoji.slack-edge.com"), (r"(?i)production\s+standard\s+emoji\s+assets", "production-standard-emoji-assets"),
                (r"(?i)apple\s+large", "apple-large")]
+#: What those without a colon need.
+SPLIT_PATH = r"(?i)standard\s+emoji|apple\s+large"
 
 
 def literal_map(values: Mapping[str, str]) -> Column:
@@ -59,13 +61,18 @@ def _image(url: Column, name: Column | None, names: Column) -> Column:
 
 
 def replace_emoji(c: Column, custom: Mapping[str, str] | None = None) -> Column:
-    """Codes and emoji images as emoji; unknown codes stay. Custom names override the defaults."""
+    """Codes and emoji images as emoji; unknown codes stay. Custom names override the defaults. What has
+    no colon and no split host or path passes as it is."""
     names = literal_map(merged(custom))
-    for pattern, fixed in SPLIT_HOSTS:
-        c = F.regexp_replace(c, pattern, fixed)
-    c = map_tokens(c, NAMED_IMAGE, lambda t: _image(F.regexp_extract(t, NAMED_IMAGE, 2), F.regexp_extract(t, NAMED_IMAGE, 1), names))
-    c = map_tokens(c, BARE_IMAGE, lambda t: _image(F.regexp_extract(t, r"!\[\]\(([^)]+)\)", 1), None, names))
-    return map_tokens(c, CODE, lambda t: F.coalesce(F.try_element_at(names, F.regexp_extract(t, CODE, 1)), t))
+
+    def replaced(v: Column) -> Column:
+        for pattern, fixed in SPLIT_HOSTS:
+            v = F.regexp_replace(v, pattern, fixed)
+        v = map_tokens(v, NAMED_IMAGE, lambda t: _image(F.regexp_extract(t, NAMED_IMAGE, 2), F.regexp_extract(t, NAMED_IMAGE, 1), names))
+        v = map_tokens(v, BARE_IMAGE, lambda t: _image(F.regexp_extract(t, r"!\[\]\(([^)]+)\)", 1), None, names))
+        return map_tokens(v, CODE, lambda t: F.coalesce(F.try_element_at(names, F.regexp_extract(t, CODE, 1)), t))
+
+    return let(c, lambda v: F.when(v.contains(":") | v.rlike(SPLIT_PATH), replaced(v)).otherwise(v))
 
 
 def format_reactions(reactions: Column, custom: Mapping[str, str] | None = None) -> Column:

@@ -57,7 +57,8 @@ def escape_brackets(c: Column) -> Column:
 
 
 def convert_links(c: Column) -> Column:
-    """Angle-bracket links, domains and mail addresses, escaped or not, as Markdown."""
+    """Angle-bracket links, domains and mail addresses, escaped or not, as Markdown. What has no opening
+    bracket passes as it is."""
 
     def labelled(t: Column) -> Column:
         url, label = F.regexp_extract(t, LABELLED, 1), trim_u(F.regexp_extract(t, LABELLED, 2))
@@ -73,9 +74,12 @@ def convert_links(c: Column) -> Column:
         address = F.regexp_extract(t, MAIL, 1)
         return F.when(address.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.concat(F.lit("["), address, F.lit("](mailto:"), address, F.lit(")"))).otherwise(t)
 
-    c = map_tokens(c, LABELLED, labelled)
-    c = map_tokens(c, PLAIN, lambda t: F.when(F.regexp_extract(t, PLAIN, 1).rlike(URL_OK), F.regexp_extract(t, PLAIN, 1)).otherwise(t))
-    return map_tokens(map_tokens(c, DOMAIN, domain), MAIL, mail)
+    def converted(v: Column) -> Column:
+        v = map_tokens(v, LABELLED, labelled)
+        v = map_tokens(v, PLAIN, lambda t: F.when(F.regexp_extract(t, PLAIN, 1).rlike(URL_OK), F.regexp_extract(t, PLAIN, 1)).otherwise(t))
+        return map_tokens(map_tokens(v, DOMAIN, domain), MAIL, mail)
+
+    return let(c, lambda v: F.when(v.contains("<") | v.contains("&lt;"), converted(v)).otherwise(v))
 
 
 def wiki_name(c: Column) -> Column:
