@@ -49,8 +49,8 @@ PROBE, PROBE_SHARE = 256, 16
 SLACK = 1e-3
 #: Pairs decided together, and pairs of children from which products decide for two nodes.
 SLICE, PRODUCT = 16_384, 512
-#: Rows and columns of a product, and what a pair decided alone costs in pairs of a product.
-TILE, ALONE = (256, 2048), 128
+#: Rows and columns of a product, and what a pair decided alone and a link of its own cost in pairs of one.
+TILE, ALONE, LINK = (256, 2048), 128, 16
 
 
 def _unit(flat: np.ndarray, n: int) -> np.ndarray:
@@ -117,14 +117,17 @@ def _net(c: np.ndarray, cos: float) -> np.ndarray:
 
 def _pays(c: np.ndarray, parent: np.ndarray, radius: np.ndarray, reach: float) -> bool:
     """Whether products of the net's centres, and what their covering radii leave of their children,
-    cost less than products of all rows of c. Some centres stand for all."""
+    cost less than products of all rows of c and the links that would be counted one by one. Some
+    centres stand for all."""
     nodes, children = np.unique(parent, return_counts=True)
-    some = np.arange(0, len(nodes), max(1, len(nodes) // PROBE))
-    gap = np.sqrt(np.maximum(0, 2 - 2 * (c[nodes[some]] @ c[nodes].T)))
-    spread = radius[nodes[some]][:, None] + radius[nodes]
-    pairs = children[some][:, None] * children
-    cost = np.minimum(ALONE * pairs, pairs + ALONE * PRODUCT)
-    left = cost[(gap <= reach + spread + SLACK) & (gap + spread > reach - SLACK)].sum()
+    some, left = np.arange(0, len(nodes), max(1, len(nodes) // PROBE)), 0
+    for low in range(0, len(some), 32):
+        part = some[low : low + 32]
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (c[nodes[part]] @ c[nodes].T)))
+        spread = radius[nodes[part]][:, None] + radius[nodes]
+        pairs, inside = children[part][:, None] * children, gap + spread <= reach - SLACK
+        cost = np.where(inside, -LINK * pairs, np.minimum(ALONE * pairs, pairs + ALONE * PRODUCT))
+        left += int(cost[gap <= reach + spread + SLACK].sum())
     return len(nodes) ** 2 + left * len(nodes) / len(some) < len(c) ** 2
 
 
